@@ -10,3 +10,9 @@ from pyspark import cloudpickle
 # pandas UDF bodies travel to the executors by value, so a cluster needs no
 # installed copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+import numpy  # noqa: E402,F401  (loads the BLAS first)
+
+from lamella.functions.blas import single_thread  # noqa: E402
+
+single_thread()

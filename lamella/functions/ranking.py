@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from lamella.core import checkpointed
+
 BUCKETS = 32
 TIE_SPLITS = 16
 
@@ -46,7 +48,7 @@ def row_numbers(df: DataFrame, keys: list[str], value: str, tie: str, out: str =
     split further by the leading hex digit of the tie key.
     """
     sign = -1 if descending else 1
-    d = df.withColumn("_v", F.col(value) * sign).withColumn("_h", tie_key(F.col(tie)))
+    d = checkpointed(df).withColumn("_v", F.col(value) * sign).withColumn("_h", tie_key(F.col(tie)))
     d = _split(d, keys, "_v", buckets)
     d = d.withColumn("_s", F.when(F.col("_t") == 1, F.substring("_h", 1, 1)).otherwise(F.lit("")))
     cell = [*keys, "_k", "_t", "_s"]
@@ -93,14 +95,14 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     names = list(probs)
     eps = 4.0 / accuracy
     sk = src.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
+        F.count("*").alias("_n"),
         F.percentile_approx("_v", [max(0.0, probs[n] - eps) for n in names], accuracy).alias("_lo"),
         F.percentile_approx("_v", [min(1.0, probs[n] + eps) for n in names], accuracy).alias("_hi"))
     small = F.col("_n") < 1500
     brackets = sk.select(*keys, F.array(*[F.struct(
         F.lit(i).alias("q"),
-        F.when(small | F.lit(probs[n] <= eps), F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"),
-        F.when(small | F.lit(probs[n] >= 1 - eps), F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi"),
+        F.when(small | F.lit(probs[n] <= eps), float("-inf")).otherwise(F.col("_lo")[i]).alias("lo"),
+        F.when(small | F.lit(probs[n] >= 1 - eps), float("inf")).otherwise(F.col("_hi")[i]).alias("hi"),
         ((F.col("_n") - 1) * F.lit(float(probs[n]))).alias("pos")) for i, n in enumerate(names)]).alias("_br"))
     # a null _x stands for "below the bracket"
     hit = (_attach(src, brackets, keys)
@@ -123,6 +125,7 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
 def bh(df: DataFrame, p: str = "pval", keys: list[str] | None = None, out: str = "padj") -> DataFrame:
     """Benjamini-Hochberg adjusted p per group.  Ties share a value, so it works on distinct p."""
     keys = keys or []
+    df = checkpointed(df)
     src = df
     if not keys:
         src = df.withColumn("_all", F.lit(1))

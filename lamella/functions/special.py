@@ -38,14 +38,16 @@ def betainc(a, b, x):
     c = np.ones_like(ys)
     d = 1 / fix(1 - (p + q) * ys / (p + 1))
     h = d.copy()
+    live = np.ones(ys.shape, bool)  # each element stops on its own, whatever its batch holds
     for m in range(1, 400):
         for num in (m * (q - m) * ys / ((p + 2 * m - 1) * (p + 2 * m)),
                     -(p + m) * (p + q + m) * ys / ((p + 2 * m) * (p + 2 * m + 1))):
             d = 1 / fix(1 + num * d)
             c = fix(1 + num / c)
             step = c * d
-            h = h * step
-        if np.all(np.abs(step - 1) < 1e-15):
+            h = np.where(live, h * step, h)
+        live &= ~(np.abs(step - 1) < 1e-15)
+        if not live.any():
             break
     with np.errstate(over="ignore", invalid="ignore"):
         front = np.exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * np.log(ys) + q * np.log1p(-ys)) / p

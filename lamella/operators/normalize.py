@@ -71,6 +71,7 @@ def _quantile(m):
 
     Ranks come per distinct value; ties take the mean of the order statistics they span.
     """
+    m = checkpointed(m)
     r = value_ranks(m, SAMPLE, "value")
     stat = (r.select(*SAMPLE, "value", F.explode(F.sequence(F.col("n_less") + 1, F.col("n_leq"))).alias("_k"))
             .groupBy("layer", "_k").agg(F.avg("value").alias("_os")))
