@@ -89,6 +89,11 @@ def sample_ids(m: DataFrame, limit: int = MAX_SAMPLES) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
+def shared_samples(m: DataFrame, meta: DataFrame) -> list[str]:
+    """Sorted ids of the samples present in both."""
+    return sample_ids(m.join(meta.select("sample"), "sample", "left_semi"))
+
+
 def bounded(df: DataFrame, limit: int, what: str) -> list:
     """Collect a table that must be small; refuses more than ``limit`` rows."""
     rows = df.limit(limit + 1).collect()

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lamella.core import FEATURE, checkpointed, sample_ids, vectors, with_stats
+from lamella.core import FEATURE, checkpointed, sample_ids, shared_samples, vectors, with_stats
 from lamella.functions.ranking import bh, quantiles, row_numbers
 from lamella.functions.special import t_pvalue
 from lamella.operators.blocks import pair_blocks
@@ -219,7 +219,7 @@ def traits_matrix(meta: DataFrame, traits: list[str], order: list[str]) -> np.nd
 
 def vpa(m: DataFrame, meta: DataFrame, l1: str, l2: str, traits: list[str], pcs: int = 10, perms: int = 999, seed: int = 1) -> DataFrame:
     """Adjusted R2 fractions of traits by two layers (10 components each): a only first, b shared, c only second, d rest."""
-    order = [s for s in sample_ids(m.where(F.col("layer").isin(l1, l2))) if s in set(sample_ids(meta))]
+    order = shared_samples(m.where(F.col("layer").isin(l1, l2)), meta)
     gs = grams(vectors(m.where(F.col("layer").isin(l1, l2)), order), lambda x, lay: prepare(x, True, True))
     x1, x2 = (u * np.sqrt(w) for w, u in (_eig(gs[l], min(pcs, len(order) - 2)) for l in (l1, l2)))
     y = traits_matrix(meta, traits, order)
@@ -253,7 +253,8 @@ def vpa(m: DataFrame, meta: DataFrame, l1: str, l2: str, traits: list[str], pcs:
 def rda(m: DataFrame, meta: DataFrame, variables: list[str], k: int = 5, perms: int = 199, seed: int = 1) -> tuple[Reduction, DataFrame, DataFrame]:
     """Redundancy analysis of features on metadata: constrained axes; biplot scores; permutation F by term."""
     pdf = sample_frame(meta, variables)
-    order = [s for s in pdf["sample"] if s in set(sample_ids(m))]
+    have = set(sample_ids(m))
+    order = [s for s in pdf["sample"] if s in have]
     pdf = pdf.set_index("sample").loc[order]
     part = {v: _columns(pdf[v], False)[0] for v in variables}
     x = np.column_stack([part[v] for v in variables])
@@ -300,7 +301,8 @@ def _term_tests(spark, g: np.ndarray, part: dict[str, np.ndarray], perms: int, s
 def permanova(m: DataFrame, meta: DataFrame, variables: list[str], perms: int = 999, seed: int = 1) -> DataFrame:
     """Partition of squared Euclidean distances between samples by metadata terms: df, F, R2, permutation p."""
     pdf = sample_frame(meta, variables)
-    order = [s for s in pdf["sample"] if s in set(sample_ids(m))]
+    have = set(sample_ids(m))
+    order = [s for s in pdf["sample"] if s in have]
     pdf = pdf.set_index("sample").loc[order]
     g = sum(grams(vectors(m, order), lambda y, lay: prepare(y)).values())
     return _term_tests(m.sparkSession, g, {v: _columns(pdf[v], False)[0] for v in variables}, perms, seed)

@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lamella.core import FEATURE, checkpointed, sample_ids, vectors, with_stats
+from lamella.core import FEATURE, checkpointed, sample_ids, shared_samples, vectors, with_stats
 from lamella.functions.ranking import row_numbers
 from lamella.operators.blocks import fold_rows
 
@@ -303,7 +303,7 @@ def _block_components(gs: dict[str, np.ndarray], y: np.ndarray, k: int, design:
 
 def block_pls(m: DataFrame, meta: DataFrame, var: str, k: int = 5, design: float = 0.1) -> Reduction:
     """Supervised integration: scores are the mean over layers of min-max scaled block scores, minus 0.5."""
-    order = [s for s in sample_ids(m) if s in set(sample_ids(meta.where(F.col(var).isNotNull())))]
+    order = shared_samples(m, meta.where(F.col(var).isNotNull()))
     vecs = vectors(m, order)
     gs = grams(vecs, lambda x, lay: prepare(x, True, True))
     y, _ = outcome(meta, var, order)
@@ -334,7 +334,7 @@ def block_pls_cv(m: DataFrame, meta: DataFrame, var: str, k: int = 5, folds: int
 
     Folds only need sub-blocks of the Gram matrices, which one distributed pass has made.
     """
-    order = [s for s in sample_ids(m) if s in set(sample_ids(meta.where(F.col(var).isNotNull())))]
+    order = shared_samples(m, meta.where(F.col(var).isNotNull()))
     gs = grams(vectors(m, order), lambda x, lay: prepare(x, True, True))
     y, names = outcome(meta, var, order)
     cls = y.argmax(1)

@@ -193,7 +193,7 @@ def _scores(s, d):
 
 
 _SC = "sc AS (SELECT sample, cast(substr(feature,7) as int) AS factor, value-20 AS value FROM la WHERE feature IN ('Brand#1','Brand#2','Brand#3'))"
-register("factor_r2", "K21", _LD + ", " + with_("la").replace("WITH", "").split(",\n", 1)[1].strip() + ", " + _SC + """, c AS (SELECT layer, feature, sample, value-avg(value) OVER (PARTITION BY layer, feature) AS y FROM la),
+register("factor_r2", "K21", _LD.replace(with_("a", "b"), with_("a", "b", "la")) + ", " + _SC + """, c AS (SELECT layer, feature, sample, value-avg(value) OVER (PARTITION BY layer, feature) AS y FROM la),
   t AS (SELECT layer, sum(y*y) AS tot FROM c GROUP BY 1)
 SELECT c.layer, ld.factor, 1-sum((y-sc.value*ld.value)*(y-sc.value*ld.value))/any_value(tot) AS r2 FROM c JOIN sc USING (sample)
   JOIN ld ON ld.layer=c.layer AND ld.feature=c.feature AND ld.factor=sc.factor JOIN t ON t.layer=c.layer GROUP BY 1,2""", "r2")(
