@@ -9,6 +9,7 @@ An absent cell and a null cell mean the same thing: missing.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -102,17 +103,21 @@ def bounded(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder in the shared place the cluster names; under /tmp only in a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the cluster names."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(scratch_folder(df.sparkSession))
     return df.checkpoint()
 
 

@@ -3,6 +3,9 @@
 A mergeable quantile sketch per group gives value bounds; rows are then split by
 those bounds, so no task ever sees a whole hot group.  The sketch only steers the
 split - the ranks and quantiles themselves are exact.
+
+Ranks read their input more than once, and a float sum may differ in its last bit
+between two evaluations, so their inputs (feature-sized tables) are checkpointed.
 """
 from __future__ import annotations
 

@@ -1,12 +1,10 @@
 """Queries on sources, reduction, clustering, enrichment, biomarkers and models."""
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
-from lamella.core import checkpointed, stack_layers
-from lamella.operators import biomarker as BI, clustering as CL, correlation as CO, differential as DI, enrichment as EN, models as MO, reduction as RE
+from lamella.core import checkpointed, scratch_folder, stack_layers
+from lamella.operators import biomarker as BI, clustering as CL, correlation as CO, differential as DI, enrichment as EN, models as MO, quality as QU, reduction as RE
 from lamella.plans import fixtures as X
 from lamella.plans.catalog_relations import _E, _edges, _graph, _N
 from lamella.plans.fixtures import with_
@@ -17,14 +15,7 @@ from lamella.sources import tables as TB
 
 
 def _folder(spark) -> str:
-    """A new folder beside the checkpoints of the cluster, or under /tmp in a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return f"{base}/files-{spark.sparkContext.applicationId}-{abs(hash(spark)) % 10**6}-{next(_COUNT)}"
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
-
-
-_COUNT = iter(range(10**9))
+    return scratch_folder(spark)
 
 
 def _wide(m, rows="feature", cols="sample"):
@@ -333,7 +324,7 @@ _ROC = with_("e", "samples") + """, v AS (SELECT feature, value, count(*) FILTER
 _curve = lambda s, d: BI.roc(X.layer_e(s, d), _y(s, d))
 register("roc", "N6", _ROC + """SELECT layer, feature, class, CASE WHEN threshold='inf'::double THEN 999999.0 WHEN threshold='-inf'::double THEN -999999.0 ELSE threshold END AS threshold,
   sens, spec, sens+spec AS total, sens/nullif(1-spec,0) AS lr_pos, (1-sens)/nullif(spec,0) AS lr_neg FROM rc""", "threshold sens spec total lr_pos lr_neg")(
-    lambda s, d: __import__("lamella.operators.quality", fromlist=["x"]).clean_inf(_curve(s, d), "threshold"))
+    lambda s, d: QU.clean_inf(_curve(s, d), "threshold"))
 register("roc_best", "N7", _ROC + """SELECT layer, feature, class, threshold, sens, spec FROM rc QUALIFY row_number() OVER (PARTITION BY feature ORDER BY round(sens+spec,12) DESC, threshold)=1""",
          "threshold sens spec")(lambda s, d: BI.best_threshold(_curve(s, d)))
 register("roc_topleft", "N7", _ROC + """SELECT layer, feature, class, threshold, sens, spec FROM rc QUALIFY row_number() OVER (PARTITION BY feature ORDER BY round((1-sens)*(1-sens)+(1-spec)*(1-spec),12), threshold)=1""",
@@ -386,7 +377,8 @@ _IM = with_("la", "lb", "samples") + """, g AS (SELECT la.feature AS feature1, l
     sum(syy)+sum(n*my*my)-sum(n*my)*sum(n*my)/sum(n) AS tot FROM g GROUP BY 1,2),
   im AS (SELECT 'revenue' AS layer1, feature1, 'quantity' AS layer2, feature2, coef, coef/sqrt(ss/(n-4)*v) AS stat, cast(n-4 as double) AS df, 1-ss/tot AS r2 FROM p)
 """
-register("interaction_models", "O1", _IM + "SELECT * FROM im", "coef stat df r2")(lambda s, d: _im(s, d).drop("pval", "padj"))
+register("interaction_models", "O1", _IM + "SELECT layer1, feature1, layer2, feature2, round(coef,6) AS coef, round(stat,6) AS stat, df, round(r2,6) AS r2 FROM im", "coef stat df r2")(
+    lambda s, d: _im(s, d).select(*CO.PAIR_KEYS, F.round("coef", 6).alias("coef"), F.round("stat", 6).alias("stat"), "df", F.round("r2", 6).alias("r2")))
 register("interaction_select", "O2", _IM + """SELECT layer1, feature1, layer2, feature2, coef, r2, row_number() OVER (ORDER BY round(abs(coef),12) DESC) AS rank,
   CASE WHEN r2<0.05 THEN 'none' WHEN coef>0 THEN 'up' ELSE 'down' END AS class FROM im QUALIFY row_number() OVER (ORDER BY round(abs(coef),12) DESC)<=200""", "coef r2")(
     lambda s, d: MO.interaction_select(_im(s, d), 200, 1.0, r2=0.05).select("layer1", "feature1", "layer2", "feature2", "coef", "r2", "rank", "class"))
