@@ -124,17 +124,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def densify(m: DataFrame) -> DataFrame:
     """One row per (feature, sample of the layer): absent cells become null rows.
 
-    One shuffle by feature; the sample list of a layer is checked to be small.
+    One shuffle by feature, cells and gaps merged by a sort; the sample list of a layer is checked to be small.
     """
     samples = (m.select("layer", "sample").distinct().groupBy("layer")
                .agg(F.collect_list("sample").alias("_samples"))
                .select("layer", F.when(F.size("_samples") <= MAX_SAMPLES, F.col("_samples"))
                        .otherwise(F.raise_error(F.lit("too many samples in a layer"))).alias("_samples")))
-    cells = m.groupBy(*FEATURE).agg(
-        F.map_from_entries(F.collect_list(F.struct("sample", "value"))).alias("_cells"))
-    return (cells.join(samples, "layer")
-            .select(*FEATURE, "_cells", F.explode("_samples").alias("sample"))
-            .select(*CELL, F.col("_cells")[F.col("sample")].alias("value")))
+    cells = m.groupBy(*FEATURE).agg(F.collect_list(F.struct("sample", F.lit(0).alias("gap"), "value")).alias("_cells"))
+    gaps = F.transform("_samples", lambda x: F.struct(x.alias("sample"), F.lit(1).alias("gap"), F.lit(None).cast("double").alias("value")))
+    return (_fill_gaps(cells.join(samples, "layer"), gaps, "sample")
+            .select(*FEATURE, F.explode("_cells").alias("_c")).select(*FEATURE, "_c.sample", "_c.value"))
+
+
+def _fill_gaps(df: DataFrame, gaps: Column, key: str) -> DataFrame:
+    """``_cells`` sorted by key, with the gap entries of keys that have no real one (linear after the sort)."""
+    d = df.withColumn("_cells", F.sort_array(F.concat("_cells", gaps)))
+    before = lambda i: F.get(F.col("_cells"), i - 1)[key]
+    return d.withColumn("_cells", F.filter("_cells", lambda x, i: (x["gap"] == 0) | (i == 0) | (before(i) != x[key])))
 
 
 def vectors(m: DataFrame, order: list[str]) -> DataFrame:
@@ -143,11 +149,12 @@ def vectors(m: DataFrame, order: list[str]) -> DataFrame:
     spark = m.sparkSession
     lookup = spark.createDataFrame([(s, i) for s, i in idx.items()], "sample string, _i int")
     n = len(order)
-    return (m.join(F.broadcast(lookup), "sample")
-            .groupBy(*FEATURE)
-            .agg(F.map_from_entries(F.collect_list(F.struct("_i", "value"))).alias("_cells"))
-            .select(*FEATURE, F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                                          lambda i: F.coalesce(F.col("_cells")[i], F.lit(float("nan")))).alias("vec")))
+    cells = (m.join(F.broadcast(lookup), "sample").groupBy(*FEATURE)
+             .agg(F.collect_list(F.struct("_i", F.lit(0).alias("gap"), "value")).alias("_cells")))
+    gaps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
+                       lambda i: F.struct(i.alias("_i"), F.lit(1).alias("gap"), F.lit(None).cast("double").alias("value")))
+    return _fill_gaps(cells, gaps, "_i").select(
+        *FEATURE, F.transform("_cells", lambda x: F.coalesce(x["value"], F.lit(float("nan")))).alias("vec"))
 
 
 def signif(x: Column | str, digits: int = 6) -> Column:

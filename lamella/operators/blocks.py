@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from lamella.core import checkpointed
+
 BLOCK = 512
 
 
@@ -34,8 +36,11 @@ def pair_blocks(left: DataFrame, right: DataFrame | None, fn: Callable, schema:
 
     Both inputs hold ``layer, feature, vec``.  With ``right`` None the pairs are
     unordered and ``same`` marks a block met with itself.  Keys are lists of
-    (layer, feature).  ``fn`` returns a pandas frame in ``schema``.
+    (layer, feature).  ``fn`` returns a pandas frame in ``schema``.  The vectors are
+    written once: they are counted and read by both sides.
     """
+    left = checkpointed(left.select("layer", "feature", "vec"))
+    right = None if right is None else checkpointed(right.select("layer", "feature", "vec"))
     nb = blocks or n_blocks(left, block)
     nr = nb if right is None else (blocks or n_blocks(right, block))
     cols = ["layer", "feature", "vec"]
@@ -49,11 +54,13 @@ def pair_blocks(left: DataFrame, right: DataFrame | None, fn: Callable, schema:
     self_join = right is None
 
     def run(key: tuple, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({c.split()[0]: pd.Series([], dtype=object) for c in schema.split(",")})
         if l.empty or r.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(",")})
+            return none
         l, r = l.sort_values(["layer", "feature"]), r.sort_values(["layer", "feature"])
-        return fn(list(zip(l["layer"], l["feature"])), _matrix(l), list(zip(r["layer"], r["feature"])), _matrix(r),
-                  self_join and key[0] == key[1])
+        out = fn(list(zip(l["layer"], l["feature"])), _matrix(l), list(zip(r["layer"], r["feature"])), _matrix(r),
+                 self_join and key[0] == key[1])
+        return out if len(out) else none
 
     return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(run, schema)
 
