@@ -133,7 +133,8 @@ def densify(m: DataFrame) -> DataFrame:
     cells = m.groupBy(*FEATURE).agg(F.collect_list(F.struct("sample", F.lit(0).alias("gap"), "value")).alias("_cells"))
     gaps = F.transform("_samples", lambda x: F.struct(x.alias("sample"), F.lit(1).alias("gap"), F.lit(None).cast("double").alias("value")))
     return (_fill_gaps(cells.join(samples, "layer"), gaps, "sample")
-            .select(*FEATURE, F.explode("_cells").alias("_c")).select(*FEATURE, "_c.sample", "_c.value"))
+            # explode would infer a size filter and push the whole gap expression below, inside its own lambda
+            .select(*FEATURE, F.explode_outer("_cells").alias("_c")).select(*FEATURE, "_c.sample", "_c.value"))
 
 
 def _fill_gaps(df: DataFrame, gaps: Column, key: str) -> DataFrame:
