@@ -153,8 +153,8 @@ def partial_auc(curve: DataFrame, lo: float = 0.0, hi: float = 1.0, keys: list[s
 def roc_boot(m: DataFrame, y: DataFrame, reps: int = 500, level: float = 0.95, seed: int = 1) -> DataFrame:
     """Stratified bootstrap interval of the AUC per feature.
 
-    Multiplicities per (replicate, sample) come from hashed keys: position j of a class
-    draws one of its samples.  Each feature is one row with a bounded vector.
+    The draws of sample positions are seeded and shared by all features; each feature is
+    one row with a bounded vector.
     """
     order = sample_ids(m.join(y, "sample", "left_semi"))
     lab = {r["sample"]: r["label"] for r in bounded(y, 5000, "labels")}
