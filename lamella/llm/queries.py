@@ -3,18 +3,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lamella.llm.common import read
+from lamella.llm.common import read, written
 from lamella.llm.exact_dedup import exact_dedup
+from lamella.llm import mixing
+from lamella.llm.near_dedup import near_dedup
 from lamella.llm.packing import pack_documents
 from lamella.llm.quality_rules import quality_rules
 from lamella.llm.url_filter import sql as url_sql, url_filter
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read(spark, sf_dir, "documents"), percent=85)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = exact_dedup(read(spark, sf_dir, "documents"))
     return d.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, uses = mixing.mix(read(spark, sf_dir, "documents"))
+    d = mixing.taken(written(documents), uses, block=64)
+    return d.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = quality_rules(read(spark, sf_dir, "documents"))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -28,7 +40,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_quality_rules, op6_best_fit_packing, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mixing, op4_quality_rules, op6_best_fit_packing, op8_url_filter)}
 
 ORACLES = {
     "op2_exact_dedup": """
