@@ -9,6 +9,7 @@ from lamella.llm import mixing
 from lamella.llm.near_dedup import near_dedup
 from lamella.llm.packing import pack_documents
 from lamella.llm.quality_rules import quality_rules
+from lamella.llm.token_file import token_files
 from lamella.llm.url_filter import sql as url_sql, url_filter
 
 
@@ -36,11 +37,15 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(read(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mixing, op4_quality_rules, op6_best_fit_packing, op8_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mixing, op4_quality_rules, op6_best_fit_packing, op7_token_files, op8_url_filter)}
 
 ORACLES = {
     "op2_exact_dedup": """
