@@ -11,6 +11,7 @@ from lamella.llm.packing import pack_documents
 from lamella.llm.quality_rules import quality_rules
 from lamella.llm.token_file import token_files
 from lamella.llm.url_filter import sql as url_sql, url_filter
+from lamella.llm.warc import archived, sql as warc_sql
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,11 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mixing, op4_quality_rules, op6_best_fit_packing, op7_token_files, op8_url_filter)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mixing, op4_quality_rules, op6_best_fit_packing, op7_token_files, op8_url_filter, op9_warc)}
 
 ORACLES = {
     "op2_exact_dedup": """
@@ -53,4 +58,5 @@ WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVW
 g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)""",
     "op8_url_filter": url_sql(),
+    "op9_warc": warc_sql(),
 }
