@@ -3,9 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lamella.llm import mixing, quality_knn
 from lamella.llm.common import read, written
 from lamella.llm.exact_dedup import exact_dedup
-from lamella.llm import mixing
 from lamella.llm.near_dedup import near_dedup
 from lamella.llm.packing import pack_documents
 from lamella.llm.quality_rules import quality_rules
@@ -50,7 +50,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mixing, op4_quality_rules, op6_best_fit_packing, op7_token_files, op8_url_filter, op9_warc)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality_knn.train(docs, read(spark, sf_dir, "labels"))
+    return quality_knn.scored(docs, model).select("doc_id", quality_knn.held_out().alias("held_out"), "score", "predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mixing, op4_quality_rules, op6_best_fit_packing, op7_token_files, op8_url_filter, op9_warc, op10_quality_classifier)}
 
 ORACLES = {
     "op2_exact_dedup": """
