@@ -8,6 +8,7 @@ from lamella.llm.common import read, written
 from lamella.llm.exact_dedup import exact_dedup
 from lamella.llm.near_dedup import near_dedup
 from lamella.llm.packing import pack_documents
+from lamella.llm.pii import find_pii
 from lamella.llm.quality_rules import quality_rules
 from lamella.llm.token_file import token_files
 from lamella.llm.url_filter import sql as url_sql, url_filter
@@ -34,6 +35,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = find_pii(read(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
 
@@ -56,7 +62,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.scored(docs, model).select("doc_id", quality_knn.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mixing, op4_quality_rules, op6_best_fit_packing, op7_token_files, op8_url_filter, op9_warc, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mixing, op4_quality_rules, op5_pii, op6_best_fit_packing, op7_token_files, op8_url_filter, op9_warc, op10_quality_classifier)}
 
 ORACLES = {
     "op2_exact_dedup": """
