@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lamella.llm.common import read, written
 from lamella.llm.exact_dedup import exact_dedup
+from lamella.llm.mixing import mixed_documents
+from lamella.llm.near_dedup import near_dedup
 from lamella.llm.packing import pack_documents
 from lamella.llm.quality_rules import quality_rules
 
@@ -19,10 +21,24 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` but for the rows whose id is in ``gone``; rows with a null id stay."""
+    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*DOCUMENT)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document for each different text, the one with the largest id."""
-    gone = written(exact_dedup(docs).where("not kept").select("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENT)
+    return without(docs, written(exact_dedup(docs).where("not kept")))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 80 % or more of its five-word shingles, the one with the smallest id."""
+    return without(docs, written(near_dedup(docs, percent=80).where("not kept")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources at their target weights: what the mix takes of each document, a row for each pass."""
+    return mixed_documents(docs.select(*DOCUMENT))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +46,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs)
 
 
-STAGES = [("quality_rules", clean), ("exact_dedup", exact), ("best_fit_packing", pack)]
+STAGES = [("quality_rules", clean), ("exact_dedup", exact), ("minhash_near_dedup", near), ("mixing", mix), ("best_fit_packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
