@@ -8,8 +8,8 @@ Jaccard similarity.  The steps:
 2. bands of register values make buckets; each bucket's best connected member, its hub, is paired with the others;
 3. pairs whose joint likelihood (registers and set sizes) allows the threshold are verified on the full sets, and linked
    sets are contracted into components;
-4. buckets that still hold several components are compared in blocks inside tasks: only pairs across components whose
-   likelihood allows the threshold become rows; they are verified, and the components joined.
+4. buckets that still hold several components are compared in blocks inside tasks: pairs across components whose
+   likelihood allows the threshold are verified on the full sets there and then, and only links become rows.
 
 Pairs inside a component need no test, so a group of copies is never expanded into pairs.  A pair at the threshold shares
 no bucket with a chance of (1 - 0.85^6)^40, less than 1e-8.
@@ -179,39 +179,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return d.where(F.lit(100) * F.col("x") >= F.lit(percent) * (F.col("n") - F.col("x"))).select("a", "b")
 
 
-def across(rest: DataFrame, spec: SketchSpec, floor: float, ratio: float, block: int = 256) -> DataFrame:
-    """Likely pairs across components inside buckets. ``rest``: ``key, band, n, id, comp, n_shingles, registers``.
+RUN = ["key", "lo", "hi", "_own", "band", "id", "comp", "n_shingles", "registers"]
+RUN_SCHEMA = "key long, lo int, hi int, _own int, band int, id binary, comp binary, n_shingles long, registers binary"
 
-    A bucket of ``n`` members is dealt into blocks of about ``block``; two blocks meet in one task's run of rows, and a pair
-    becomes a row only in the first band it shares and only if its likelihood allows the threshold.
-    """
+
+def dealt(rest: DataFrame, block: int = 1024) -> DataFrame:
+    """Buckets' members dealt into runs. A bucket of ``n`` members has about ``n / block`` blocks, and any two of them meet in
+    one run (``key, lo, hi``). ``rest``: ``key, band, n, id, comp, n_shingles, registers``."""
     blocks = F.ceil(F.col("n") / block)
     d = rest.withColumn("_own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
     d = d.withColumn("_other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
-    d = d.select("key", F.least("_own", "_other").alias("lo"), F.greatest("_own", "_other").alias("hi"), "_own", "band", "id", "comp", "n_shingles", "registers")
-    d = d.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
-
-    def compare(c: dict, s: int, e: int):
-        comp = c["comp"][s:e]
-        if (comp == comp[0]).all():
-            return
-        regs = np.frombuffer(b"".join(c["registers"][s:e]), "<u2").reshape(-1, spec.m)
-        ids, own, size, band = c["id"][s:e], c["_own"][s:e], c["n_shingles"][s:e], int(c["band"][s])
-        single = c["lo"][s] == c["hi"][s]
-        for i in range(e - s - 1):
-            ok = (comp[i + 1:] != comp[i]) & (np.minimum(size[i + 1:], size[i]) >= ratio * np.maximum(size[i + 1:], size[i]))
-            if not single:
-                ok &= own[i + 1:] != own[i]
-            j = np.flatnonzero(ok) + i + 1
-            if len(j):
-                banded = (regs[j] == regs[i]).reshape(len(j), spec.bands, spec.rows).all(2)
-                j = j[banded[:, band] & ~banded[:, :band].any(1)]
-            if len(j):
-                slope = likelihood_slope((regs[i] > regs[j]).sum(1), (regs[i] < regs[j]).sum(1), spec.m, np.full(len(j), size[i]), size[j], floor, spec.base)
-                j = j[slope >= 0]
-                if len(j):
-                    yield pd.DataFrame({"a": [ids[i]] * len(j), "b": ids[j]})
+    return d.withColumn("lo", F.least("_own", "_other")).withColumn("hi", F.greatest("_own", "_other")).select(*RUN)
+
 
+def by_run(d: DataFrame, work, schema: str) -> DataFrame:
+    """``work(columns of one run)`` for each run of ``d``, one at a time; it yields pandas frames."""
     def run(batches):
         held = None
         for b in batches:
@@ -222,12 +204,80 @@ def across(rest: DataFrame, spec: SketchSpec, floor: float, ratio: float, block:
             new = (c["key"][1:] != c["key"][:-1]) | (c["lo"][1:] != c["lo"][:-1]) | (c["hi"][1:] != c["hi"][:-1])
             cut = [0, *(np.flatnonzero(new) + 1).tolist()]
             for s, e in zip(cut[:-1], cut[1:]):
-                yield from compare(c, s, e)
+                yield from work({n: x[s:e] for n, x in c.items()})
             held = b.iloc[cut[-1]:]
         if held is not None and len(held):
-            yield from compare({n: held[n].to_numpy() for n in held.columns}, 0, len(held))
+            yield from work({n: held[n].to_numpy() for n in held.columns})
+
+    return d.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id").mapInPandas(run, schema)
+
+
+def run_pairs(c: dict, spec: SketchSpec, floor: float, ratio: float):
+    """(i, its later partners, registers they share) in a run: across components, in the first band they share, and with a
+    likelihood that allows the threshold."""
+    comp, own, size, band = c["comp"], c["_own"], c["n_shingles"], int(c["band"][0])
+    if (comp == comp[0]).all():
+        return
+    regs = np.frombuffer(b"".join(c["registers"]), "<u2").reshape(-1, spec.m)
+    single = c["lo"][0] == c["hi"][0]
+    for i in range(len(comp) - 1):
+        ok = (comp[i + 1:] != comp[i]) & (np.minimum(size[i + 1:], size[i]) >= ratio * np.maximum(size[i + 1:], size[i]))
+        if not single:
+            ok &= own[i + 1:] != own[i]
+        j = np.flatnonzero(ok) + i + 1
+        if len(j):
+            same = regs[j] == regs[i]
+            banded = same.reshape(len(j), spec.bands, spec.rows).all(2)
+            first = banded[:, band] & ~banded[:, :band].any(1)
+            j, same = j[first], same[first]
+        if len(j):
+            slope = likelihood_slope((regs[i] > regs[j]).sum(1), (regs[i] < regs[j]).sum(1), spec.m, np.full(len(j), size[i]), size[j], floor, spec.base)
+            if (slope >= 0).any():
+                yield i, j[slope >= 0], same[slope >= 0].sum(1)
+
+
+def across(rest: DataFrame, sets: DataFrame, spec: SketchSpec, floor: float, ratio: float, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) between components inside buckets, verified on the full sets where the pairs are found.
+
+    A first pass over the registers finds the members that have a likely partner in their run; only they get their sets.  The
+    second verifies likely pairs, best first, and joins components as it goes, so a run of n members yields less than n links
+    and pairs never become rows.
+    """
+    def take_part(c):
+        some = np.zeros(len(c["id"]), bool)
+        for i, j, _ in run_pairs(c, spec, floor, ratio):
+            some[i] = True
+            some[j] = True
+        if some.any():
+            yield pd.DataFrame({n: c[n][some] for n in RUN})
+
+    def verify(c):
+        found = [(k, i, x) for i, j, same in run_pairs(c, spec, floor, ratio) for x, k in zip(j.tolist(), same.tolist())]
+        root = {x: x for x in set(c["comp"])}
+
+        def find(x):
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        links = []
+        for _, i, j in sorted(found, key=lambda f: -f[0]):
+            x, y = find(c["comp"][i]), find(c["comp"][j])
+            if x == y:
+                continue
+            sa, sb = c["shingles"][i], c["shingles"][j]
+            at = np.searchsorted(sb, sa)
+            common = int((sb[np.minimum(at, len(sb) - 1)] == sa).sum())
+            if 100 * common >= percent * (len(sa) + len(sb) - common):
+                root[x] = y
+                links.append((c["id"][i], c["id"][j]))
+        if links:
+            yield pd.DataFrame(links, columns=["a", "b"])
 
-    return d.mapInPandas(run, "a binary, b binary")
+    members = written(by_run(dealt(rest), take_part, RUN_SCHEMA))
+    sorted_sets = sets.select("id", F.sort_array("shingles").alias("shingles"))
+    return by_run(members.join(sorted_sets, "id").select(*RUN, "shingles"), verify, "a binary, b binary")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, spec: SketchSpec = SketchSpec()) -> DataFrame:
@@ -269,7 +319,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         named = written(named)
         mixed_ = written(named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key"))
         rest = named.join(mixed_, "key", "left_semi").join(nodes, "id")
-        more = written(verified(written(across(rest, spec, floor, jaccard)), sets, percent))
+        more = written(across(rest, sets, spec, floor, jaccard, percent))
         if not more.isEmpty():
             comp = components(links.unionByName(more))
     named = nodes.select("id", "rep") if comp is None else nodes.select("id", "rep").join(comp, "id", "left")
