@@ -125,6 +125,22 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float
     return hit.groupBy(*keys).agg(*cols)
 
 
+def quantile_grid(df: DataFrame, keys: list[str], value: str, probs: list[float], out: str = "_q") -> DataFrame:
+    """``keys`` and an array of the exact quantiles (type 7) at many ``probs``: the distinct values that hold a wanted order
+    statistic are picked from their rank runs, so a value gives a row for each probability that falls on it."""
+    r = value_ranks(df, keys, value)
+    n = df.where(F.col(value).isNotNull()).groupBy(*keys).agg((F.count("*") - 1).alias("_n1"))
+    grid = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)])
+    inside = lambda x: (x >= F.col("n_less")) & (x < F.col("n_leq"))
+    pos = lambda g: g["p"] * F.col("_n1")
+    d = r.join(n, keys).withColumn("_g", F.explode(F.filter(grid, lambda g: inside(F.floor(pos(g))) | inside(F.ceil(pos(g))))))
+    at = F.col("_g.p") * F.col("_n1")
+    d = d.groupBy(*keys, F.col("_g.i").alias("_i")).agg(F.max(F.when(inside(F.floor(at)), F.col(value))).alias("_lo"), F.max(F.when(inside(F.ceil(at)), F.col(value))).alias("_hi"),
+                                                       F.max(at - F.floor(at)).alias("_frac"))
+    d = d.select(*keys, "_i", F.when(F.col("_frac") == 0, F.col("_lo")).otherwise(F.col("_lo") + F.col("_frac") * (F.col("_hi") - F.col("_lo"))).alias("_x"))
+    return d.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias(out))
+
+
 def bh(df: DataFrame, p: str = "pval", keys: list[str] | None = None, out: str = "padj") -> DataFrame:
     """Benjamini-Hochberg adjusted p per group.  Ties share a value, so it works on distinct p."""
     keys = keys or []

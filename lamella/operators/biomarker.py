@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from lamella.core import FEATURE, bounded, checkpointed, sample_ids, vectors
 from lamella.functions.ranking import row_numbers
-from lamella.functions.special import hash_uniform, norm_cdf
+from lamella.functions.special import fisher_pvalue, hash_uniform, norm_cdf
 from lamella.operators.differential import f_test, t_test
 from lamella.operators.filters import top_variance
 
@@ -78,8 +78,12 @@ def fold_change(m: DataFrame, y: DataFrame) -> DataFrame:
 
 
 def feature_clusters(m: DataFrame, k: int, seed: int = 28051968) -> DataFrame:
-    """k-means of the distributed feature vectors (z-scored)."""
-    v = vectors(m, sample_ids(m)).select(*FEATURE, F.transform("vec", lambda x: F.nanvl(x, F.lit(0.0))).alias("vec"))
+    """k-means of the distributed feature vectors (z-scored, gaps at the feature's mean)."""
+    v = vectors(m, sample_ids(m))
+    seen = F.filter("vec", lambda x: ~F.isnan(x))
+    own = F.aggregate(seen, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(seen), F.lit(0))
+    v = v.withColumn("_own", F.coalesce(own, F.lit(0.0)))
+    v = v.select(*FEATURE, F.transform("vec", lambda x: F.nanvl(x, F.col("_own"))).alias("vec"))
     n = F.size("vec")
     mean = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x) / n
     v = v.withColumn("_m", mean)
@@ -98,8 +102,12 @@ def rank_table(m: DataFrame, y: DataFrame, k: int = 5) -> DataFrame:
 
 # ---- ROC -----------------------------------------------------------------------------------
 
-def roc(m: DataFrame, y: DataFrame, keys: list[str] = FEATURE) -> DataFrame:
-    """Thresholds (midpoints, -inf, inf) with sensitivity, specificity and likelihood ratios; one against the rest for more classes."""
+def roc(m: DataFrame, y: DataFrame, keys: list[str] = FEATURE, direction: str = "auto") -> DataFrame:
+    """Thresholds (midpoints, -inf, inf) with sensitivity, specificity and likelihood ratios; one against the rest for more classes.
+
+    ``direction`` auto: the class with the larger median is the hit; fixed: higher values always speak for the class, as
+    predictions do.
+    """
     lev = classes(y)
     d = m.where(F.col("value").isNotNull()).join(y, "sample")
     if len(lev) == 2:
@@ -115,7 +123,7 @@ def roc(m: DataFrame, y: DataFrame, keys: list[str] = FEATURE) -> DataFrame:
     first = med.select(*k, F.lit(float("-inf")).alias("threshold"), F.lit(0).cast("bigint").alias("below1"), F.lit(0).cast("bigint").alias("below0"), "n1", "n0", "_m1", "_m0")
     rest = c.select(*k, F.when(F.col("next").isNull(), float("inf")).otherwise((F.col("value") + F.col("next")) / 2).alias("threshold"), "below1", "below0", "n1", "n0", "_m1", "_m0")
     t = first.unionByName(rest)
-    up = F.col("_m0") <= F.col("_m1")
+    up = F.lit(True) if direction == "fixed" else F.col("_m0") <= F.col("_m1")
     sens = F.when(up, 1 - F.col("below1") / F.col("n1")).otherwise(F.col("below1") / F.col("n1"))
     spec = F.when(up, F.col("below0") / F.col("n0")).otherwise(1 - F.col("below0") / F.col("n0"))
     t = t.select(*k, "threshold", sens.alias("sens"), spec.alias("spec"))
@@ -181,16 +189,20 @@ def roc_boot(m: DataFrame, y: DataFrame, reps: int = 500, level: float = 0.95, s
 
 # ---- splits and classifiers ----------------------------------------------------------------
 
-def mc_splits(y: DataFrame, p: float = 2 / 3, runs: int = 10, seed: int = 1, cap_train: int = 400, cap_test: int = 200) -> DataFrame:
-    """``run, sample, label, role``: from each class the same number (p of the smallest) trains, the rest tests; order by hash."""
+def mc_splits(y: DataFrame, p: float = 2 / 3, runs: int = 10, seed: int = 1, cap_train: int | None = None) -> DataFrame:
+    """``run, sample, label, role``: from each class the same number (p of the smallest, rounded) trains, all others test.
+
+    Order by the md5 of sample, run and seed.  ``cap_train`` bounds the training samples of all classes together.
+    """
     small = y.groupBy("label").agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_min")).withColumn("_one", F.lit(1))
     k = y.select("label").distinct().agg(F.count("*").alias("_k")).withColumn("_one", F.lit(1))
     d = y.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs)))).withColumn("_one", F.lit(1)).join(small, "_one").join(k, "_one")
-    w = W.partitionBy("run", "label").orderBy(F.xxhash64("sample", "run", F.lit(seed)), "sample")
+    w = W.partitionBy("run", "label").orderBy(F.md5(F.concat_ws("|", "sample", "run", F.lit(seed))), "sample")
     d = d.withColumn("_r", F.row_number().over(w))
-    ntr = F.least(F.floor(F.col("_min") * p), F.floor(F.lit(cap_train) / F.col("_k")))
-    d = d.withColumn("role", F.when(F.col("_r") <= ntr, "train").when(F.col("_r") <= ntr + F.floor(F.lit(cap_test) / F.col("_k")), "test"))
-    return d.where(F.col("role").isNotNull()).select("run", "sample", "label", "role")
+    ntr = F.round(F.col("_min") * p)
+    if cap_train is not None:
+        ntr = F.least(ntr, F.round(F.lit(cap_train) / F.col("_k")))
+    return d.select("run", "sample", "label", F.when(F.col("_r") <= ntr, "train").otherwise("test").alias("role"))
 
 
 def rank_features(m: DataFrame, splits: DataFrame, how: str = "auroc") -> DataFrame:
@@ -202,9 +214,11 @@ def rank_features(m: DataFrame, splits: DataFrame, how: str = "auroc") -> DataFr
     if how == "auroc":
         return _auc_by(d, keys, lev[-1]).select(*keys, F.col("auc").alias("score"))
     if how == "fisher":
+        # -log10 of Fisher's exact p of (above the median) x (last class)
         med = d.groupBy(*keys).agg(F.percentile("value", 0.5).alias("_m"))
-        d = d.join(med, keys).withColumn("value", (F.col("value") > F.col("_m")).cast("double"))
-        return _auc_by(d, keys, lev[-1]).select(*keys, F.col("auc").alias("score"))
+        up, one = F.col("value") > F.col("_m"), F.col("label") == lev[-1]
+        t = d.join(med, keys).groupBy(*keys).agg(F.count_if(up & one).alias("_x"), F.count_if(up).alias("_k"), F.count_if(one).alias("_d"), F.count("*").alias("_n"))
+        return t.select(*keys, (-F.log10(fisher_pvalue("_x", "_k", "_n", "_d"))).alias("score"))
     s = d.groupBy(*keys, "label").agg(F.count("*").alias("n"), F.avg("value").alias("mn"), F.var_samp("value").alias("v"))
     t = s.groupBy(*keys).agg(F.sum("n").alias("N"), F.count("*").alias("k"), F.sum((F.col("n") - 1) * F.col("v")).alias("ssw"),
                              F.sum(F.col("n") * F.col("mn")).alias("s1"), F.sum(F.col("n") * F.col("mn") ** 2).alias("s2"))
@@ -270,7 +284,8 @@ def mccv(m: DataFrame, y: DataFrame, sizes: list[int] = [2, 3, 5, 10, 20], runs:
     then holds at most ``max(sizes)`` features of the split samples.
     """
     sp = checkpointed(splits if splits is not None else mc_splits(y, runs=runs, seed=seed))
-    r = row_numbers(rank_features(m, sp, rank), ["run"], "score", "feature", "rank", descending=True).where(F.col("rank") <= max(sizes))
+    scores = rank_features(m, sp, rank).withColumn("_id", F.concat_ws("\x01", *FEATURE))
+    r = row_numbers(scores, ["run"], "score", "_id", "rank", descending=True).where(F.col("rank") <= max(sizes))
     d = m.join(r.select("run", *FEATURE, "rank"), FEATURE).join(sp, ["run", "sample"])
     d = d.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes]))).where(F.col("rank") <= F.col("size"))
     pos = classes(y)[-1]
@@ -325,7 +340,7 @@ def average_roc(pred: DataFrame, how: str = "vertical", points: int = 101) -> Da
     """Mean ROC over runs on a common grid of false positive rate, true positive rate or threshold, with a 5-95% band."""
     d = pred.select(F.col("run").cast("string").alias("feature"), F.lit("roc").alias("layer"), "sample", F.col("prob").alias("value"))
     y = pred.groupBy("sample").agg(F.max("label").cast("string").alias("label"))
-    c = roc(d, y).select("feature", "threshold", F.round(1 - F.col("spec"), 12).alias("fpr"), F.round("sens", 12).alias("tpr"))
+    c = roc(d, y, direction="fixed").select("feature", "threshold", F.round(1 - F.col("spec"), 12).alias("fpr"), F.round("sens", 12).alias("tpr"))
     key, val = {"vertical": ("fpr", "tpr"), "horizontal": ("tpr", "fpr"), "threshold": ("threshold", "tpr")}[how]
     grid = c.select("feature").distinct().withColumn("g", F.explode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: i / (points - 1))))
     step = c.groupBy("feature", F.col(key).alias("g")).agg((F.min(val) if how == "horizontal" else F.max(val)).alias("v"))
@@ -342,7 +357,7 @@ def average_roc(pred: DataFrame, how: str = "vertical", points: int = 101) -> Da
 
 def importance(imp: DataFrame, n: int) -> DataFrame:
     """Selection frequency (rank within a run at most n) and mean importance."""
-    w = W.partitionBy("run", "size").orderBy(F.desc(F.round("value", 12)), "feature")
+    w = W.partitionBy("run", "size").orderBy(F.desc(F.round("value", 12)), *FEATURE)
     d = imp.withColumn("_r", F.row_number().over(w))
     runs = imp.select("run").distinct().agg(F.count("*").alias("_runs")).withColumn("_one", F.lit(1))
     g = d.groupBy(*FEATURE).agg(F.count_if(F.col("_r") <= n).alias("_s"), F.avg("value").alias("importance")).withColumn("_one", F.lit(1))

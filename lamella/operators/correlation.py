@@ -155,16 +155,29 @@ def partial_corr(m: DataFrame, method: str = "pearson") -> DataFrame:
 
 
 def mutual_info(m: DataFrame, k: int = 5) -> DataFrame:
-    """Nearest-neighbour mutual information of each pair (nats), and scaled by the largest."""
+    """Nearest-neighbour mutual information of each pair (nats) over the samples both have, and scaled by the largest.
+
+    NaN for a pair that shares fewer than two samples.
+    """
     order = sample_ids(m)
     n = len(order)
     psi = np.array([0.0] + [digamma(i) for i in range(1, n + 2)])
 
     def one(dx, dy):
+        """``dx``, ``dy``: distances of all pairs of samples. A sample with ``k`` others at distance 0 counts those instead."""
+        n = len(dx)
+        kk = min(k, n - 1)
+        if kk < 1:
+            return np.nan
         z = np.maximum(dx, dy)
-        eps = np.partition(z, k, axis=1)[:, [k]]
-        nx, ny = (dx < eps).sum(1) - 1, (dy < eps).sum(1) - 1
-        return psi[k] + psi[n] - (psi[nx + 1] + psi[ny + 1]).mean()
+        eps = np.partition(z, kk, axis=1)[:, [kk]]
+        tied = eps[:, 0] == 0
+        nx, ny = (dx < eps).sum(1), (dy < eps).sum(1)
+        at = np.full(n, psi[kk])
+        if tied.any():
+            at[tied] = psi[(z[tied] == 0).sum(1) - 1]
+            nx[tied], ny[tied] = (dx[tied] == 0).sum(1) - 1, (dy[tied] == 0).sum(1) - 1
+        return (at - psi[nx] - psi[ny]).mean() + psi[n]
 
     def fn(lk, x, rk, y, same):
         own = _unordered(lk, rk, same)
@@ -173,12 +186,15 @@ def mutual_info(m: DataFrame, k: int = 5) -> DataFrame:
             if own[i].any():
                 dx = np.abs(x[i][:, None] - x[i][None, :])
                 for j in np.flatnonzero(own[i]):
-                    mi[i, j] = max(0.0, one(dx, np.abs(y[j][:, None] - y[j][None, :])))
+                    ok = ~(np.isnan(x[i]) | np.isnan(y[j]))
+                    v = y[j][ok]
+                    own_dx = dx if ok.all() else dx[np.ix_(ok, ok)]
+                    mi[i, j] = np.maximum(0.0, one(own_dx, np.abs(v[:, None] - v[None, :])))
         return _emit(lk, rk, own, {"mi": mi})
 
     from lamella.core import checkpointed
     d = checkpointed(pair_blocks(vectors(m, order), None, fn, PAIR + ", mi double", block=64)).withColumn("_one", F.lit(1))
-    return d.join(d.groupBy("_one").agg(F.max("mi").alias("_mx")), "_one").withColumn("scaled", F.col("mi") / F.nullif(F.col("_mx"), F.lit(0.0))) \
+    return d.join(d.groupBy("_one").agg(F.max(F.nanvl("mi", F.lit(None))).alias("_mx")), "_one").withColumn("scaled", F.col("mi") / F.nullif(F.col("_mx"), F.lit(0.0))) \
         .drop("_one", "_mx")
 
 
@@ -303,7 +319,7 @@ def diff_correlate(m: DataFrame, meta: DataFrame, var: str, method: str = "pears
 def diff_network(dc: DataFrame, r: float, p: float, n: int) -> DataFrame:
     """Pairs passing in any group; then the top ``n`` of each group by |r|, then p."""
     ok = dc.where((F.abs("r") >= r) & (F.col("pval") <= p)).select(*PAIR_KEYS).distinct()
-    w = W.partitionBy("group").orderBy(F.desc(F.round(F.abs("r"), 10)), "feature1", "feature2")
+    w = W.partitionBy("group").orderBy(F.desc(F.round(F.abs("r"), 10)), "feature1", "feature2", "layer1", "layer2")
     return dc.join(ok, PAIR_KEYS, "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 

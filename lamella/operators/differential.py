@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from lamella.core import FEATURE, bounded, checkpointed, MAX_SAMPLES, vectors
+from lamella.core import FEATURE, MAX_SAMPLES, bounded, checkpointed, vectors
 from lamella.functions.ranking import bh, quantiles, row_numbers
 from lamella.functions.special import digamma, f_pvalue, t_pvalue, trigamma_inverse
 
@@ -239,9 +239,8 @@ def lm_test(m: DataFrame, meta: DataFrame, var: str, ref: str | None = None, con
     :func:`build_contrasts`.  Long result: one row per (feature, term).
     """
     covars = covars or []
-    pdf = sample_frame(meta, list(dict.fromkeys([var, *covars, *([block] if block else [])])))
-    present = {r[0] for r in m.select("sample").distinct().limit(MAX_SAMPLES + 1).collect()}
-    pdf = pdf[pdf["sample"].isin(present)].reset_index(drop=True)
+    own = meta.join(m.select("sample").distinct(), "sample", "left_semi")
+    pdf = sample_frame(own, list(dict.fromkeys([var, *covars, *([block] if block else [])]))).reset_index(drop=True)
     x, levels = design(pdf, var, covars, kind)
     if kind == "cont":
         c, terms = np.eye(x.shape[1])[:, [1]], [var]

@@ -89,7 +89,7 @@ def gsea(ranked: DataFrame, sets: DataFrame, nperm: int = 1000, min_size: int =
     stats = np.sort(np.array([r[0] for r in bounded(ranked.select("stat"), MAX_RANKED, "ranked list")], float))[::-1]
     shared = spark.sparkContext.broadcast(np.abs(stats))
     sizes = sorted(r[0] for r in es.select("size").distinct().collect())
-    blocks = 10
+    blocks = min(10, nperm)
     tasks = spark.createDataFrame([(s, b) for s in sizes for b in range(blocks)], "size int, block int").repartition(32)
 
     def run(it):
@@ -99,7 +99,7 @@ def gsea(ranked: DataFrame, sets: DataFrame, nperm: int = 1000, min_size: int =
             rows = []
             for size, block in pdf.itertuples(index=False):
                 rng = np.random.default_rng([seed, size, block])
-                for _ in range(nperm // blocks):
+                for _ in range(nperm * (block + 1) // blocks - nperm * block // blocks):
                     pos = np.sort(rng.choice(n, size, replace=False))
                     x = w[pos]
                     cum = np.cumsum(x)

@@ -5,7 +5,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lamella.core import CELL, FEATURE, SAMPLE, densify, keep_features, layer_sample_counts, sample_ids, vectors, with_stats
+from lamella.core import CELL, FEATURE, SAMPLE, checkpointed, densify, keep_features, layer_sample_counts, sample_ids, vectors, with_stats
+from lamella.functions.ranking import quantile_grid
 from lamella.functions.special import hash_uniform, normal_quantile, norm_cdf
 from lamella.operators.blocks import fold_rows, pair_blocks
 
@@ -144,7 +145,7 @@ def impute_lowrank(m: DataFrame, k: int = 5, iterations: int = 15, tol: float =
     so each round is one pass with a small broadcast: no state, no lineage.
     """
     order = sample_ids(m)
-    vecs = vectors(m, order).persist()
+    vecs = checkpointed(vectors(m, order))
     n = len(order)
     k = min(k, n - 1)
 
@@ -198,8 +199,8 @@ def impute_qrilc(m: DataFrame, seed: int = 123) -> DataFrame:
     """
     d = densify(m)
     grid = [0.001 + 0.01 * i for i in range(100)]
-    s = (d.groupBy(*SAMPLE).agg(F.count("value").alias("_n"), F.count("*").alias("_all"),
-                                F.percentile_approx("value", grid, 10000).alias("_q"))
+    s = (d.groupBy(*SAMPLE).agg(F.count("value").alias("_n"), F.count("*").alias("_all"))
+         .join(quantile_grid(checkpointed(d.select(*SAMPLE, "value")), SAMPLE, "value", grid), SAMPLE)
          .withColumn("_pna", 1 - F.col("_n") / F.col("_all")))
     pts = (s.select(*SAMPLE, "_pna", F.posexplode("_q").alias("_i", "_y"))
            .withColumn("_p", F.col("_pna") + 0.001 + F.col("_i") * (0.99 - F.col("_pna")) / 99)

@@ -128,7 +128,8 @@ def parse_taxa(df: DataFrame, ranks: list[str] | None = None) -> DataFrame:
         F.array(*[F.lit(r) for r in ranks]).alias("rank"),
         F.array(*[F.get(parts, F.lit(i)) for i in range(len(ranks))]).alias("raw"))).alias("_x")).select("feature", "_x.rank", "_x.raw")
     used = d.where(F.col("raw").isNotNull()).select("rank").distinct()
-    t = F.regexp_replace(F.regexp_replace("raw", "[a-z]__", ""), "[a-z]_", "")
+    # fixed value: the rank prefixes of the format, "k__" or "k_"
+    t = F.regexp_replace("raw", r"^\s*[a-z]__?", "")
     return d.join(used, "rank", "left_semi").select(
         "feature", "rank", F.when(t.isNull() | t.isin("", "NA"), "Not_Assigned").otherwise(t).alias("taxon"))
 

@@ -72,7 +72,7 @@ def interaction_models(m: DataFrame, meta: DataFrame, l1: str, l2: str, var: str
 
 def interaction_select(res: DataFrame, top: int = 20000, p: float = 0.05, by: str = "pval", coef_quantile: float = 0.0, r2: float = 0.0) -> DataFrame:
     """Top pairs by |coefficient|, with the volcano class of each."""
-    d = res.withColumn("_a", F.round(F.abs("coef"), 12)).withColumn("_one", F.lit(1)).withColumn("_id", F.concat_ws("|", "feature1", "feature2"))
+    d = res.withColumn("_a", F.round(F.abs("coef"), 12)).withColumn("_one", F.lit(1)).withColumn("_id", F.concat_ws("|", "layer1", "feature1", "layer2", "feature2"))
     d = row_numbers(d, ["_one"], "_a", "_id", "rank", descending=True).where(F.col("rank") <= top)
     if coef_quantile > 0:
         d = d.join(quantiles(d, ["_one"], "_a", {"_cut": coef_quantile}), "_one")

@@ -187,24 +187,27 @@ def topology(edges: DataFrame) -> DataFrame:
     return d.join(transitivity(edges).withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
-def communities(edges: DataFrame, queries: DataFrame | None = None, min_size: int = 5, rounds: int = 15) -> DataFrame:
+def communities(edges: DataFrame, queries: DataFrame | None = None, min_size: int = 5) -> DataFrame:
     """Label propagation (most frequent neighbour label, ties to the smallest), members of kept communities.
 
-    Counts are combined before the shuffle; one (node, label) row per neighbour label.
+    A node moves when another label has more votes than its own, and only the nodes that come first (by hash) among their
+    neighbours that want to move do so in a round.  So every move adds an edge inside a community and the rounds end, with
+    no node left that wants to move.  Counts are combined before the shuffle; one (node, label) row per neighbour label.
     """
     e = checkpointed(both_ways(simplify(edges)).select("src", "dst"))
     lab = checkpointed(e.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
-    for i in range(rounds):
+    turn = 0
+    while True:
         votes = e.join(lab.select(F.col("node").alias("dst"), "label"), "dst").groupBy("src", "label").agg(F.count("*").alias("c"))
-        best = votes.groupBy(F.col("src").alias("node")).agg(F.min(F.struct(-F.col("c"), "label")).alias("_b"))
-        # half of the nodes move per round, so two-coloured graphs settle
-        move = F.pmod(F.xxhash64("node"), F.lit(2)) == (i % 2)
-        new = checkpointed(lab.join(best, "node").select("node", F.col("label").alias("_old"),
-                                                         F.when(move, F.col("_b.label")).otherwise(F.col("label")).alias("label")))
-        still = new.where("label <> _old").isEmpty()
-        lab = new.select("node", "label")
-        if still and i % 2:
+        votes = votes.join(lab.select(F.col("node").alias("src"), F.col("label").alias("own")), "src")
+        best = votes.groupBy(F.col("src").alias("node")).agg(F.min(F.struct(-F.col("c"), "label")).alias("_b"), F.coalesce(F.max(F.when(F.col("label") == F.col("own"), F.col("c"))), F.lit(0)).alias("_own"))
+        want = checkpointed(best.where(-F.col("_b.col1") > F.col("_own")).select("node", F.col("_b.label").alias("new"), F.xxhash64("node", F.lit(turn)).alias("h")))
+        if want.isEmpty():
             break
+        other = e.join(want.select(F.col("node").alias("src"), "h"), "src").groupBy(F.col("dst").alias("node")).agg(F.max(F.struct("h", "src")).alias("_o"))
+        go = want.join(other, "node", "left").where(F.col("_o").isNull() | (F.struct("h", F.col("node").alias("src")) > F.col("_o"))).select("node", "new")
+        lab = checkpointed(lab.join(go, "node", "left").select("node", F.coalesce("new", "label").alias("label")))
+        turn += 1
     size = lab.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= min_size)
     if queries is not None:
         q = lab.join(queries.select("node"), "node", "left_semi").groupBy("label").agg(F.count("*").alias("n_query"))
@@ -249,38 +252,45 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return g.join(tot, "_one").agg(F.sum(F.col("inside") / F.col("_m") - (F.col("d") / (2 * F.col("_m"))) ** 2).alias("modularity"))
 
 
-def distances_from(edges: DataFrame, a: str, b: str | None = None, max_depth: int = 1000) -> DataFrame:
-    """``node, depth`` by frontier joins from ``a``, one level per round, stopping at ``b``."""
+def distances_from(edges: DataFrame, a: str, b: str | None = None) -> DataFrame:
+    """``node, depth`` by frontier joins from ``a``, one level per round, until ``b`` or nothing new is met."""
     e = both_ways(edges).select("src", "dst").distinct()
     spark = edges.sparkSession
-    seen = spark.createDataFrame([(a, 0)], "node string, depth int")
-    front = seen
-    for d in range(1, max_depth):
+    seen = front = spark.createDataFrame([(a, 0)], "node string, depth int")
+    d = 0
+    while True:
+        d += 1
         nxt = (e.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
                .join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
         front = checkpointed(nxt)
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
         if b is not None and not front.where(F.col("node") == b).isEmpty():
-            break
-    return seen
+            return seen
+
 
+def shortest_paths(edges: DataFrame, a: str, b: str, limit: int | None = 50) -> DataFrame:
+    """The first ``limit`` (None: all) shortest paths from ``a`` to ``b`` in order.
 
-def shortest_paths(edges: DataFrame, a: str, b: str, limit: int = 50) -> DataFrame:
-    """All shortest paths from ``a`` to ``b`` (at most ``limit``): levels forward, then only level-descending steps back."""
+    The nodes on shortest paths are found level by level from ``b``; then paths grow from ``a`` over those nodes only, so every
+    prefix has an end and the first prefixes of a level hold the first paths.
+    """
     e = both_ways(edges).select("src", "dst").distinct()
+    spark = edges.sparkSession
     depth = checkpointed(distances_from(edges, a, b))
     hit = depth.where(F.col("node") == b).select("depth").first()
-    paths = edges.sparkSession.createDataFrame([], "path array<string>")
     if hit is None:
-        return paths
-    paths = edges.sparkSession.createDataFrame([([b], b)], "path array<string>, head string")
+        return spark.createDataFrame([], "path array<string>")
+    on = [spark.createDataFrame([(b,)], "node string")]
     for level in range(hit[0] - 1, -1, -1):
-        prev = depth.where(F.col("depth") == level).select(F.col("node").alias("src"))
-        step = e.join(prev, "src", "left_semi")
-        paths = checkpointed(paths.join(step, F.col("head") == F.col("dst")).select(
-            F.concat(F.array("src"), "path").alias("path"), F.col("src").alias("head")).orderBy("path").limit(limit))
+        at = depth.where(F.col("depth") == level).select("node")
+        on.append(checkpointed(e.join(on[-1].select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct().join(at, "node", "left_semi")))
+    paths = spark.createDataFrame([([a], a)], "path array<string>, head string")
+    for nodes in on[-2::-1]:
+        step = e.join(nodes.select(F.col("node").alias("dst")), "dst")
+        grown = paths.join(step, F.col("head") == F.col("src")).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("head"))
+        paths = checkpointed(grown if limit is None else grown.orderBy("path").limit(limit))
     return paths.select("path")
 
 
@@ -316,13 +326,15 @@ def _path_union(edges: DataFrame, seeds: list[str]) -> DataFrame:
     return simplify(edges).join(keep, ["src", "dst"], "left_semi")
 
 
-def min_network(edges: DataFrame, seeds: DataFrame, limit: int = 200) -> DataFrame:
-    """Minimum connected network: non-seed leaves dropped, union of shortest paths between the ``limit`` best-connected seeds."""
+def min_network(edges: DataFrame, seeds: DataFrame, limit: int | None = None) -> DataFrame:
+    """Minimum connected network: non-seed leaves dropped, union of shortest paths between the seeds (the ``limit`` best connected)."""
     e = simplify(edges)
     d = degree(e)
     leaves = d.where("degree = 1").join(seeds.select("node"), "node", "left_anti")
     e = checkpointed(exclude_nodes(e, leaves))
-    top = degree(e).join(seeds.select("node"), "node", "left_semi").orderBy(F.desc("degree"), "node").limit(limit)
+    top = degree(e).join(seeds.select("node"), "node", "left_semi")
+    if limit is not None:
+        top = top.orderBy(F.desc("degree"), "node").limit(limit)
     return _path_union(e, [r[0] for r in top.collect()])
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from lamella.core import CELL, FEATURE, SAMPLE, checkpointed, sample_ids, vectors, with_stats
-from lamella.functions.ranking import quantiles, value_ranks
+from lamella.functions.ranking import quantile_grid, quantiles, value_ranks
 from lamella.operators.blocks import fold_rows
 from lamella.operators.impute import _unpack, drop_incomplete, log_qrilc
 
@@ -42,7 +42,7 @@ def _sum(m):
 
 
 def _median(m):
-    return _out(m.join(sample_quantile(m, 0.5, "_m"), SAMPLE), _v() / F.col("_m"))
+    return _out(m.join(sample_quantile(m, 0.5, "_m"), SAMPLE, "left"), _v() / F.col("_m"))
 
 
 def _pqn(m):
@@ -66,18 +66,47 @@ def _cuberoot(m):
     return _out(m, F.signum(_v()) * F.pow(F.abs(_v()), F.lit(1.0 / 3)))
 
 
+def _each(lo, hi, out: str, size: int = 1 << 16):
+    """Rows for ``lo`` .. ``hi``, in pieces, so that no row ever holds a long array."""
+    def add(d):
+        d = d.withColumn("_from", F.explode(F.when(lo <= hi, F.sequence(lo, hi, F.lit(size)))))
+        return d.withColumn(out, F.explode(F.sequence("_from", F.least(F.col("_from") + size - 1, hi)))).drop("_from")
+    return add
+
+
 def _quantile(m):
-    """Complete layers: each value becomes the mean, over samples, of the order statistics at its rank.
+    """Each value becomes the mean, over samples, of the order statistics at its rank; missing stays missing.
 
-    Ranks come per distinct value; ties take the mean of the order statistics they span.
+    A sample with gaps has fewer order statistics: they are stretched (linearly) over the ranks of the layer's features, and
+    its values are read off the mean curve at the stretched ranks.  Ranks come per distinct value; ties take the mean of the
+    curve over the ranks they span.
     """
     m = checkpointed(m)
     r = value_ranks(m, SAMPLE, "value")
-    stat = (r.select(*SAMPLE, "value", F.explode(F.sequence(F.col("n_less") + 1, F.col("n_leq"))).alias("_k"))
-            .groupBy("layer", "_k").agg(F.avg("value").alias("_os")))
-    target = (r.select(*SAMPLE, "value", F.explode(F.sequence(F.col("n_less") + 1, F.col("n_leq"))).alias("_k"))
-              .join(stat, ["layer", "_k"]).groupBy(*SAMPLE, "value").agg(F.avg("_os").alias("_t")))
-    return _out(m.join(target, [*SAMPLE, "value"]), F.col("_t"))
+    own = m.groupBy(*SAMPLE).agg((F.count("value") - 1).alias("_n1"))
+    grid = m.select(*FEATURE).distinct().groupBy("layer").agg((F.count("*") - 1).alias("_g1"))
+    r = checkpointed(r.join(own, SAMPLE).join(grid, "layer"))
+    n1, g1 = F.col("_n1"), F.col("_g1")
+    # grid rank k (from 0) lies at k * n1 / g1 of the sample's own ranks: between floor and the next
+    first = lambda j: F.when(n1 == 0, F.when(j <= 0, 0).otherwise(g1 + 1)).otherwise(F.ceil(j * F.greatest(g1, F.lit(1)) / F.greatest(n1, F.lit(1)))).cast("long")
+    part = None
+    for shift in (0, 1):
+        lo = F.greatest(first(F.col("n_less") - shift), F.lit(0))
+        hi = F.least(first(F.col("n_leq") - shift) - 1, g1)
+        frac = F.pmod(F.col("_k") * n1, F.greatest(g1, F.lit(1))) / F.greatest(g1, F.lit(1))
+        d = _each(lo, hi, "_k")(r).select("layer", "_k", (F.col("value") * (frac if shift else 1 - frac)).alias("_x"))
+        part = d if part is None else part.unionByName(d)
+    count = own.where("_n1 >= 0").groupBy("layer").agg(F.count("*").alias("_samples"))
+    curve = checkpointed(part.groupBy("layer", "_k").agg(F.sum("_x").alias("_s")).join(count, "layer").select("layer", "_k", (F.col("_s") / F.col("_samples")).alias("_os")))
+    at = _each(F.col("n_less"), F.col("n_leq") - 1, "_j")(r)
+    den = F.greatest(n1, F.lit(1))
+    at = at.withColumn("_k", F.floor(F.col("_j") * g1 / den)).withColumn("_frac", F.pmod(F.col("_j") * g1, den) / den)
+    # a single value stands for its sample's middle
+    at = at.withColumn("_k", F.when(n1 == 0, F.floor(g1 / 2)).otherwise(F.col("_k"))).withColumn("_frac", F.when(n1 == 0, (g1 % 2) / 2).otherwise(F.col("_frac")))
+    up = curve.select("layer", F.col("_k").alias("_k2"), F.col("_os").alias("_os2"))
+    at = at.withColumn("_k2", F.least(F.col("_k") + 1, g1)).join(curve, ["layer", "_k"]).join(up, ["layer", "_k2"])
+    target = at.groupBy(*SAMPLE, "value").agg(F.avg(F.col("_os") * (1 - F.col("_frac")) + F.col("_os2") * F.col("_frac")).alias("_t"))
+    return _out(m.join(target, [*SAMPLE, "value"], "left"), F.col("_t"))
 
 
 def _colsum(m):
@@ -196,7 +225,7 @@ def _css(m, rel: float = 0.1):
     """
     grid = [i / 100 for i in range(1, 101)]
     pos = m.where(_v() > 0)
-    q = pos.groupBy(*SAMPLE).agg(F.percentile_approx("value", grid, 10000).alias("_q"))
+    q = checkpointed(quantile_grid(checkpointed(pos), SAMPLE, "value", grid))
     e = q.select(*SAMPLE, F.posexplode("_q").alias("_i", "_x"))
     e = with_stats(e, ["layer", "_i"], F.avg("_x").alias("_ref")).withColumn("_dev", F.abs(F.col("_x") - F.col("_ref")))
     dev = quantiles(e, ["layer", "_i"], "_dev", {"_d": 0.5})
@@ -227,7 +256,7 @@ def _vsn(m, iterations: int = 16, keep: float = 0.9):
 def _vsn_layer(m, iterations, keep):
     order = sample_ids(m)
     n = len(order)
-    vecs = vectors(m, order).persist()
+    vecs = checkpointed(vectors(m, order))
     st = m.groupBy("sample").agg(F.avg("value").alias("mu"), F.stddev_samp("value").alias("sd")).collect()
     sd = {r["sample"]: r["sd"] or 1.0 for r in st}
     base = np.array([np.log(1.0 / sd[s]) for s in order])

@@ -81,11 +81,17 @@ def clean_text(c: Column, kind: str) -> Column:
 
 
 def clean_names(df: DataFrame, kind: str, name: str = "name") -> DataFrame:
-    """Cleaned, then made unique by ``.n`` (original order = order of the raw name)."""
+    """Cleaned, then made unique by ``.n`` (original order = order of the raw name); suffixes that make a taken name are passed over."""
     d = df.withColumn("clean", clean_text(F.col(name), kind))
     w = W.partitionBy("clean").orderBy(name)
-    n = F.row_number().over(w) - 1
-    return d.withColumn("clean", F.when(n == 0, F.col("clean")).otherwise(F.concat_ws(".", "clean", n.cast("string"))))
+    d = d.withColumn("_i", F.row_number().over(w) - 1)
+    form = r"(?s)^(.*)\.([1-9][0-9]{0,8})$"
+    taken = (d.select("clean").distinct().where(F.col("clean").rlike(form))
+             .groupBy(F.regexp_extract("clean", form, 1).alias("clean")).agg(F.sort_array(F.collect_set(F.regexp_extract("clean", form, 2).cast("int"))).alias("_taken")))
+    d = d.join(taken, "clean", "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
+    # the i-th free suffix: as many taken ones lie below it as fit
+    free = F.col("_i") + F.size(F.filter("_taken", lambda t, j: t - j <= F.col("_i")))
+    return d.withColumn("clean", F.when(F.col("_i") == 0, F.col("clean")).otherwise(F.concat_ws(".", "clean", free.cast("string")))).select(*df.columns, "clean")
 
 
 def check_type(m: DataFrame) -> DataFrame:

@@ -192,7 +192,7 @@ def factor_model(m: DataFrame, k: int | None = None, rounds: int = 20, min_r2: f
     n = len(order)
     k = k or (5 if n < 15 else 10 if n < 50 else 15 if n < 250 else 20 if n < 1000 else 25)
     k = min(k, n - 1)
-    vecs = vectors(m, order).persist()
+    vecs = checkpointed(vectors(m, order))
     layers = sorted(r[0] for r in m.select("layer").distinct().collect())
     g = grams(vecs, lambda x, lay: prepare(x, True, True))
     w0, u0 = _eig(sum(v / np.trace(v) for v in g.values()), k)
@@ -517,7 +517,7 @@ def sparse_cca(m: DataFrame, l1: str, l2: str, k: int = 2, p1: float = 0.3, p2:
 def cca_penalty(m: DataFrame, l1: str, l2: str, penalties: list[float], nperm: int = 25, rounds: int = 3, seed: int = 1) -> DataFrame:
     """z-score of the Fisher-transformed correlation against permutations; all runs share each pass as columns."""
     order = sample_ids(m.where(F.col("layer").isin(l1, l2)))
-    a, b = vectors(m.where(F.col("layer") == l1), order).persist(), vectors(m.where(F.col("layer") == l2), order).persist()
+    a, b = (checkpointed(vectors(m.where(F.col("layer") == l), order)) for l in (l1, l2))
     na, nb = a.count(), b.count()
     n = len(order)
     rng = np.random.default_rng(seed)
@@ -563,7 +563,7 @@ def _least_clip(y, h):
 
 def _factorize(m: DataFrame, k: int, how: str, iterations: int, tol: float, seed: int, prep, row_weights) -> Reduction:
     order = sample_ids(m)
-    vecs = vectors(m, order).persist()
+    vecs = checkpointed(vectors(m, order))
     low = {}
     if prep is None:
         low = {lay: v[0] for lay, v in ((r["layer"], (r["lo"],)) for r in _zscore_min(m).collect())}

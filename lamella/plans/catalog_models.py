@@ -272,7 +272,7 @@ register("enrichment_score", "M4", """WITH r AS (SELECT cast(l_partkey as string
     sum(abs(stat)) OVER s AS cum FROM p JOIN part ON cast(p_partkey as string)=id WINDOW s AS (PARTITION BY p_brand ORDER BY pos)),
   g AS (SELECT set_id, any_value(size) AS size, max(cum/nr-(pos-i)/(n-size)) AS u, min((cum-w)/nr-(pos-i)/(n-size)) AS d FROM h GROUP BY 1)
 SELECT set_id, size, CASE WHEN u>=-d THEN u ELSE d END AS es FROM g""", "es")(lambda s, d: EN.enrichment_scores(_ranked(s, d), sets(s, d), 15, 5000))
-register("gsea", "M4")(lambda s, d: EN.select_gsea(EN.gsea(_ranked(s, d), sets(s, d), 200, max_size=100000)))
+register("gsea", "M4")(lambda s, d: EN.select_gsea(EN.gsea(_ranked(s, d), sets(s, d), max_size=100000)))
 register("normalize_ids", "M5", """SELECT 'cpd:C' || lpad(cast(p_partkey as string),5,'0') AS id, 'C' || lpad(cast(p_partkey as string),5,'0') AS mapped FROM part
   UNION ALL SELECT 'x' || p_partkey, CASE WHEN p_size>10 THEN p_brand ELSE 'x' || p_partkey END FROM part""")(
     lambda s, d: EN.normalize_ids(X.table(s, d, "part").select(F.explode(F.array(F.concat(F.lit("cpd:C"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")),
@@ -334,10 +334,30 @@ register("roc_at_threshold", "N7", _ROC + """SELECT layer, feature, class, thres
 register("partial_auc", "N7", _ROC + """, w AS (SELECT feature, 1-spec AS x, sens AS y, lag(1-spec) OVER q AS x0, lag(sens) OVER q AS y0 FROM rc WINDOW q AS (PARTITION BY feature ORDER BY 1-spec, sens))
 SELECT 'ptype' AS layer, feature, 'low' AS class, sum(CASE WHEN least(x,1.0)>greatest(x0,0.0) THEN (x-x0)*(y+y0)/2 ELSE 0 END) AS area FROM w WHERE x0 IS NOT NULL GROUP BY 2""", "area")(
     lambda s, d: BI.partial_auc(_curve(s, d)))
-register("roc_bootstrap", "N8")(lambda s, d: BI.roc_boot(X.layer_a(s, d), _y(s, d), 200))
-register("mc_splits", "N9")(lambda s, d: BI.mc_splits(_y(s, d)))
+register("roc_bootstrap", "N8")(lambda s, d: BI.roc_boot(X.layer_a(s, d), _y(s, d)))
+_SPLITS = """, y AS (SELECT sample, acct_high AS label FROM samples), n AS (SELECT round(min(c) * 2 / 3.0) AS n_train FROM (SELECT count(*) AS c FROM y GROUP BY label) t),
+ r AS (SELECT cast(run AS bigint) AS run, sample, label, row_number() OVER (PARTITION BY run, label ORDER BY md5(sample || '|' || run || '|1'), sample) AS rn FROM y, range(1, {runs} + 1) AS t(run)),
+ splits AS (SELECT run, sample, label, CASE WHEN rn <= n_train THEN 'train' ELSE 'test' END AS role FROM r, n)
+"""
+register("mc_splits", "N9", with_("samples") + _SPLITS.format(runs=10) + "SELECT * FROM splits")(lambda s, d: BI.mc_splits(_y(s, d)))
+_TR = with_("a", "samples") + _SPLITS.format(runs=5) + """, tr AS (SELECT run, layer, feature, value, label FROM a JOIN splits USING (sample) WHERE role = 'train')
+"""
+_RANK = {
+    "auroc": _TR + """, k AS (SELECT *, rank() OVER (PARTITION BY run, layer, feature ORDER BY value) + (count(*) OVER (PARTITION BY run, layer, feature, value) - 1) / 2.0 AS rk FROM tr),
+ u AS (SELECT run, layer, feature, sum(rk) FILTER (label = 'low') AS s, count(*) FILTER (label = 'low') AS n1, count(*) FILTER (label <> 'low') AS n0 FROM k GROUP BY ALL)
+SELECT run, layer, feature, greatest((s - n1 * (n1 + 1) / 2.0) / (n1 * n0), 1 - (s - n1 * (n1 + 1) / 2.0) / (n1 * n0)) AS score FROM u""",
+    "fisher": _TR + """, q AS (SELECT *, median(value) OVER (PARTITION BY run, layer, feature) AS md FROM tr),
+ t AS (SELECT run, layer, feature, count(*) FILTER (value > md AND label = 'low') AS x, count(*) FILTER (value > md) AS k, count(*) FILTER (label = 'low') AS d, count(*) AS n FROM q GROUP BY ALL),
+ g AS (SELECT *, unnest(range(greatest(0, k + d - n), least(k, d) + 1)) AS z FROM t),
+ l AS (SELECT *, lgamma(k + 1) - lgamma(z + 1) - lgamma(k - z + 1) + lgamma(n - k + 1) - lgamma(d - z + 1) - lgamma(n - k - d + z + 1) AS lp FROM g),
+ e AS (SELECT *, exp(lp - max(lp) OVER p) AS pr FROM l WINDOW p AS (PARTITION BY run, layer, feature)),
+ o AS (SELECT *, max(pr) FILTER (z = x) OVER (PARTITION BY run, layer, feature) AS own FROM e)
+SELECT run, layer, feature, -log10(least(1.0, sum(pr) FILTER (pr <= own * (1 + 1e-7)) / sum(pr))) AS score FROM o GROUP BY ALL""",
+    "f": _TR + """, s AS (SELECT run, layer, feature, label, count(*) AS n, avg(value) AS mn, var_samp(value) AS v FROM tr GROUP BY ALL)
+SELECT run, layer, feature, (sum(n*mn*mn) - sum(n*mn)*sum(n*mn)/sum(n)) / (count(*) - 1) / (sum((n-1)*v) / (sum(n) - count(*))) AS score FROM s GROUP BY ALL""",
+}
 for _how in ("auroc", "fisher", "f"):
-    register(f"rank_features_{_how}", "N10")(lambda s, d, h=_how: BI.rank_features(X.layer_a(s, d), BI.mc_splits(_y(s, d), runs=5), h))
+    register(f"rank_features_{_how}", "N10", _RANK[_how], "score")(lambda s, d, h=_how: BI.rank_features(X.layer_a(s, d), BI.mc_splits(_y(s, d), runs=5), h))
 
 
 def _wide_x(s, d):
@@ -385,12 +405,12 @@ register("interaction_select", "O2", _IM + """SELECT layer1, feature1, layer2, f
 register("interaction_network", "O3", _IM + """, t AS (SELECT * FROM im QUALIFY row_number() OVER (ORDER BY round(abs(coef),12) DESC)<=200)
 SELECT layer1 || ':' || feature1 AS src, layer2 || ':' || feature2 AS dst, coef AS weight FROM t WHERE coef>0 QUALIFY dense_rank() OVER (ORDER BY round(abs(coef),10) DESC)<=50""", "weight")(
     lambda s, d: MO.interaction_network(MO.interaction_select(_im(s, d), 200, 1.0), "positive", 50))
-register("mediation", "O4")(lambda s, d: MO.mediation(X.log_a(s, d), X.samples(s, d), "acct_high", "s_acctbal", 200))
+register("mediation", "O4")(lambda s, d: MO.mediation(X.log_a(s, d), X.samples(s, d), "acct_high", "s_acctbal", 1000))
 register("variance_partition", "O5")(lambda s, d: MO.variance_partition(X.log_a(s, d), X.samples(s, d), ["region"], ["acct_high"]))
-register("variation_partitioning", "O6")(lambda s, d: MO.vpa(X.log_ab(s, d), X.samples(s, d), "revenue", "quantity", ["s_acctbal"], 5, 99))
-register("redundancy_analysis", "O7")(lambda s, d: MO.rda(X.log_a(s, d), X.samples(s, d), ["region", "s_acctbal"], perms=99)[2])
+register("variation_partitioning", "O6")(lambda s, d: MO.vpa(X.log_ab(s, d), X.samples(s, d), "revenue", "quantity", ["s_acctbal"], 5, 999))
+register("redundancy_analysis", "O7")(lambda s, d: MO.rda(X.log_a(s, d), X.samples(s, d), ["region", "s_acctbal"], perms=999)[2])
 register("permanova", "O8", with_("la", "samples") + """, c AS (SELECT feature, region, value, avg(value) OVER (PARTITION BY feature) AS mu, avg(value) OVER (PARTITION BY feature, region) AS mg FROM la JOIN samples USING (sample)),
   t AS (SELECT sum((value-mu)*(value-mu)) AS tot, sum((value-mg)*(value-mg)) AS res FROM c), k AS (SELECT count(*) AS n, count(DISTINCT region) AS k FROM samples)
 SELECT 'region' AS term, cast(k-1 as double) AS df, ((tot-res)/(k-1))/(res/(n-k)) AS f, (tot-res)/tot AS r2 FROM t, k""", "df f r2")(
-    lambda s, d: MO.permanova(X.log_a(s, d), X.samples(s, d), ["region"], 99).drop("pval"))
+    lambda s, d: MO.permanova(X.log_a(s, d), X.samples(s, d), ["region"], 999).drop("pval"))
 register("biplot", "O9")(lambda s, d: _abs(MO.biplot(X.log_a(s, d))[1]))
