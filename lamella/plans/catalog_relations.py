@@ -7,7 +7,7 @@ from lamella.functions.ranking import bh
 from lamella.operators import correlation as CO, differential as DI, filters as FI, mapping as MP, network as NE, normalize as NO
 from lamella.plans import fixtures as X
 from lamella.plans.catalog_tables import _TAX, _PL, _lineage, _part_layer
-from lamella.plans.fixtures import with_
+from lamella.plans.fixtures import f_p, t_p, with_
 from lamella.plans.registry import register
 
 # ---- H: differential -----------------------------------------------------------------------
@@ -16,21 +16,23 @@ _G = with_("la", "samples") + """, gs AS (SELECT layer, feature, count(*) FILTER
   avg(value) FILTER (acct_high='high') AS m0, avg(value) FILTER (acct_high='low') AS m1,
   var_samp(value) FILTER (acct_high='high') AS v0, var_samp(value) FILTER (acct_high='low') AS v1 FROM la JOIN samples USING (sample) GROUP BY 1,2)
 """
-register("t_test", "H1", _G + """SELECT layer, feature, m0-m1 AS diff, cast(n0+n1-2 as double) AS df,
-  (m0-m1)/sqrt(((n0-1)*v0+(n1-1)*v1)/(n0+n1-2)*(1.0/n0+1.0/n1)) AS stat FROM gs""", "diff df stat")(
-    lambda s, d: DI.t_test(X.log_a(s, d), X.samples(s, d), "acct_high", adjust=False).drop("pval"))
-register("t_test_one_sample", "H1", with_("la") + """SELECT layer, feature, avg(value) AS diff, cast(count(*)-1 as double) AS df,
-  avg(value)/sqrt(var_samp(value)/count(*)) AS stat FROM la GROUP BY 1,2""", "diff df stat")(
-    lambda s, d: DI.t_test(X.log_a(s, d), adjust=False).drop("pval"))
+_T = """, tt AS (SELECT layer, feature, m0-m1 AS diff, cast(n0+n1-2 as double) AS df,
+  (m0-m1)/sqrt(((n0-1)*v0+(n1-1)*v1)/(n0+n1-2)*(1.0/n0+1.0/n1)) AS stat FROM gs)
+"""
+register("t_test", "H1", _G + _T + f"SELECT *, {t_p('stat', 'df')} AS pval FROM tt", "diff df stat pval")(
+    lambda s, d: DI.t_test(X.log_a(s, d), X.samples(s, d), "acct_high", adjust=False))
+register("t_test_one_sample", "H1", with_("la") + f"""SELECT *, {t_p('stat', 'df')} AS pval FROM (SELECT layer, feature, avg(value) AS diff, cast(count(*)-1 as double) AS df,
+  avg(value)/sqrt(var_samp(value)/count(*)) AS stat FROM la GROUP BY 1,2) t""", "diff df stat pval")(
+    lambda s, d: DI.t_test(X.log_a(s, d), adjust=False))
 _FG = with_("la", "samples") + """, s AS (SELECT layer, feature, region, count(*) AS n, avg(value) AS mn, var_samp(value) AS v FROM la JOIN samples USING (sample) GROUP BY 1,2,3)
 """
-register("f_test", "H2", _FG + """SELECT layer, feature, cast(k-1 as double) AS df1, cast(nn-k as double) AS df2, (s2-s1*s1/nn)/(k-1)/(ssw/(nn-k)) AS stat FROM (
-  SELECT layer, feature, count(*) AS k, sum(n) AS nn, sum((n-1)*v) AS ssw, sum(n*mn) AS s1, sum(n*mn*mn) AS s2 FROM s GROUP BY 1,2) t""", "df1 df2 stat")(
-    lambda s, d: DI.f_test(X.log_a(s, d), X.samples(s, d), "region").select("layer", "feature", "df1", "df2", "stat"))
+register("f_test", "H2", _FG + f"""SELECT *, {f_p('stat', 'df1', 'df2')} AS pval FROM (SELECT layer, feature, cast(k-1 as double) AS df1, cast(nn-k as double) AS df2, (s2-s1*s1/nn)/(k-1)/(ssw/(nn-k)) AS stat FROM (
+  SELECT layer, feature, count(*) AS k, sum(n) AS nn, sum((n-1)*v) AS ssw, sum(n*mn) AS s1, sum(n*mn*mn) AS s2 FROM s GROUP BY 1,2) t) u""", "df1 df2 stat pval")(
+    lambda s, d: DI.f_test(X.log_a(s, d), X.samples(s, d), "region").select("layer", "feature", "df1", "df2", "stat", "pval"))
 register("f_test_welch", "H2", _FG + """, c AS (SELECT *, n/v AS w, sum(n/v) OVER p AS ww, sum(n/v*mn) OVER p AS wm, count(*) OVER p AS k FROM s WINDOW p AS (PARTITION BY layer, feature)),
  t AS (SELECT layer, feature, any_value(k) AS k, sum(w*(mn-wm/ww)*(mn-wm/ww)) AS a, sum((1-w/ww)*(1-w/ww)/(n-1)) AS b FROM c GROUP BY 1,2)
-SELECT layer, feature, cast(k-1 as double) AS df1, (k*k-1)/(3*b) AS df2, (a/(k-1))/(1+2*(k-2)/(k*k-1)*b) AS stat FROM t""", "df1 df2 stat")(
-    lambda s, d: DI.f_test(X.log_a(s, d), X.samples(s, d), "region", False).select("layer", "feature", "df1", "df2", "stat"))
+SELECT *, """ + f_p("stat", "df1", "df2") + """ AS pval FROM (SELECT layer, feature, cast(k-1 as double) AS df1, (k*k-1)/(3*b) AS df2, (a/(k-1))/(1+2*(k-2)/(k*k-1)*b) AS stat FROM t) u""", "df1 df2 stat pval")(
+    lambda s, d: DI.f_test(X.log_a(s, d), X.samples(s, d), "region", False).select("layer", "feature", "df1", "df2", "stat", "pval"))
 _lm = ["layer", "feature", "term", "coef", "sigma", "df", "ave"]
 register("lm_contrast", "H3", _G + """SELECT layer, feature, 'low-high' AS term, m1-m0 AS coef, sqrt(((n0-1)*v0+(n1-1)*v1)/(n0+n1-2)) AS sigma,
   cast(n0+n1-2 as double) AS df, (n0*m0+n1*m1)/(n0+n1) AS ave FROM gs""", "coef sigma df ave")(
@@ -87,14 +89,27 @@ def flagship(spark, d):
     return DI.t_test(m, X.samples(spark, d), "acct_high").orderBy("pval", "feature")
 
 
-register("flagship", "E4 E19 H1 H8")(flagship)
+register("flagship", "E4 E19 H1 H8", with_("la", "samples") + """, z AS (SELECT layer, feature, sample, (value-avg(value) OVER p)/stddev_samp(value) OVER p AS value FROM la WINDOW p AS (PARTITION BY layer, feature)),
+ gs AS (SELECT layer, feature, count(*) FILTER (acct_high='high') AS n0, count(*) FILTER (acct_high='low') AS n1, avg(value) FILTER (acct_high='high') AS m0, avg(value) FILTER (acct_high='low') AS m1,
+  var_samp(value) FILTER (acct_high='high') AS v0, var_samp(value) FILTER (acct_high='low') AS v1 FROM z JOIN samples USING (sample) GROUP BY 1,2)""" + _T.rstrip() + f""",
+ pv AS (SELECT *, {t_p('stat', 'df')} AS pval FROM tt),
+ q AS (SELECT *, pval*count(*) OVER (PARTITION BY layer)/row_number() OVER (PARTITION BY layer ORDER BY pval, feature) AS raw FROM pv)
+SELECT layer, feature, diff, df, stat, pval, least(1.0, min(raw) OVER (PARTITION BY layer ORDER BY pval DESC, feature DESC ROWS UNBOUNDED PRECEDING)) AS padj FROM q""", "diff df stat pval padj")(flagship)
 
 # ---- I: correlation ------------------------------------------------------------------------
 
 _CO = """SELECT x.layer AS layer1, x.feature AS feature1, y.layer AS layer2, y.feature AS feature2, corr(x.value,y.value) AS r, cast(count(*) as double) AS n
   FROM {t} x JOIN {t} y ON x.sample=y.sample AND (x.layer, x.feature)<(y.layer, y.feature) {w} GROUP BY 1,2,3,4"""
 _K = CO.PAIR_KEYS
-register("correlate_pearson", "I3", with_("ab") + _CO.format(t="ab", w=""), "r n")(lambda s, d: CO.correlate(X.log_ab(s, d)).select(*_K, "r", "n"))
+
+
+def _with_p(sql: str) -> str:
+    """The pairs with the t p-value of their correlation."""
+    head, _, body = sql.rpartition(_CO[:40])
+    return f"{head}SELECT *, {t_p('r*sqrt((n-2)/(1-r*r))', '(n-2)')} AS pval FROM ({_CO[:40]}{body}) c"
+
+
+register("correlate_pearson", "I3", _with_p(with_("ab") + _CO.format(t="ab", w="")), "r n pval")(lambda s, d: CO.correlate(X.log_ab(s, d)).select(*_K, "r", "n", "pval"))
 register("correlate_pairwise_complete", "I3", with_("dirty") + _CO.format(t="dirty", w="WHERE x.value IS NOT NULL AND y.value IS NOT NULL"), "r n")(
     lambda s, d: CO.correlate(X.dirty(s, d)).select(*_K, "r", "n"))
 _RANK = """, rk AS (SELECT layer, feature, sample, rank() OVER (PARTITION BY layer, feature ORDER BY value)
@@ -108,7 +123,15 @@ SELECT 'ptype' AS layer1, p.feature AS feature1, 'ptype' AS layer2, q.feature AS
   FROM ps p JOIN ps q ON p.s1=q.s1 AND p.s2=q.s2 AND p.feature<q.feature GROUP BY 2,4""", "r")(
     lambda s, d: CO.correlate(X.layer_e(s, d), "kendall").select(*_K, "r"))
 register("partial_correlation", "I6")(lambda s, d: CO.partial_corr(X.log_a(s, d)))
-register("mutual_information", "I7")(lambda s, d: CO.mutual_info(X.log_a(s, d)))
+# whole-number digammas are harmonic numbers; the nearest-neighbour counts come from all distances of a pair's samples
+register("mutual_information", "I7", with_("la") + """, dd AS (SELECT x.feature, x.sample AS s1, y.sample AS s2, abs(x.value-y.value) AS g FROM la x JOIN la y ON x.feature=y.feature AND x.sample<>y.sample),
+ hh AS (SELECT k, sum(1.0/greatest(k,1)) OVER (ORDER BY k) - 1 AS h FROM range(0, 1000) t(k)),
+ zz AS (SELECT p.feature AS f1, q.feature AS f2, p.s1, p.g AS gx, q.g AS gy, greatest(p.g,q.g) AS z FROM dd p JOIN dd q ON p.s1=q.s1 AND p.s2=q.s2 AND p.feature<q.feature),
+ ee AS (SELECT f1, f2, s1, list_extract(list_sort(list(z)), 5) AS eps, count(*)+1 AS n FROM zz GROUP BY 1,2,3),
+ cc AS (SELECT f1, f2, s1, any_value(n) AS n, count(*) FILTER (gx<eps) AS nx, count(*) FILTER (gy<eps) AS ny FROM zz JOIN ee USING (f1,f2,s1) GROUP BY 1,2,3),
+ mm AS (SELECT f1, f2, greatest(0, any_value(k4.h)+any_value(kn.h)-avg(hx.h+hy.h)) AS mi FROM cc JOIN hh hx ON hx.k=nx JOIN hh hy ON hy.k=ny JOIN hh kn ON kn.k=n-1 JOIN hh k4 ON k4.k=4 GROUP BY 1,2)
+SELECT 'revenue' AS layer1, f1 AS feature1, 'revenue' AS layer2, f2 AS feature2, mi, mi/max(mi) OVER () AS scaled FROM mm""", "mi scaled")(
+    lambda s, d: CO.mutual_info(X.log_a(s, d)).select(*_K, "mi", "scaled"))
 for _how in ("aracne", "clr", "mrnet"):
     register(f"infer_network_{_how}", "I8")(lambda s, d, h=_how: CO.infer_network(
         CO.correlate(X.log_ab(s, d)).withColumn("mi", F.abs("r")), h))

@@ -41,6 +41,21 @@ CTE = {
 _NEEDS = {"dirty": ["a"], "la": ["a"], "lb": ["b"], "ab": ["a", "b", "la", "lb"], "abe": ["a", "b", "e"]}
 
 
+def t_p(t: str, df: str) -> str:
+    """Two-sided p of Student's t for whole ``df``, as the finite sums of the two cases."""
+    c2, n = f"({df}/({df}+({t})*({t})))", f"cast({df} AS bigint)"
+    even = f"1-abs({t})/sqrt({df}+({t})*({t}))*list_sum([exp(lgamma(2*j+1)-2*lgamma(j+1)-j*ln(4))*pow({c2},j) for j in range({n}//2)])"
+    odd = (f"1-2/pi()*(atan(abs({t})/sqrt({df}))+abs({t})*sqrt({df})/({df}+({t})*({t}))"
+           f"*coalesce(list_sum([exp(j*ln(4)+2*lgamma(j+1)-lgamma(2*j+2))*pow({c2},j) for j in range(({n}-1)//2)]),0))")
+    return f"CASE WHEN {n}%2=0 THEN {even} ELSE {odd} END"
+
+
+def f_p(f: str, d1: str, d2: str) -> str:
+    """Upper p of F for even ``d1``, a finite sum."""
+    x = f"({d2}/({d2}+{d1}*({f})))"
+    return f"pow({x},{d2}/2)*list_sum([exp(lgamma({d2}/2+j)-lgamma({d2}/2)-lgamma(j+1))*pow(1-{x},j) for j in range(cast({d1} AS bigint)//2)])"
+
+
 def with_(*names: str) -> str:
     """``WITH`` clause holding the named fixtures and what they need."""
     order: list[str] = []
