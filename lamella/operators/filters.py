@@ -23,6 +23,7 @@ def feature_count(m: DataFrame) -> DataFrame:
 
 def ranked(stats: DataFrame, col: str, descending: bool = True) -> DataFrame:
     """Feature statistics with ``rn`` per layer (ties by the md5 of the feature id) and ``n_features``."""
+    stats = checkpointed(stats)
     n = stats.groupBy("layer").agg(F.count("*").alias("n_features"))
     return row_numbers(stats, ["layer"], col, "feature", descending=descending).join(n, "layer")
 
@@ -54,11 +55,10 @@ def iqr(m: DataFrame) -> DataFrame:
 
 
 def filter_iqr(m: DataFrame, v: float = 15.0) -> DataFrame:
-    r = ranked(iqr(m), "iqr").where(F.col("rn") < F.col("n_features") * (100 - v) / 100)
-    share = (feature_count(m).join(r.groupBy("layer").agg(F.count("*").alias("_k")), "layer", "left").na.fill(0)
-             .select("layer", F.when(1 - F.col("_k") / F.col("n_features") > 0.8, F.raise_error(F.lit("over 80% of features removed")).cast("boolean"))
-                     .otherwise(F.lit(True)).alias("_ok")))
-    return keep_features(m, r.join(share.where("_ok"), "layer"))
+    r = checkpointed(ranked(iqr(m), "iqr").select(*FEATURE, (F.col("rn") < F.col("n_features") * (100 - v) / 100).alias("_in")))
+    share = r.groupBy("layer").agg((F.count_if("_in") / F.count("*")).alias("_k"))
+    share = share.select("layer", F.when(1 - F.col("_k") > 0.8, F.raise_error(F.lit("over 80% of features removed")).cast("boolean")).otherwise(F.lit(True)).alias("_ok"))
+    return keep_features(m, r.where("_in").join(share.where("_ok"), "layer"))
 
 
 def feature_stats(m: DataFrame) -> DataFrame:

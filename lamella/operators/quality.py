@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from lamella.core import (CELL, FEATURE, SAMPLE, keep_features, layer_sample_counts, layer_sizes, with_stats)
+from lamella.core import (CELL, FEATURE, SAMPLE, checkpointed, keep_features, layer_sample_counts, layer_sizes, with_stats)
 from lamella.functions.ranking import quantiles
 
 COLLAPSE = {
@@ -141,16 +141,14 @@ def layer_state(m: DataFrame, declared: DataFrame | None = None) -> DataFrame:
 
 def common_samples(m: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """Rows of samples present in every layer (and in the metadata); needs two at least."""
-    ls = m.select("layer", "sample").distinct()
+    ls = checkpointed(m.select("layer", "sample").distinct())
+    layers = ls.select("layer").distinct().count()
     if meta is not None:
         ls = ls.join(meta.select("sample"), "sample", "left_semi")
-    n = m.select("layer").distinct().agg(F.count("*").alias("_layers"))
-    one = F.lit(1).alias("_one")
-    keep = (ls.groupBy("sample").agg(F.count("*").alias("_in")).select("*", one)
-            .join(n.select("*", one), "_one").where(F.col("_in") == F.col("_layers")))
-    enough = keep.agg(F.count("*").alias("_c")).select(
-        F.when(F.col("_c") >= 2, F.lit(1)).otherwise(F.raise_error(F.lit("fewer than 2 common samples")).cast("int")).alias("_one"))
-    return m.join(keep.join(enough, "_one").select("sample"), "sample", "left_semi").select(*CELL, "value")
+    keep = checkpointed(ls.groupBy("sample").agg(F.count("*").alias("_in")).where(F.col("_in") == layers).select("sample"))
+    if len(keep.take(2)) < 2:
+        raise ValueError("fewer than 2 common samples")
+    return m.join(keep, "sample", "left_semi").select(*CELL, "value")
 
 
 def check_integrity(m: DataFrame) -> DataFrame:

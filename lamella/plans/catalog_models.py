@@ -290,6 +290,11 @@ for _how, _w in (("mixed", "(sh/a.n+sh/b.n)/2"), ("overlap", "sh/least(a.n,b.n)"
   s AS (SELECT x.set_id AS set1, y.set_id AS set2, count(*) AS sh FROM m x JOIN m y ON x.member=y.member AND x.set_id<y.set_id GROUP BY 1,2)
 SELECT set1, set2, sh AS shared, {_w} AS weight FROM s JOIN n a ON a.set_id=set1 JOIN n b ON b.set_id=set2 WHERE {_w}>=0.3""", "weight")(
         lambda s, d, h=_how: EN.set_network(_names_sets(s, d), _names_sets(s, d), h))
+register("bipartite", "M6", _QS + "SELECT DISTINCT st.set_id, st.member FROM st JOIN q ON q.id=st.member JOIN o ON o.set_id=st.set_id WHERE o.hits>0")(
+    lambda s, d: EN.bipartite(sets(s, d), EN.ora(_query(s, d), sets(s, d)), _query(s, d)))
+register("query_list_significant", "M7", """SELECT DISTINCT p_type AS layer, p_brand AS id FROM part WHERE p_type IN (SELECT min(p_type) FROM part UNION ALL SELECT max(p_type) FROM part) AND p_size>40""")(
+    lambda s, d: EN.query_list(sig=X.table(s, d, "part").where("p_size > 40").select(F.col("p_type").alias("layer"), F.col("p_brand").alias("feature")),
+                               layers=list(X.table(s, d, "part").agg(F.min("p_type"), F.max("p_type")).first())))
 register("query_list_loading", "M7", _LD + """SELECT layer, feature AS id FROM ld WHERE factor=2 QUALIFY row_number() OVER (PARTITION BY layer ORDER BY abs(value) DESC, md5(feature), feature)
   <= ceil(count(*) OVER (PARTITION BY layer)*30/100)""")(lambda s, d: EN.query_list(load=_loads(s, d), factor=2, percent=30.0))
 register("hit_table", "M8", """SELECT p_type AS set_id, 'parts' AS layer, count(*) AS hits, count(*) FILTER (c>0) AS up, count(*) FILTER (c<0) AS down FROM (

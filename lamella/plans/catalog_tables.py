@@ -193,6 +193,9 @@ register("meta_corr_spearman", "C7", _CODE + """, rk AS (SELECT sample, var, ran
 SELECT x.var AS var1, y.var AS var2, round(corr(x.value,y.value),3) AS r
   FROM rk x JOIN rk y ON x.sample=y.sample AND x.var<y.var GROUP BY 1,2""", "r")(
     lambda s, d: ME.meta_corr(X.samples(s, d), "spearman"))
+register("meta_corr_kendall", "C7", _CODE + """, ps AS (SELECT x.var, x.sample AS s1, y.sample AS s2, sign(x.value-y.value) AS g FROM code x JOIN code y ON x.var=y.var AND x.sample<y.sample)
+SELECT p.var AS var1, q.var AS var2, round(sum(p.g*q.g)/sqrt(sum(abs(p.g))*sum(abs(q.g))),3) AS r FROM ps p JOIN ps q ON p.s1=q.s1 AND p.s2=q.s2 AND p.var<q.var GROUP BY 1,2""", "r")(
+    lambda s, d: ME.meta_corr(X.samples(s, d), "kendall"))
 register("meta_corr_partial", "C7")(lambda s, d: ME.meta_corr(X.samples(s, d), "pearson", True))
 register("meta_pair_anova", "C8", with_("samples") + """SELECT 'anova' AS test, ((s2-s1*s1/n)/(k-1))/(ssw/(n-k)) AS stat, cast(k-1 as double) AS df1,
   cast(n-k as double) AS df2 FROM (SELECT sum(c) AS n, count(*) AS k, sum(c*v) AS ssw, sum(c*m) AS s1, sum(c*m*m) AS s2 FROM
@@ -467,6 +470,14 @@ _TAX = """tax AS (SELECT cast(p_partkey as string) AS feature, 'Kingdom' AS rank
   UNION ALL SELECT cast(p_partkey as string), 'Class', CASE WHEN p_size>25 THEN p_name ELSE 'Not_Assigned' END FROM part)
 """
 register("parse_taxa", "G7", "WITH " + _TAX + "SELECT * FROM tax")(lambda s, d: MP.parse_taxa(_lineage(s, d)))
+register("parse_taxa_six_ranks", "G7", "WITH " + _TAX + """SELECT feature, CASE rank WHEN 'Kingdom' THEN 'Phylum' WHEN 'Phylum' THEN 'Class' ELSE 'Order' END AS rank, taxon FROM tax""")(
+    lambda s, d: MP.parse_taxa(_lineage(s, d), MP.RANKS_7[1:]))
+register("custom_signature", "G11", """WITH c AS (SELECT cast(p_partkey as string) AS feature, p_name AS label, p_size AS coef FROM part),
+  i AS (SELECT DISTINCT cast(l_partkey as string) AS id FROM lineitem WHERE l_quantity>49 UNION SELECT min(p_name) FROM part)
+SELECT DISTINCT feature, label, coef FROM c WHERE feature IN (SELECT id FROM i) OR label IN (SELECT id FROM i)""")(
+    lambda s, d: MP.custom_signature(
+        X.table(s, d, "part").select(F.col("p_partkey").cast("string").alias("feature"), F.col("p_name").alias("label"), F.col("p_size").alias("coef")),
+        X.table(s, d, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").cast("string").alias("id")).union(X.table(s, d, "part").agg(F.min("p_name")))))
 register("rollup_taxa", "G8", _PL.rstrip() + ", " + _TAX + """SELECT 'parts' AS layer, rank, taxon AS feature, sample, sum(value) AS value
   FROM pl JOIN tax USING (feature) GROUP BY 2,3,4""", "value")(lambda s, d: MP.rollup_taxa(_part_layer(s, d), MP.parse_taxa(_lineage(s, d))))
 
