@@ -25,8 +25,8 @@ def classes(y: DataFrame) -> list[str]:
     return sorted(r[0] for r in bounded(y.select("label").where(F.col("label").isNotNull()).distinct(), 1000, "labels"))
 
 
-def prepare_groups(m: DataFrame, meta: DataFrame, var: str, a: str, b: str | None = None, top: int = 1000) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Layers and labels of two groups (``b`` None: all others), the ``top`` most variable features, and the size verdict."""
+def prepare_groups(m: DataFrame, meta: DataFrame, var: str, a: str, b: str | None = None, top: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Layers and labels of two groups (``b`` None: all others), the ``top`` most variable features (None: all), and the size verdict."""
     lab = F.when(F.col(var) == a, a).when(F.lit(b is None) & F.col(var).isNotNull(), "others")
     if b is not None:
         lab = F.when(F.col(var).isin(a, b), F.col(var))

@@ -256,10 +256,12 @@ def infer_network(sim: DataFrame, how: str = "aracne", value: str = "mi", eps: f
 
 # ---- selections ----------------------------------------------------------------------------
 
-def select_features(m: DataFrame, sig: DataFrame | None = None, custom: DataFrame | None = None, by: str = "pval", limit: int = 1000) -> DataFrame:
-    """The ``limit`` most significant features per layer, or a custom list (``feature``)."""
+def select_features(m: DataFrame, sig: DataFrame | None = None, custom: DataFrame | None = None, by: str = "pval", limit: int | None = None) -> DataFrame:
+    """The ``limit`` most significant features per layer (None: all that have a statistic), or a custom list (``feature``)."""
     if custom is not None:
         return m.join(custom.select("feature"), "feature", "left_semi")
+    if limit is None:
+        return keep_features(m, sig.where(F.col(by).isNotNull()))
     return keep_features(m, row_numbers(sig, ["layer"], by, "feature").where(F.col("rn") <= limit))
 
 
@@ -269,8 +271,10 @@ def select_by_loading(m: DataFrame, loadings: DataFrame, n: int, c: int) -> Data
     return keep_features(m, row_numbers(l, ["layer", "factor"], "_a", "feature", descending=True).where(F.col("rn") <= n))
 
 
-def strongest(edges: DataFrame, n: int, value: str = "r") -> DataFrame:
-    """Edges whose absolute value is among the ``n`` largest distinct ones."""
+def strongest(edges: DataFrame, n: int | None, value: str = "r") -> DataFrame:
+    """Edges whose absolute value is among the ``n`` largest distinct ones; all with ``n`` None."""
+    if n is None:
+        return edges
     a = F.round(F.abs(value), 10)
     d = edges.withColumn("_a", a)
     top = d.select("_a").distinct().orderBy(F.desc("_a")).limit(n).agg(F.min("_a").alias("_cut"))
@@ -329,9 +333,12 @@ def chord(edges: DataFrame, t: float, p: float, n: int) -> DataFrame:
             .orderBy(F.desc(F.round(F.abs("r"), 10)), *PAIR_KEYS).limit(n))
 
 
-def cross_block(m: DataFrame, cutoff: float, n: int = 100) -> DataFrame:
+def cross_block(m: DataFrame, cutoff: float, n: int | None = None) -> DataFrame:
+    """Cross-layer pairs of at least ``cutoff``; the ``n`` strongest if asked."""
     d = correlate(m, "pearson", cutoff, cross_only=True)
-    return d.orderBy(F.desc(F.round(F.abs("r"), 10)), *PAIR_KEYS).limit(n).select(*PAIR_KEYS, F.round("r", 4).alias("r"))
+    if n is not None:
+        d = d.orderBy(F.desc(F.round(F.abs("r"), 10)), *PAIR_KEYS).limit(n)
+    return d.select(*PAIR_KEYS, F.round("r", 4).alias("r"))
 
 
 def corr_distribution(edges: DataFrame, t: float, bins: int = 20) -> tuple[DataFrame, DataFrame]:

@@ -96,7 +96,10 @@ def top_iqr(m: DataFrame, n: int) -> DataFrame:
     return keep_features(m, ranked(iqr(m).where("iqr > 0"), "iqr").where(F.col("rn") <= n))
 
 
-def top_variance(m: DataFrame, k: int) -> DataFrame:
+def top_variance(m: DataFrame, k: int | None) -> DataFrame:
+    """The ``k`` most variable features of each layer; None: all."""
+    if k is None:
+        return m
     return keep_features(m, ranked(variances(m).where(F.col("variance").isNotNull()), "variance").where(F.col("rn") <= k))
 
 

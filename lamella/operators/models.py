@@ -70,10 +70,12 @@ def interaction_models(m: DataFrame, meta: DataFrame, l1: str, l2: str, var: str
     return d if max_p is None else d.where(F.col("pval") <= max_p)
 
 
-def interaction_select(res: DataFrame, top: int = 20000, p: float = 0.05, by: str = "pval", coef_quantile: float = 0.0, r2: float = 0.0) -> DataFrame:
-    """Top pairs by |coefficient|, with the volcano class of each."""
+def interaction_select(res: DataFrame, top: int | None = None, p: float = 0.05, by: str = "pval", coef_quantile: float = 0.0, r2: float = 0.0) -> DataFrame:
+    """Pairs ranked by |coefficient|, the ``top`` ones if asked, with the volcano class of each."""
     d = res.withColumn("_a", F.round(F.abs("coef"), 12)).withColumn("_one", F.lit(1)).withColumn("_id", F.concat_ws("|", "layer1", "feature1", "layer2", "feature2"))
-    d = row_numbers(d, ["_one"], "_a", "_id", "rank", descending=True).where(F.col("rank") <= top)
+    d = row_numbers(d, ["_one"], "_a", "_id", "rank", descending=True)
+    if top is not None:
+        d = d.where(F.col("rank") <= top)
     if coef_quantile > 0:
         d = d.join(quantiles(d, ["_one"], "_a", {"_cut": coef_quantile}), "_one")
     else:
@@ -82,8 +84,8 @@ def interaction_select(res: DataFrame, top: int = 20000, p: float = 0.05, by: st
     return d.withColumn("class", F.when(~ok, "none").when(F.col("coef") > 0, "up").otherwise("down")).drop("_a", "_one", "_cut", "_id")
 
 
-def interaction_network(sel: DataFrame, sign: str = "both", n: int = 1000) -> DataFrame:
-    """Edges of the strongest ``n`` distinct coefficients of a sign."""
+def interaction_network(sel: DataFrame, sign: str = "both", n: int | None = None) -> DataFrame:
+    """Edges of a sign, those of the strongest ``n`` distinct coefficients if asked."""
     d = sel.where(F.col("class") != "none")
     if sign != "both":
         d = d.where(F.col("coef") > 0 if sign == "positive" else F.col("coef") < 0)

@@ -166,7 +166,7 @@ register("chord", "I13", _E + """SELECT layer1, feature1, layer2, feature2, r FR
   ORDER BY round(abs(r),10) DESC, layer1, feature1, layer2, feature2 LIMIT 50""", "r")(
     lambda s, d: CO.chord(_edges(s, d), 0.1, 1.0, 50).select(*_K, "r"))
 register("cross_block", "I14", _E + """SELECT layer1, feature1, layer2, feature2, round(r,4) AS r FROM e0 WHERE layer1<>layer2 AND abs(r)>=0.1
-  ORDER BY round(abs(r),10) DESC, layer1, feature1, layer2, feature2 LIMIT 100""", "r")(lambda s, d: CO.cross_block(X.log_ab(s, d), 0.1))
+  ORDER BY round(abs(r),10) DESC, layer1, feature1, layer2, feature2 LIMIT 100""", "r")(lambda s, d: CO.cross_block(X.log_ab(s, d), 0.1, 100))
 register("corr_distribution", "I15", _E + """SELECT CASE WHEN layer1<>layer2 THEN 'inter' ELSE 'intra' END AS class, count(*) FILTER (r>0.1) AS positive,
   count(*) FILTER (r< -0.1) AS negative, count(*) AS n FROM e0 GROUP BY 1""")(lambda s, d: CO.corr_distribution(_edges(s, d), 0.1)[0])
 register("corr_histogram", "I15", _E + """SELECT CASE WHEN layer1<>layer2 THEN 'inter' ELSE 'intra' END AS class,

@@ -133,3 +133,33 @@ def test_communities_end_stable(spark):
 def test_rank_prefixes_only_at_the_start(spark):
     d = MP.parse_taxa(spark.createDataFrame([("f", "k__Bacteria;p_Firmicutes;Clostridium_m;NA")], "feature string, lineage string"))
     assert [r.taxon for r in d.collect()][:4] == ["Bacteria", "Firmicutes", "Clostridium_m", "Not_Assigned"] or {r.taxon for r in d.collect()} >= {"Bacteria", "Firmicutes", "Clostridium_m"}
+
+
+def test_moderated_statistics(spark):
+    """Prior degrees of freedom and variance by the moments of log variances, then t, against plain numpy."""
+    from math import lgamma, log
+    psi = lambda x, h=1e-4: (lgamma(x + h) - lgamma(x - h)) / (2 * h)
+    tri = lambda x, h=1e-3: (lgamma(x + h) - 2 * lgamma(x) + lgamma(x - h)) / h ** 2
+    rng = np.random.default_rng(11)
+    n, k = 400, 10
+    sd = np.sqrt(2.0 / rng.chisquare(6, n) * 6)
+    x = rng.normal(size=(n, k)) * sd[:, None] + np.r_[np.zeros(k // 2), np.ones(k // 2)]
+    m = long(spark, [(f"f{i}", f"s{j}", float(x[i, j])) for i in range(n) for j in range(k)])
+    meta = spark.createDataFrame([(f"s{j}", "a" if j < k // 2 else "b") for j in range(k)], "sample string, g string")
+    got = {r.feature: r for r in DI.lm_test(m, meta, "g", ref="a").collect()}
+    a, b = x[:, :k // 2], x[:, k // 2:]
+    df = k - 2
+    s2 = (a.var(1, ddof=1) * 4 + b.var(1, ddof=1) * 4) / df
+    e = np.log(s2) - psi(df / 2) + log(df / 2)
+    want, lo, hi = e.var(ddof=1) - tri(df / 2), 1e-3, 1e3
+    for _ in range(200):
+        mid = (lo * hi) ** 0.5
+        lo, hi = (mid, hi) if tri(mid) > want else (lo, mid)
+    d0 = 2 * lo
+    s0 = np.exp(e.mean() + psi(d0 / 2) - log(d0 / 2))
+    post = (d0 * s0 + df * s2) / (d0 + df)
+    t = (b.mean(1) - a.mean(1)) / np.sqrt(post * 2 / (k // 2))
+    for i in range(n):
+        r = got[f"f{i}"]
+        assert abs(r.stat) == pytest.approx(abs(t[i]), rel=2e-3, abs=1e-4) and r.df_total == pytest.approx(df + d0, rel=1e-2)
+        assert r.f_stat == pytest.approx(r.stat ** 2, rel=1e-6) and r.f_pval == pytest.approx(r.pval, abs=1e-8)
