@@ -105,7 +105,7 @@ def bounded(df: DataFrame, limit: int, what: str) -> list:
 
 def scratch_folder(spark: SparkSession) -> str:
     """A new folder in the shared place the cluster names; under /tmp only in a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base:
         return f"{base.rstrip('/')}/run-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local"):

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from lamella.core import checkpointed
 
 BUCKETS = 32
-TIE_SPLITS = 16
+BUCKET_ROWS = 500_000
 
 
 def tie_key(tie: Column) -> Column:
@@ -44,14 +44,17 @@ def _split(df: DataFrame, keys: list[str], value: str, buckets: int) -> DataFram
 
 
 def row_numbers(df: DataFrame, keys: list[str], value: str, tie: str, out: str = "rn",
-                descending: bool = False, buckets: int = BUCKETS) -> DataFrame:
+                descending: bool = False, buckets: int | None = None) -> DataFrame:
     """Exact ``row_number`` by (value, md5(tie), tie) per group, in bounded tasks.
 
+    The number of buckets grows with the table, by default one for every ``BUCKET_ROWS`` rows.
     Values that are bounds (heavy ties among them) form their own buckets and are
     split further by the leading hex digit of the tie key.
     """
     sign = -1 if descending else 1
-    d = checkpointed(df).withColumn("_v", F.col(value) * sign).withColumn("_h", tie_key(F.col(tie)))
+    d = checkpointed(df)
+    buckets = buckets or max(BUCKETS, -(-d.count() // BUCKET_ROWS))
+    d = d.withColumn("_v", F.col(value) * sign).withColumn("_h", tie_key(F.col(tie)))
     d = _split(d, keys, "_v", buckets)
     d = d.withColumn("_s", F.when(F.col("_t") == 1, F.substring("_h", 1, 1)).otherwise(F.lit("")))
     cell = [*keys, "_k", "_t", "_s"]

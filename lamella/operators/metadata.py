@@ -134,13 +134,15 @@ def _fisher_table(t: np.ndarray, draws: int = 2000, seed: int = 1) -> float:
         p = np.exp(lp)
         return float(min(1.0, p[p <= p[x == t[0, 0]][0] * (1 + 1e-7)].sum()))
     rng = np.random.default_rng(seed)
-    rows, cols = np.repeat(np.arange(len(r)), r), np.repeat(np.arange(len(c)), c)
     seen = -lf(t).sum()
     hit = 0
     for _ in range(draws):
-        s = np.zeros_like(t)
-        np.add.at(s, (rows, rng.permutation(cols)), 1)
-        hit += -lf(s).sum() <= seen + 1e-7
+        # row after row from what the columns still have: the cost does not depend on how many samples there are
+        left, s = c.astype(np.int64), []
+        for own in r.astype(np.int64):
+            s.append(rng.multivariate_hypergeometric(left, own, method="marginals"))
+            left = left - s[-1]
+        hit += -lf(np.array(s)).sum() <= seen + 1e-7
     return float((hit + 1) / (draws + 1))
 
 
