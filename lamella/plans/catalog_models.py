@@ -7,7 +7,7 @@ from lamella.core import checkpointed, scratch_folder, stack_layers
 from lamella.operators import biomarker as BI, clustering as CL, correlation as CO, differential as DI, enrichment as EN, models as MO, quality as QU, reduction as RE
 from lamella.plans import fixtures as X
 from lamella.plans.catalog_relations import _E, _edges, _graph, _N
-from lamella.plans.fixtures import with_
+from lamella.plans.fixtures import t_p, with_
 from lamella.plans.registry import register
 from lamella.sources import tables as TB
 
@@ -318,6 +318,13 @@ SELECT 'revenue' AS layer, feature, avg(greatest(u,1-u)) AS auc FROM p GROUP BY
     lambda s, d: BI.auc_multi(X.layer_a(s, d), X.samples(s, d).select("sample", F.col("region").alias("label"))))
 register("fold_change", "N4", with_("a", "samples") + """SELECT layer, feature, log2(avg(value) FILTER (acct_high='low')/avg(value) FILTER (acct_high='high')) AS fc
   FROM a JOIN samples USING (sample) GROUP BY 1,2""", "fc")(lambda s, d: BI.fold_change(X.layer_a(s, d), _y(s, d)))
+register("rank_table_statistics", "N5", with_("a", "samples") + f""", j AS (SELECT layer, feature, value, acct_high AS label FROM a JOIN samples USING (sample)),
+ k AS (SELECT *, rank() OVER (PARTITION BY layer, feature ORDER BY value) + (count(*) OVER (PARTITION BY layer, feature, value) - 1) / 2.0 AS rk FROM j),
+ g AS (SELECT layer, feature, sum(rk) FILTER (label='low') AS s, cast(count(*) FILTER (label='high') as double) AS n0, cast(count(*) FILTER (label='low') as double) AS n1, avg(value) FILTER (label='high') AS m0,
+   avg(value) FILTER (label='low') AS m1, var_samp(value) FILTER (label='high') AS v0, var_samp(value) FILTER (label='low') AS v1 FROM k GROUP BY 1,2),
+ t AS (SELECT *, n0+n1-2 AS df, (m0-m1)/sqrt(((n0-1)*v0+(n1-1)*v1)/(n0+n1-2)*(1/n0+1/n1)) AS stat FROM g)
+SELECT layer, feature, greatest((s-n1*(n1+1)/2)/(n1*n0), 1-(s-n1*(n1+1)/2)/(n1*n0)) AS auc, stat, {t_p('stat', 'df')} AS pval, log2(m1/m0) AS fc FROM t""", "auc stat pval fc")(
+    lambda s, d: BI.rank_table(X.layer_a(s, d), _y(s, d)).select("layer", "feature", "auc", "stat", "pval", "fc"))
 register("rank_table", "N5")(lambda s, d: BI.rank_table(X.layer_a(s, d), _y(s, d)))
 _ROC = with_("e", "samples") + """, v AS (SELECT feature, value, count(*) FILTER (acct_high='low') AS a, count(*) FILTER (acct_high='high') AS b FROM e JOIN samples USING (sample) GROUP BY 1,2),
   md AS (SELECT feature, quantile_cont(value,0.5) FILTER (acct_high='low') AS m1, quantile_cont(value,0.5) FILTER (acct_high='high') AS m0, count(*) FILTER (acct_high='low') AS n1, count(*) FILTER (acct_high='high') AS n0

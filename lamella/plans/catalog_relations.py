@@ -48,6 +48,16 @@ register("lm_continuous", "H4", with_("la", "samples") + """SELECT layer, featur
 register("lm_block", "H5")(lambda s, d: DI.lm_test(X.log_a(s, d), X.samples(s, d), "acct_high", block="region"))
 register("lm_nested_contrast", "H6")(lambda s, d: DI.lm_test(
     X.log_a(s, d), X.samples(s, d), "region", contrasts={"kind": "nested", "pairs": [("ASIA", "EUROPE"), ("AFRICA", "AMERICA")], "nested_only": False}))
+register("lm_nested_coefficients", "H6", _FG + """, w AS (SELECT layer, feature, max(mn) FILTER (region='ASIA')-max(mn) FILTER (region='EUROPE') AS ae,
+  max(mn) FILTER (region='AFRICA')-max(mn) FILTER (region='AMERICA') AS aa, sqrt(sum((n-1)*v)/(sum(n)-count(*))) AS sigma, cast(sum(n)-count(*) as double) AS df, sum(n*mn)/sum(n) AS ave FROM s GROUP BY 1,2)
+SELECT layer, feature, 'ASIA-EUROPE' AS term, ae AS coef, sigma, df, ave FROM w UNION ALL SELECT layer, feature, 'AFRICA-AMERICA', aa, sigma, df, ave FROM w
+UNION ALL SELECT layer, feature, '(ASIA-EUROPE)-(AFRICA-AMERICA)', ae-aa, sigma, df, ave FROM w""", "coef sigma df ave")(lambda s, d: DI.lm_test(
+    X.log_a(s, d), X.samples(s, d), "region", contrasts={"kind": "nested", "pairs": [("ASIA", "EUROPE"), ("AFRICA", "AMERICA")], "nested_only": False}).select(*_lm))
+# one covariate factor: the coefficient is the slope within its levels
+register("adjustment_coefficients", "H7", with_("la", "samples") + """, j AS (SELECT layer, feature, value, CASE WHEN acct_high='low' THEN 1.0 ELSE 0.0 END AS x, region FROM la JOIN samples USING (sample)),
+ c AS (SELECT layer, feature, x-avg(x) OVER p AS xc, value-avg(value) OVER p AS yc, x, value FROM j WINDOW p AS (PARTITION BY layer, feature, region))
+SELECT layer, feature, 'low-high' AS term, sum(xc*yc)/sum(xc*xc) AS coef_adjusted, regr_slope(value, x) AS coef_raw FROM c GROUP BY 1,2""", "coef_adjusted coef_raw")(
+    lambda s, d: DI.adjustment_effect(X.log_a(s, d), X.samples(s, d), "acct_high", ["region"]).select("layer", "feature", "term", "coef_adjusted", "coef_raw"))
 register("adjustment_effect", "H7")(lambda s, d: DI.adjustment_effect(X.log_a(s, d), X.samples(s, d), "acct_high", ["region"]))
 
 
