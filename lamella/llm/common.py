@@ -10,7 +10,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def small_batches(spark: SparkSession, rows: int = 256, mb: int = 32) -> None:
+def small_batches(spark: SparkSession, rows: int = 256, mb: int = 8) -> None:
     """Bounds what one Arrow batch of whole texts can hold, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)

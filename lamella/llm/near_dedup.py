@@ -49,7 +49,7 @@ class SketchSpec:
 
 class WordHash(dict):
     """64-bit hashes of words, remembered for a task; forgotten beyond ``limit`` words."""
-    limit = 500_000
+    limit = 200_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -36,7 +36,7 @@ def shape(word: str) -> str:
 
 class Terms(dict):
     """word -> (shape's term, word's term) in one number; forgotten beyond ``limit`` words."""
-    limit = 500_000
+    limit = 200_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.limit:

@@ -18,7 +18,7 @@ WHOLE = rf"{_WS}[ \n]{_WS}|{_WS}[ \n]\z|\x00"
 #: White space to some libraries and not to others: such pieces are encoded alone.
 ODD = "\x1c\x1d\x1e\x1f\x85\u200b\ufeff\u180e"
 #: Different pieces a worker remembers; pieces beyond are encoded each time. Bounds memory, not results.
-CACHE = 600_000
+CACHE = 250_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -125,7 +125,7 @@ class Encoder:
         return ids, lens
 
 
-def chunks(batches, column: str, limit: int = 8 << 20):
+def chunks(batches, column: str, limit: int = 2 << 20):
     """Record batches joined until the texts of one hold about ``limit`` bytes."""
     held, size = [], 0
     for b in batches:
