@@ -11,55 +11,58 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-TOTAL_BITS, ORDER0_BITS, SLOT_BITS = 26, 18, 11
-TOP, BOTTOM = U(1 << 48), U(1 << 40)
-CONFIDENCE = 8
+TOTAL_BITS, ORDER0_BITS, SLOT_BITS, CONF_BITS = 26, 18, 10, 3
+WORD = U(32)
+LEAST = U(1 << 32)       # a range below it puts out 32 bits
+CONFIDENCE = 1 << CONF_BITS
 
 
 class Mixer:
-    """State of all lanes: prediction tables of order 1 and 2, and the success counts of their confidences."""
+    """State of all lanes: prediction tables of order 1 and 2, and how often predictions of each confidence were right."""
 
     def __init__(self, lanes: int):
         self.base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
-        self.pred = [np.zeros(lanes << SLOT_BITS, np.int32) for _ in range(2)]
-        self.conf = [np.zeros(lanes << SLOT_BITS, np.int8) for _ in range(2)]  # 0: nothing seen yet
+        # prediction and confidence in one number; confidence 0: nothing seen yet
+        self.table = [np.zeros(lanes << SLOT_BITS, np.int32) for _ in range(2)]
         self.lane = np.arange(lanes, dtype=np.int64) * CONFIDENCE
-        # the share, of 65536, of right predictions at each confidence
-        self.right = [np.tile(np.linspace(4096, 57344, CONFIDENCE).astype(np.int32), lanes) for _ in range(2)]
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
+        # the share, of 65536, of right predictions at each confidence; none at 0
+        self.right = [np.tile(np.r_[0, np.linspace(4096, 57344, CONFIDENCE - 1)].astype(np.int64), lanes) for _ in range(2)]
+        self.one = np.zeros(lanes, np.int64)  # the last id, mixed; and with the one before
+        self.two = np.zeros(lanes, np.int64)
 
     def predict(self, n: int):
         """Ids and masses of both predictions for the first ``n`` lanes, and the unit of order 0."""
-        self.slot, self.seen, self.stat = [], [], []
-        ids, p = [], []
-        for order, context in ((0, self.last[:n] * 40503), (1, (self.last[:n] * 40503) ^ (self.before[:n] * 30011 + 77777))):
-            s = self.base[:n] + ((context ^ (context >> 7)) & ((1 << SLOT_BITS) - 1))
-            c = self.conf[order][s].astype(np.int64)
-            at = self.lane[:n] + c - (c > 0)
-            self.slot.append(s)
-            self.seen.append(c)
-            self.stat.append(at)
-            ids.append(self.pred[order][s].astype(np.int64))
-            p.append(np.where(c > 0, self.right[order][at], 0).astype(np.int64))
-        two = p[1] << (TOTAL_BITS - 16)
-        one = (((1 << TOTAL_BITS) - two) * p[0]) >> 16
-        unit = ((1 << TOTAL_BITS) - two - one) >> ORDER0_BITS
-        return ids[1], two, ids[0], one, unit
+        self.held = []
+        out = []
+        for order, context in ((0, self.one), (1, self.two)):
+            s = context[:n] & ((1 << SLOT_BITS) - 1)
+            s += self.base[:n]
+            v = self.table[order].take(s)
+            c = v & (CONFIDENCE - 1)
+            at = self.lane[:n] + c
+            p = self.right[order].take(at)
+            self.held.append((s, v, c, at, p))
+            out += [(v >> CONF_BITS).astype(np.int64), p]
+        two = out[3] << (TOTAL_BITS - 16)
+        left = (1 << TOTAL_BITS) - two
+        one = (left * out[1]) >> 16
+        return out[2], two, out[0], one, (left - one) >> ORDER0_BITS
 
     def update(self, n: int, ids: np.ndarray):
-        for order in (0, 1):
-            s, c, at = self.slot[order], self.seen[order], self.stat[order]
-            hit = self.pred[order][s] == ids
-            stat = self.right[order][at]
-            moved = stat + ((np.where(hit, 60000, 600) - stat) >> 4)
-            self.right[order][at] = np.where(c > 0, moved, stat)
-            hit &= c > 0
-            self.conf[order][s] = np.where(hit, np.minimum(c + 1, CONFIDENCE), np.maximum(c >> 1, 1))
-            put = ~hit & (c <= 1)
-            self.pred[order][s[put]] = ids[put]
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids + 1
+        new = ids.astype(np.int32) << CONF_BITS
+        new += 1
+        for order, (s, v, c, at, p) in enumerate(self.held):
+            hit = (v >> CONF_BITS) == (new >> CONF_BITS)
+            right = self.right[order]
+            right[at] = p + ((np.where(hit, 60000, 600) - p) >> 4)
+            right[::CONFIDENCE] = 0
+            weak = c < 2
+            half = v - c + (c >> 1)
+            self.table[order][s] = np.where(hit & (c > 0), v + (c < CONFIDENCE - 1), np.where(weak, new, half))
+        mixed = ids * 40503
+        mixed ^= mixed >> 9
+        self.two[:n] = mixed * 5 + (self.one[:n] * 30011 >> 4)
+        self.one[:n] = mixed
 
 
 def order0(counts: np.ndarray) -> np.ndarray:
@@ -86,86 +89,87 @@ def encode(symbols: np.ndarray, freq: np.ndarray, block: int) -> list[bytes]:
     start0 = np.cumsum(freq) - freq
     model = Mixer(lanes)
     low, rng = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
-    out = np.zeros((lanes, 2 * block + 8), np.uint16)
-    pos = np.zeros(lanes, np.int64)
-    flat, width = out.reshape(-1), out.shape[1]
-    edge = np.arange(lanes) * width
+    width = block + 4
+    out = np.zeros(lanes * width, np.uint32)
+    pos = np.arange(lanes) * width
     for t in range(block if lanes > 1 else int(size[0])):
         n = lanes if t < size[-1] else lanes - 1
         ids = grid[t, :n]
         two_id, two, one_id, one, unit = model.predict(n)
-        start = unit * start0[ids] + two * (two_id < ids) + one * (one_id < ids)
-        mass = unit * freq[ids] + two * (two_id == ids) + one * (one_id == ids)
+        start = unit * start0.take(ids) + two * (two_id < ids) + one * (one_id < ids)
+        mass = unit * freq.take(ids) + two * (two_id == ids) + one * (one_id == ids)
         model.update(n, ids)
         r = rng[:n] >> U(TOTAL_BITS)
-        low[:n] += r * start.astype(U)
-        rng[:n] = r * mass.astype(U)
-        while True:
-            go = (low ^ (low + rng)) < TOP
-            small = ~go & (rng < BOTTOM)
-            if small.any():
-                rng[small] = (U(0) - low[small]) & (BOTTOM - U(1))
-                go |= small
-            i = np.flatnonzero(go[:n])
-            if not len(i):
-                break
-            flat[edge[i] + pos[i]] = (low[i] >> U(48)).astype(np.uint16)
-            pos[i] += 1
-            low[i] <<= U(16)
-            rng[i] <<= U(16)
-    for _ in range(4):
-        flat[edge + pos] = (low >> U(48)).astype(np.uint16)
+        low[:n] += r * start.view(U)
+        r *= mass.view(U)
+        rng[:n] = r
+        i = np.flatnonzero(r < LEAST)
+        if len(i):
+            x = low[i]
+            w = _settled(x, r[i])
+            at = pos[i]
+            out[at] = x >> WORD
+            pos[i] = at + 1
+            low[i] = x << WORD
+            rng[i] = w << WORD
+    for _ in range(2):
+        out[pos] = low >> WORD
         pos += 1
-        low <<= U(16)
-    return [out[i, :p].astype("<u2").tobytes() for i, p in enumerate(pos.tolist())]
+        low <<= WORD
+    return [out[i * width:p].astype("<u4").tobytes() for i, p in enumerate(pos.tolist())]
+
+
+def _settled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
+    """Ranges below 2^32, cut where they cross a multiple of 2^32, so that the upper half of ``low`` is final."""
+    crosses = (low ^ (low + rng)) >= LEAST
+    return np.where(crosses, (U(0) - low) & (LEAST - U(1)), rng)
 
 
 def decode(blocks: list[bytes], n: int, freq: np.ndarray, block: int) -> np.ndarray:
     """The symbols that ``encode`` was given."""
     size = lengths(n, block)
     lanes = len(size)
-    words = np.frombuffer(b"".join(blocks) + b"\0" * 16, "<u2").astype(U)
-    count = np.array([len(b) // 2 for b in blocks])
+    words = np.frombuffer(b"".join(blocks) + b"\0" * 16, "<u4").astype(U)
+    count = np.array([len(b) // 4 for b in blocks])
     at = np.cumsum(count) - count
     start0 = np.cumsum(freq) - freq
+    symbol = np.repeat(np.arange(len(freq)), freq)  # of each unit of order 0
     model = Mixer(lanes)
     low, rng, code = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U), np.zeros(lanes, U)
-    for _ in range(4):
-        code = (code << U(16)) | words[at]
+    for _ in range(2):
+        code = (code << WORD) | words[at]
         at = at + 1
     grid = np.zeros((block, lanes), np.int64)
     for t in range(block if lanes > 1 else int(size[0])):
         m = lanes if t < size[-1] else lanes - 1
         two_id, two, one_id, one, unit = model.predict(m)
         r = rng[:m] >> U(TOTAL_BITS)
-        v = ((code[:m] - low[:m]) // r).astype(np.int64)
-        swap = one_id < two_id
-        a, b = np.where(swap, one_id, two_id), np.where(swap, two_id, one_id)
+        v = ((code[:m] - low[:m]) // r).view(np.int64)
+        # both predictions' intervals, the smaller id first; what is left of the point without their masses is order 0's
+        a, b = np.minimum(one_id, two_id), np.maximum(one_id, two_id)
+        ma = np.where(one_id < two_id, one, two)
         same = one_id == two_id
-        ma = np.where(same, two + one, np.where(swap, one, two))
-        mb = np.where(same, 0, np.where(swap, two, one))
-        a0, b0 = unit * start0[a], ma + unit * start0[b]
-        a1, b1 = a0 + ma + unit * freq[a], b0 + mb + unit * freq[b]
+        mb = np.where(same, 0, two + one - ma)
+        ma = np.where(same, two + one, ma)
+        a0, b0 = unit * start0.take(a), ma + unit * start0.take(b)
+        a1, b1 = a0 + ma + unit * freq.take(a), b0 + mb + unit * freq.take(b)
         rest = v - ma * (v >= a1) - mb * (v >= b1)
-        ids = np.searchsorted(start0, rest // unit, side="right") - 1
+        ids = symbol.take(rest // unit, mode="clip")
         ids = np.where((v >= a0) & (v < a1), a, np.where((v >= b0) & (v < b1), b, ids))
         grid[t, :m] = ids
-        start = unit * start0[ids] + two * (two_id < ids) + one * (one_id < ids)
-        mass = unit * freq[ids] + two * (two_id == ids) + one * (one_id == ids)
+        start = unit * start0.take(ids) + two * (two_id < ids) + one * (one_id < ids)
+        mass = unit * freq.take(ids) + two * (two_id == ids) + one * (one_id == ids)
         model.update(m, ids)
-        low[:m] += r * start.astype(U)
-        rng[:m] = r * mass.astype(U)
-        while True:
-            go = (low ^ (low + rng)) < TOP
-            small = ~go & (rng < BOTTOM)
-            if small.any():
-                rng[small] = (U(0) - low[small]) & (BOTTOM - U(1))
-                go |= small
-            i = np.flatnonzero(go[:m])
-            if not len(i):
-                break
-            code[i] = (code[i] << U(16)) | words[at[i]]
-            at[i] += 1
-            low[i] <<= U(16)
-            rng[i] <<= U(16)
+        low[:m] += r * start.view(U)
+        r *= mass.view(U)
+        rng[:m] = r
+        i = np.flatnonzero(r < LEAST)
+        if len(i):
+            x = low[i]
+            w = _settled(x, r[i])
+            k = at[i]
+            code[i] = (code[i] << WORD) | words[k]
+            at[i] = k + 1
+            low[i] = x << WORD
+            rng[i] = w << WORD
     return np.ascontiguousarray(grid.T).reshape(-1)[:n]

@@ -24,14 +24,16 @@ from lamella.llm.range_coder import decode, encode, lengths, order0
 from lamella.llm.tokens import chunks, encoder, tokenizer_path
 
 MAGIC = b"LTS1"
-BLOCK = 1024
+BLOCK = 512
 SEGMENT = 2_000_000
 #: Documents in a file, about.
 PER_FILE = 8192
 
 
 def pack_segment(doc_ids: list, sizes: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    names, symbols, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)  # as long as the vocabulary
+    names = np.flatnonzero(counts)
+    symbols, counts = (np.cumsum(counts > 0) - 1)[ids], counts[names]
     freq = order0(counts.astype(np.int64)) if len(ids) else np.empty(0, np.int64)
     streams = encode(symbols, freq, block) if len(ids) else []
     at = np.concatenate([[0], np.cumsum(lengths(len(ids), block))]) if len(ids) else np.zeros(1, np.int64)
