@@ -12,9 +12,10 @@ from lamella.llm.common import small_batches
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
-#: Phrases that mark a line as boilerplate, lower case.
+#: Phrases that mark a short line as boilerplate, lower case.
 BOILERPLATE = ("all rights reserved", "licensed under", "released under the", "terms of service", "terms of use", "privacy policy", "cookie policy",
                "use of cookies", "enable javascript", "subscribe to our newsletter", "lorem ipsum", "copyright ©", "powered by")
+PHRASE = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, BOILERPLATE)) + r")(?!\w)")
 SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?:[ \t\r]|$)")
 NAV_MARK = re.compile(r"(?:^|[ \t])[|›»·•>/][ \t]*(?=\S|$)")
 #: A word with a run of symbols, or one that ends in two or more shouted marks.
@@ -24,21 +25,27 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds. ``max_lost``: share of words that removed lines may hold; boilerplate lines are removed but not counted as lost."""
+    """Thresholds. ``max_lost``: share of all words that removed lines may hold, whichever rule they fail.
+
+    A line is boilerplate if it has at most ``boilerplate_words`` words and phrases hold ``min_boilerplate`` of them.
+    """
     min_words: int = 10
     max_repeat_pct: int = 20
     max_noise: float = 0.3
     nav_every: int = 6
     max_lost: float = 0.35
+    boilerplate_words: int = 20
+    min_boilerplate: float = 2 / 3
 
 
 def line_fault(line: str, words: list[str], rules: Rules) -> str | None:
     """Which rule a line fails: ``boilerplate``, ``navigation``, ``punctuation``, or None. A blank line fails none."""
     if not words:
         return None
-    low = line.lower()
-    if any(p in low for p in BOILERPLATE):
-        return "boilerplate"
+    if len(words) <= rules.boilerplate_words:
+        held = sum(len(m[0].split()) for m in PHRASE.finditer(" ".join(words).lower()))
+        if held and held >= rules.min_boilerplate * len(words):
+            return "boilerplate"
     marks = len(NAV_MARK.findall(line)) if any(c in line for c in "|›»·•>/") else 0
     if marks >= 2 and marks * rules.nav_every >= len(words) or marks and len(words) < rules.nav_every:
         return "navigation"
@@ -92,14 +99,12 @@ def judge(text: str | None, rules: Rules) -> tuple:
             dup += line in seen
             seen.add(line)
         fault = line_fault(line, own, rules)
+        counted += len(own)
         if fault is None:
             clean.append(line)
-            counted += len(own)
         else:
             lost_lines += 1
-            if fault != "boilerplate":
-                lost += len(own)
-                counted += len(own)
+            lost += len(own)
     repeat = n_repeat_words(words)
     failed = n < rules.min_words or 100 * repeat > rules.max_repeat_pct * n
     kept = not failed and lost <= rules.max_lost * counted and counted > 0

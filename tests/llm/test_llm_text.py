@@ -136,3 +136,18 @@ def test_scores_of_odd_rows(spark):
         out = quality_knn.scored(docs, quality_knn.train(docs, lab)).collect()
         assert len(out) == 7 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out)
     assert quality_knn.scored(docs.where("false"), None).collect() == []
+
+
+def test_boilerplate_counts_as_lost():
+    names = [x.split()[0] for x in Q.SCHEMA.split(", ")]
+    judged = lambda t: dict(zip(names, Q.judge(t, Q.Rules())))
+    good = "Here stands one sentence of plain words that ends well, with no phrase in it at all."
+    notes = "\n".join(f"All rights reserved {i}." for i in range(70))
+    r = judged(f"{notes}\n{good}")
+    assert not r["kept"] and not r["base_failed"] and r["lost_words"] == 70 * 4 and r["clean_text"] == good
+    long = " ".join(f"word{i}" for i in range(300)) + " and the mill, powered by water, has a privacy policy."
+    for t in (long, f"{good}\n{long}", good + " It was licensed under a rule of the town, which the mayor had read aloud twice."):
+        assert judged(t)["kept"] and judged(t)["clean_text"] == t and judged(t)["lost_words"] == 0
+    for line in ("All rights reserved.", "Licensed under MIT", "Powered by WordPress", "Privacy Policy | Terms of Use", "Copyright © 2001 Company. All rights reserved."):
+        assert Q.line_fault(line, line.split(), Q.Rules()) == "boilerplate", line
+    assert Q.line_fault("Empowered by hope.", ["Empowered", "by", "hope."], Q.Rules()) is None
