@@ -60,3 +60,15 @@ def test_stages(spark):
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLES) < set(queries.QUERIES)
+
+
+def test_dedup_stages_with_null_and_repeated_ids(spark):
+    a, b, c = ("".join(f"{x}{i} " for i in range(40)) for x in "abc")
+    rows = [(5, a), (5, b), (9, a), (7, c), (7, c), (None, c), (None, "n"), (None, "n"), (3, b.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], ", ".join(f"{n} {k}" for n, k in zip(C.DOCUMENT, ("long", "string", "string", "string", "long"))))
+    left = lambda d: sorted(((r.doc_id, r.text.lower()) for r in d.collect()), key=repr)
+    assert left(C.exact(spark, docs, SMALL)) == sorted([(5, b), (9, a), (7, c), (None, "n")], key=repr)
+    near = [(5, a), (5, b), (9, a + "tail"), (7, c), (7, c), (None, c + "tail"), (None, "n " * 9), (None, "n " * 9)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in near], docs.schema)
+    assert left(C.near(spark, docs, SMALL)) == sorted([(5, a), (5, b), (7, c), (None, "n " * 9)], key=repr)
+    assert C.near(spark, docs.where("false"), SMALL).collect() == [] == C.exact(spark, docs.where("false"), SMALL).collect()
