@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-Exact rules find base entities, which are the seeds.  What stands left of an entity is a lexical pattern; tokens that look
-like identifiers and stand in such a context are its other instances.  Spark scores the bipartite graph of patterns and
+Exact rules find base entities, which are the seeds.  The words left or right of an entity are lexical patterns; candidates that
+look like identifiers, with blanks in them or not, and stand in such a context are its other instances.  Spark scores the bipartite graph of patterns and
 instances in turns: a pattern by the share of its instances that are believed, an instance by its patterns.  Unseen tokens
 of patterns with high confidence become spans of the pattern's kind; base spans are never changed.
 """
@@ -23,12 +23,17 @@ RULES = {
 }
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 IP = r"^(0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(\.|$)){4}$"
-#: A token of 5 to 200 characters with a digit or an at sign; what an identifier may look like.
-TOKEN = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S{5,200}+(?!\S)"
+#: A token of 5 characters or more with a digit or an at sign; what an identifier may look like.
+TOKEN = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S{5,}+"
+_UNIT, _AREA = r"[0-9xX*]{1,8}+(?![A-Za-z0-9*@])", r"\([0-9xX*]{1,5}+\)"
+#: Groups of digits, x and stars, bracketed or not, with single blanks, dots, hyphens or slashes between; possessive, so that Java loops.
+GROUPS = rf"(?<![A-Za-z0-9*@+.\-/])\+?(?:{_UNIT}|{_AREA})(?:(?:[ .\-/]|(?<=\)))(?:{_UNIT})|[ .\-/]?(?:{_AREA}))++"
+#: A mail address whose at sign is spelled out, with or without blanks around.
+SPELLED = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 #: What an unseen token must look like to be of a kind.
 LOOKS = {
-    "email": r"^[^\s@]+(@|\[at\]|\(at\))[^\s@]+$", "ip": r"^[0-9]+([.:\[\]dot()]+[0-9]+){3}$|^[0-9a-fA-F]*(:[0-9a-fA-F]*){3,7}$",
-    "card": r"^[0-9xX*]([ .-]?[0-9xX*]){11,18}$", "phone": r"^\+?[0-9(][0-9().\-/]{6,18}[0-9]$",
+    "email": r"(?i)^[^\s@]+(@| ?(\[at\]|\(at\)) ?)[^\s@]+$", "ip": r"^[0-9]+([.:\[\]dot()]+[0-9]+){3}$|^[0-9a-fA-F]*(:[0-9a-fA-F]*){3,7}$",
+    "card": r"^[0-9xX*]([ .-]?[0-9xX*]){11,18}$", "phone": r"^\+?[0-9(][0-9().\-/]{6,18}[0-9]$|^(?=[^ ]+ )\+?(\D{0,2}[0-9]){7,15}$",
 }
 SPAN = "array<struct<s:int,e:int,m:string>>"
 
@@ -93,7 +98,10 @@ def listed(s: Column) -> Column:
 
 
 def base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, h, text``, an array of valid spans for each kind, and ``tokens``: identifier-like tokens outside them."""
+    """``id, h, text``, an array of valid spans for each kind, and ``tokens``: identifier-like candidates outside them.
+
+    A candidate is a token or a run of groups with blanks in it (``wide``); ``run`` is the start of the run it lies in, or its own.
+    """
     d = docs.select(docs[f"`{id_col}`"].alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
     d = d.withColumn("h", F.xxhash64("text"))
     digit = F.col("text").rlike("[0-9]")
@@ -108,15 +116,27 @@ def base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     d = d.withColumn("tokens", F.transform("tokens", lambda x: F.struct(
         (x["s"] + lead(x["m"])).alias("s"), (x["e"] - tail(x["m"])).alias("e"), F.regexp_replace(F.regexp_replace(x["m"], r"^[\"'(\[<{]+", ""), r"[\"')\]>}.,;:!?]+$", "").alias("m"))))
     every = F.concat(*[F.col(k) for k in KINDS])
-    return d.withColumn("tokens", F.filter("tokens", lambda t: (t["e"] - t["s"] >= 5) & ~F.exists(every, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))))
-
-
-def contexts(text: Column, s: Column) -> Column:
-    """The patterns of an entity that starts at ``s``: the last word before it, and the last two, lower case."""
+    free = lambda t: (t["e"] - t["s"] >= 5) & ~F.exists(every, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))
+    at = F.instr(F.lower("text"), "at]") + F.instr(F.lower("text"), "at)") > 0
+    groups = F.filter(spans(F.col("text"), GROUPS, digit), lambda t: t["m"].contains(" ") & t["m"].rlike("(?:[^0-9]*+[0-9]){5}"))
+    d = d.withColumn("wide", F.filter(F.concat(groups, spans(F.col("text"), SPELLED, at)), free)).withColumn("tokens", F.filter("tokens", free))
+    over = lambda t: F.get(F.filter("wide", lambda w: (w["s"] < t["e"]) & (t["s"] < w["e"])), F.lit(0))["s"]
+    struct = lambda t, run, wide: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["m"].alias("m"), run.alias("run"), F.lit(wide).alias("wide"))
+    return d.withColumn("tokens", F.concat(F.transform("tokens", lambda t: struct(t, F.coalesce(over(t), t["s"]), False)),
+                                           F.transform("wide", lambda t: struct(t, t["s"], True)))).drop("wide")
+
+
+def contexts(text: Column, s: Column, e: Column) -> Column:
+    """The patterns of an entity from ``s`` to ``e``, lower case: the last word before it and the last two; the next word and
+    the next two, which begin with a blank."""
     left = F.substring(text, F.greatest(s - 79, F.lit(1)), F.least(s, F.lit(80)))
     word = r"(\S{1,40})\s+$"
     one, two = F.lower(F.regexp_extract(left, word, 1)), F.lower(F.regexp_extract(left, r"(?:^|\s)(\S{1,40}\s+\S{1,40})\s+$", 1))
-    return F.filter(F.array(one, F.regexp_replace(two, r"\s+", " ")), lambda p: p != "")
+    # long enough that no word is cut at the window's end
+    right = F.substring(text, e + 1, F.lit(120))
+    behind = r"^[\"')\]>}.,;:!?]{0,4}(\s{1,8}\S{1,40})(?!\S)", r"^[\"')\]>}.,;:!?]{0,4}(\s{1,8}\S{1,40}\s{1,8}\S{1,40})(?!\S)"
+    after = [F.lower(F.regexp_extract(right, r, 1)) for r in behind]
+    return F.filter(F.array(one, *[F.regexp_replace(p, r"\s+", " ") for p in (two, *after)]), lambda p: p != "")
 
 
 def graph(occ: DataFrame, trust: Trust = Trust()) -> DataFrame:
@@ -150,21 +170,27 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     d = base(docs, id_col, text_col)
     for k in KINDS:
         # contexts beside the spans, so that the text itself need not be kept
-        d = d.withColumn(k, F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), contexts(F.col("text"), x["s"]).alias("c"))))
-    d = d.withColumn("tokens", F.transform("tokens", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), contexts(F.col("text"), x["s"]).alias("c"))))
+        d = d.withColumn(k, F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), contexts(F.col("text"), x["s"], x["e"]).alias("c"))))
+    d = d.withColumn("tokens", F.transform("tokens", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), contexts(F.col("text"), x["s"], x["e"]).alias("c"),
+                                                                        x["run"].alias("run"), x["wide"].alias("wide"))))
     d = written(d.drop("text"))
     seen = [d.select(F.lit(k).alias("kind"), F.explode(k).alias("x")) for k in KINDS]
     tokens = d.select("id", "h", F.explode("tokens").alias("x"))
-    occ = tokens.select(F.lit(None).cast("string").alias("kind"), "x")
+    occ = tokens.select(F.lit(None).cast("string").alias("kind"), F.struct("x.s", "x.e", "x.m", "x.c").alias("x"))
     for s in seen:
         occ = occ.unionByName(s)
     occ = occ.select("kind", F.col("x.m").alias("token"), F.col("x.c").alias("patterns"))
     sure = written(graph(occ, trust).where(F.col("confidence") >= trust.confidence))
     looks = F.coalesce(*[F.when(F.col("kind") == k, F.col("token").rlike(r)) for k, r in LOOKS.items()])
     place = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)])
-    new = (tokens.select("id", "h", "x.s", "x.e", F.col("x.m").alias("token"), F.explode("x.c").alias("pattern")).join(sure, "pattern").where(looks)
-           .groupBy("id", "h", "s", "e").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-           .groupBy("id", "h").agg(F.collect_set(F.struct("s", place.alias("k"), "e")).alias("more")))
+    # of a run and the tokens in it: the tokens if one of them is a whole number by itself, else the run
+    whole = ~F.col("wide") & (F.length(digits(F.col("token"))) >= 9)
+    pick = lambda a: F.filter(a, lambda x: F.when(F.exists(a, lambda y: y["whole"]), ~x["wide"]).when(F.exists(a, lambda y: y["wide"]), x["wide"]).otherwise(True))
+    new = (tokens.select("id", "h", "x.s", "x.e", "x.run", "x.wide", F.col("x.m").alias("token"), F.explode("x.c").alias("pattern")).join(sure, "pattern").where(looks)
+           .groupBy("id", "h", "run", "s", "e").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("wide").alias("wide"), F.max(whole).alias("whole"))
+           .groupBy("id", "h", "run").agg(F.collect_list(F.struct("s", place.alias("k"), "e", "wide", "whole")).alias("all"))
+           .select("id", "h", F.explode(pick(F.col("all"))).alias("x"))
+           .groupBy("id", "h").agg(F.collect_set(F.struct("x.s", "x.k", "x.e")).alias("more")))
     new = written(new).withColumnRenamed("id", "_id")
     own = F.concat(*[F.transform(k, _as_kind(i)) for i, k in enumerate(KINDS)])
     d = d.withColumn("own", own).join(new, (d["h"] == new["h"]) & d["id"].eqNullSafe(new["_id"]), "left")

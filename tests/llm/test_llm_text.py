@@ -151,3 +151,18 @@ def test_boilerplate_counts_as_lost():
     for line in ("All rights reserved.", "Licensed under MIT", "Powered by WordPress", "Privacy Policy | Terms of Use", "Copyright © 2001 Company. All rights reserved."):
         assert Q.line_fault(line, line.split(), Q.Rules()) == "boilerplate", line
     assert Q.line_fault("Empowered by hope.", ["Empowered", "by", "hope."], Q.Rules()) is None
+
+
+def test_pii_discovers_identifiers_with_blanks(spark):
+    known = [(i, f"Some words {i}. Call me at +1 (212) 555-{1000 + i} until noon, please.") for i in range(30)]
+    known += [(50 + i, f"Charge card no. {c} today.") for i, c in enumerate(("4111 1111 1111 1111", "5500 0000 0000 0004", "3400 0000 0000 009", "3000 0000 0000 04", "6011 0000 0000 0004"))]
+    known += [(60 + i, f"Write mail to user{i}@mail.org now.") for i in range(9)]
+    new = {100: ("call me at (212) 555 0199", "(212) 555 0199", "phone"), 101: ("Then call me at 212 555 0199, or not", "212 555 0199", "phone"),
+           102: ("The card no. 4111 1111 1111 111x is gone", "4111 1111 1111 111x", "card"), 103: ("Another card no. 4111 1111 1111 1112.", "4111 1111 1111 1112", "card"),
+           104: ("Dial 212 555 0177 until noon, she said", "212 555 0177", "phone"), 105: ("So call me at 2125550199 42 times", "2125550199", "phone"),
+           106: ("You call me at 212-555-0199 42 times", "212-555-0199", "phone"), 107: ("Write mail to jo [at] mail.org now", "jo [at] mail.org", "email"),
+           108: ("Write mail to " + "j" * 300 + "@localhost now", "j" * 300 + "@localhost", "email")}
+    none = [(200, "Rows 12 34 56 78 90 stand here"), (201, "at 1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0 1 2"), (202, "at " + "1 " * 50_000)]
+    d = spark.createDataFrame(known + [(i, t[0]) for i, t in new.items()] + none, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find_pii(d).collect() if r.spans != r.base_spans}
+    assert got == {i: f"{k}:{t.index(m)}:{t.index(m) + len(m)}" for i, (t, m, k) in new.items()}
