@@ -19,9 +19,12 @@ from lamella.llm.common import small_batches, written
 
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[!-9;-~]+:[^\r\n]*\r\n)+)\r\n")
-#: What parses as a head beyond this many bytes is none.
-MAX_HEAD = 1 << 16
+HEAD = re.compile(rb"WARC/1\.[01]\r\n")
+LINES = re.compile(rb"(?:[!-9;-~]++:[^\r\n]*+\r\n)++")
+#: The fields that are read.
+FIELDS = (b"warc-type", b"warc-record-id", b"warc-target-uri", b"warc-payload-digest", b"warc-refers-to", b"content-length")
+#: Records of up to this many bytes are archived ``per_file`` at a time, of up to twice as many half as many at a time, and so on.
+SMALL = 1 << 16
 NO_ID = "none"
 
 
@@ -48,6 +51,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                    date: str = "2000-01-01T00:00:00Z", per_file: int = 2048) -> None:
     """A record for each row, gzipped archives of at most ``per_file`` records, through Spark's writer.
 
+    Rows are archived by size, the larger the fewer at a time: an archive holds at most ``per_file`` times 64 KiB of payloads
+    and URLs, or a single record.
+
     Payload: the text in UTF-8, null as empty.  Of equal payloads of ``min_bytes`` or more the row with the largest id is the
     response and the others revisit it; rows that repeat that id are responses too, and a group of null ids only has no
     revisits.  Shorter payloads are all responses.
@@ -55,10 +61,15 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     small_batches(pages.sparkSession)
     d = pages.select(pages[f"`{id_col}`"].cast("long").alias("id"), pages[f"`{url_col}`"].alias("url"), F.coalesce(pages[f"`{payload_col}`"], F.lit("")).alias("payload"))
     key: Column = F.sha2("payload", 256)
-    first = written(d.where(F.octet_length("payload") >= min_bytes).select("id", key.alias("key")).groupBy("key").agg(F.max("id").alias("first"), F.count("*").alias("n")))
-    d = d.withColumn("key", key).join(first.where("n > 1").drop("n"), "key", "left")
+    # grade g: up to 2^g times SMALL
+    size = F.octet_length("payload").cast("long") + F.coalesce(F.octet_length("url"), F.lit(0))
+    d = d.withColumn("grade", sum((size > SMALL << g).cast("int") for g in range(16)))
+    first = written(d.select("id", key.alias("key"), F.octet_length("payload").alias("bytes"), F.expr("shiftleft(1, grade)").alias("bit"))
+                    .groupBy("key").agg(F.max("id").alias("first"), F.count("*").alias("n"), F.max("bytes").alias("bytes"), F.bit_or("bit").alias("bits")))
+    bits = first.agg(F.bit_or("bits")).first()[0] or 1
+    d = d.withColumn("key", key).join(first.where((F.col("n") > 1) & (F.col("bytes") >= min_bytes)).select("key", "first"), "key", "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    d = d.select("id", "url", "payload", "first", F.coalesce(revisit, F.lit(False)).alias("revisit"))
+    d = d.select("id", "url", "payload", "first", F.coalesce(revisit, F.lit(False)).alias("revisit"), "grade")
 
     def run(batches):
         for b in batches:
@@ -66,8 +77,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
 
     # the line separator is the last byte of the record before it
-    (d.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder))
+    for n, g in enumerate(g for g in range(17) if bits >> g & 1):
+        (d.where(F.col("grade") == g).drop("grade").mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+         .write.mode("append" if n else "error").option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, per_file >> g)).text(folder))
 
 
 def plain(content: bytes) -> bytes:
@@ -85,15 +97,27 @@ def plain(content: bytes) -> bytes:
 
 
 def candidates(data: bytes):
-    """(offset, successor's offset, fields, block) of every place that parses as a record head."""
-    at = data.find(b"WARC/1.")
+    """(offset, successor's offset, ``FIELDS``, block) of every place that parses as a record head.
+
+    Heads may be of any length.  A head that starts inside the lines of another ends with them, so lines are parsed once.
+    """
+    at, end, last = data.find(b"WARC/1."), -1, {}
     while at >= 0:
-        m = HEAD.match(data, at, min(len(data), at + MAX_HEAD))
+        m = HEAD.match(data, at)
         if m:
-            fields = {k.strip().lower(): v.strip() for k, v in (line.split(b":", 1) for line in m[1].split(b"\r\n")[:-1])}
-            n = fields.get(b"content-length", b"")
-            if n.isdigit() and m.end() + int(n) + 4 <= len(data) and data[m.end() + int(n):m.end() + int(n) + 4] == b"\r\n\r\n":
-                yield at, m.end() + int(n) + 4, fields, data[m.end():m.end() + int(n)]
+            if m.end() >= end:
+                lines = LINES.match(data, m.end())
+                end, p, last = lines.end() if lines else m.end(), m.end(), {}
+                for line in data[p:end].split(b"\r\n")[:-1]:
+                    k, v = line.split(b":", 1)
+                    if k.strip().lower() in FIELDS:
+                        last[k.strip().lower()] = p, v.strip()
+                    p += len(line) + 2
+            if end > m.end() and data[end:end + 2] == b"\r\n":
+                fields = {k: v for k, (p, v) in last.items() if p >= m.end()}
+                start, n = end + 2, fields.get(b"content-length", b"")
+                if n.isdigit() and start + int(n) + 4 <= len(data) and data[start + int(n):start + int(n) + 4] == b"\r\n\r\n":
+                    yield at, start + int(n) + 4, fields, data[start:start + int(n)]
         at = data.find(b"WARC/1.", at + 1)
 
 

@@ -251,3 +251,24 @@ def test_archives_of_others_and_damage(spark, tmp_path):
     (tmp_path / "bad" / "x.warc").write_bytes(b"".join(records[:20]) + b"?" + b"".join(records[20:]))
     with pytest.raises(ValueError, match="damaged"):
         W.read_archives(spark, str(tmp_path / "bad")).collect()
+
+
+def test_archives_of_long_urls_and_large_pages(spark, tmp_path, monkeypatch):
+    long = "data:text/plain," + "x" * 200_000
+    d = spark.createDataFrame([(1, long, "a"), (2, "http://x.net/", "b"), (3, long, "a"), (4, None, "c" * 300_000), (5, None, "d" * 300_000), (6, "http://y.net/", "")],
+                              "page_id long, url string, html string").coalesce(1)
+    folder = str(tmp_path / "long")
+    W.write_archives(d, folder, per_file=8)
+    rows = {r.page_id: r for r in W.read_archives(spark, folder, with_payload=True).collect()}
+    assert sorted(rows) == [1, 2, 3, 4, 5, 6] and rows[1].url == rows[3].url == long and rows[1].refers_to == 3
+    assert rows[4].payload == b"c" * 300_000 and rows[6].payload == b""
+    sizes = [len(W.plain(f.read_bytes())) for f in (tmp_path / "long").glob("*.gz")]
+    assert sum(sizes) > 1_000_000 and max(sizes) < 8 * W.SMALL + 4096  # 8 rows of at most 64 KiB, or fewer that are larger
+
+
+def test_heads_inside_heads():
+    inner = b"".join(b"a:WARC/1.1\r\nx%d: y\r\n" % i for i in range(20_000))
+    block = b"WARC/1.1\r\n" + inner + b"Content-Length: 3\r\n\r\nabc\r\n\r\n"
+    found = list(W.candidates(block + W.record(7, None, b"p", None, False, "2000-01-01T00:00:00Z")))
+    assert len(found) == 20_002 and {f[1] for f in found[:-1]} == {len(block)}
+    assert found[0][3] == b"abc" and W._page(found[-1][2][b"warc-record-id"]) == 7
