@@ -130,7 +130,7 @@ register("pca_scores", "K1")(lambda s, d: _abs(_pca(s, d).scores))
 register("pca_loadings", "K1")(lambda s, d: _abs(_pca(s, d).loadings))
 register("combined_pca", "K2")(lambda s, d: RE.combined_pca(X.log_ab(s, d)).var_exp)
 register("mcia", "K3")(lambda s, d: RE.mcia(X.abe(s, d), 3).var_exp)
-register("factor_model", "K4")(lambda s, d: RE.factor_model(X.log_ab(s, d), 4, 8).var_exp)
+register("factor_model", "K4")(lambda s, d: RE.factor_model(X.log_ab(s, d)).var_exp)
 register("block_pls", "K5")(lambda s, d: RE.block_pls(X.log_ab(s, d), X.samples(s, d), "acct_high", 2).loadings)
 register("block_pls_cv", "K6")(lambda s, d: RE.block_pls_cv(X.log_ab(s, d), X.samples(s, d), "acct_high", 3))
 register("consensus_pca", "K7")(lambda s, d: _abs(RE.consensus_pca(X.log_ab(s, d), 3).scores))
@@ -142,12 +142,12 @@ def _two_scores(s, d):
 
 
 register("procrustes", "K8")(lambda s, d: _abs(_two_scores(s, d)))
-register("sparse_cca", "K9")(lambda s, d: RE.sparse_cca(X.log_ab(s, d), "revenue", "quantity", 1, 0.4, 0.4, 3).loadings)
-register("cca_penalty", "K10")(lambda s, d: RE.cca_penalty(X.log_ab(s, d), "revenue", "quantity", [0.3, 0.5], 25, 2))
-register("multi_cca", "K11")(lambda s, d: RE.multi_cca(X.log_ab(s, d), 1, p1=0.4, p2=0.4, rounds=2).scores)
+register("sparse_cca", "K9")(lambda s, d: RE.sparse_cca(X.log_ab(s, d), "revenue", "quantity", 1, 0.4, 0.4).loadings)
+register("cca_penalty", "K10")(lambda s, d: RE.cca_penalty(X.log_ab(s, d), "revenue", "quantity", [0.3, 0.5]))
+register("multi_cca", "K11")(lambda s, d: RE.multi_cca(X.log_ab(s, d), 1, p1=0.4, p2=0.4).scores)
 for _how in ("concat", "joint"):
-    register(f"nmf_{_how}", "K12" if _how == "concat" else "K13")(lambda s, d, h=_how: RE.nmf(X.log_ab(s, d), 4, h, 8).loadings)
-    register(f"semi_nmf_{_how}", "K14" if _how == "concat" else "K15")(lambda s, d, h=_how: RE.semi_nmf(X.log_ab(s, d), 4, h, 8).loadings)
+    register(f"nmf_{_how}", "K12" if _how == "concat" else "K13")(lambda s, d, h=_how: RE.nmf(X.log_ab(s, d), 4, h).loadings)
+    register(f"semi_nmf_{_how}", "K14" if _how == "concat" else "K15")(lambda s, d, h=_how: RE.semi_nmf(X.log_ab(s, d), 4, h).loadings)
 
 
 def _loads(s, d):
@@ -209,7 +209,7 @@ SELECT 'ptype' AS layer, sample1, sample2, exp(-dist*dist/(2*s*s))/(s*sqrt(2*pi(
 register("similarity_fusion", "L5")(lambda s, d: CL.snf(X.log_ab(s, d)))
 register("fused_clusters", "L6 L7")(lambda s, d: CL.snf_clusters(X.log_ab(s, d))[0])
 register("spectral_multiview", "L8")(lambda s, d: CL.spectral_multiview(X.log_ab(s, d))[0])
-register("perturbation_clusters", "L9")(lambda s, d: CL.perturbation(X.log_a(s, d), range(2, 5), 8)[0])
+register("perturbation_clusters", "L9")(lambda s, d: CL.perturbation(X.log_a(s, d))[0])
 _lab = lambda s, d: X.samples(s, d).select("sample", F.col("region").alias("cluster"))
 register("silhouette", "L10", _DIST.format(scale="").replace(with_("e"), with_("e", "samples")) + """, g AS (SELECT sample1, p.region AS c1, q.region AS c2, avg(dist) AS a FROM dist
   JOIN samples p ON p.sample=sample1 JOIN samples q ON q.sample=sample2 GROUP BY 1,2,3),
@@ -386,9 +386,9 @@ def _classified(s, d, how):
 
 for _how in ("rf", "elastic", "logistic", "svm"):
     register(f"classify_{_how}", "N11")(lambda s, d, h=_how: _classified(s, d, h))
-_cv = lambda s, d: BI.mccv(X.log_a(s, d), _y(s, d), [2, 5, 10], 6)
+_cv = lambda s, d: BI.mccv(X.log_a(s, d), _y(s, d))
 register("mccv", "N12")(lambda s, d: BI.mccv_performance(_cv(s, d)[0])[1])
-register("mccv_features", "N13")(lambda s, d: BI.mccv_test(X.log_a(s, d), _y(s, d), X.log_a(s, d).select("layer", "feature").distinct(), 4, "logistic", ["1", "2", "3"])[1])
+register("mccv_features", "N13")(lambda s, d: BI.mccv_test(X.log_a(s, d), _y(s, d), X.log_a(s, d).select("layer", "feature").distinct(), how="logistic", hold_out=["1", "2", "3"])[1])
 register("average_roc", "N14")(lambda s, d: BI.average_roc(_cv(s, d)[0].where("size = 5")))
 register("importance", "N15")(lambda s, d: BI.importance(_cv(s, d)[1].where("size = 10"), 5))
 register("high_low", "N15", with_("a", "samples") + """SELECT layer, feature, CASE WHEN h>l THEN 'high' ELSE 'low' END AS high, CASE WHEN h>l THEN 'low' ELSE 'high' END AS low FROM (
@@ -397,7 +397,7 @@ register("high_low", "N15", with_("a", "samples") + """SELECT layer, feature, CA
 register("confusion", "N16", with_("a", "samples") + """, p AS (SELECT sample, CASE WHEN acct_high='high' THEN 1 ELSE 0 END AS label, CASE WHEN avg(CASE WHEN value>1250000 THEN 1.0 ELSE 0 END)>=0.5 THEN 1 ELSE 0 END AS predicted
   FROM a JOIN samples USING (sample) GROUP BY 1,2) SELECT label, predicted, count(*) AS n FROM p GROUP BY 1,2""")(
     lambda s, d: BI.confusion(X.layer_a(s, d).join(_y(s, d), "sample").select("sample", (F.col("label") == "high").cast("int").alias("label"), (F.col("value") > 1250000).cast("double").alias("prob")))[1])
-register("permutation_test", "N17")(lambda s, d: BI.permutation_test(X.log_a(s, d), _y(s, d), 5, 10))
+register("permutation_test", "N17")(lambda s, d: BI.permutation_test(X.log_a(s, d), _y(s, d), 5))
 register("logistic_report", "N18")(lambda s, d: BI.logistic_report(X.log_a(s, d), _y(s, d), [("revenue", "Brand#1"), ("revenue", "Brand#2")])[0])
 
 # ---- O: models -----------------------------------------------------------------------------
