@@ -1,6 +1,8 @@
 """Helpers the operators share."""
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lamella.core import scratch_folder
@@ -16,6 +18,20 @@ def small_batches(spark: SparkSession, rows: int = 256, mb: int = 8) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", mb << 20)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int, mb: int = 8):
+    """While an action inside runs, Arrow batches hold at most so many rows and bytes; what was set before holds again after it."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": mb << 20}
+    before = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and a lost executor takes nothing with it."""
     path = scratch_folder(df.sparkSession) + "/table"

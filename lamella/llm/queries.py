@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lamella.llm import mixing, quality_knn
+from lamella.llm import mixing, quality_knn, sharding, spelling, vector_codes as codes
 from lamella.llm.common import read, written
 from lamella.llm.exact_dedup import exact_dedup
 from lamella.llm.near_dedup import near_dedup
@@ -62,7 +62,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_knn.scored(docs, model).select("doc_id", quality_knn.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mixing, op4_quality_rules, op5_pii, op6_best_fit_packing, op7_token_files, op8_url_filter, op9_warc, op10_quality_classifier)}
+def op11_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.byte_shards(read(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_mixing, op4_quality_rules, op5_pii, op6_best_fit_packing, op7_token_files, op8_url_filter, op9_warc, op10_quality_classifier,
+                                   op11_byte_shards, op12_spelling_variants, op13_vector_codes)}
 
 ORACLES = {
     "op2_exact_dedup": """
@@ -71,4 +84,7 @@ g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP B
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)""",
     "op8_url_filter": url_sql(),
     "op9_warc": warc_sql(),
+    "op11_byte_shards": sharding.sql(),
+    "op12_spelling_variants": spelling.sql(),
+    "op13_vector_codes": codes.sql(),
 }
