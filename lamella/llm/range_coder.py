@@ -2,67 +2,90 @@
 
 A sequence is cut into blocks that are coded independently, each from a fresh state.  In a block the next id is predicted by
 order 2 and order 1 (the id last seen after the last two ids, and after the last one, with a confidence that grows on hits
-and halves on misses) and by order 0 (the sequence's own id frequencies, held once in its header).  The three are mixed into
-one distribution, with weights learned from how often a prediction of that confidence was right, and a range coder codes the
-id with it.  All blocks of a sequence advance in lockstep as numpy lanes.
+and falls on misses) and by order 0: a few frequency tables, learned from the sequence and held once in its header, of which a
+block takes the one that told its recent ids best.  Mixing weights follow how often a prediction of that confidence was right.
+The mixed distribution is a line of intervals, order 2's id, order 1's and all ids by order 0; a range coder codes the widest
+interval of an id.
+
+All blocks advance in lockstep as numpy lanes.  Contexts are learned with every id; weights and the choice of a table change
+every ``BATCH`` ids, so that the encoder works on whole batches.  All of it is integer arithmetic.
 """
 from __future__ import annotations
 
 import numpy as np
 
 U = np.uint64
-TOTAL_BITS, ORDER0_BITS, SLOT_BITS, CONF_BITS = 26, 18, 10, 3
+TOTAL_BITS, ORDER0_BITS, SLOT_BITS, CONF_BITS = 30, 18, 9, 3
+BATCH = 64
 WORD = U(32)
 LEAST = U(1 << 32)       # a range below it puts out 32 bits
 CONFIDENCE = 1 << CONF_BITS
 
 
-class Mixer:
-    """State of all lanes: prediction tables of order 1 and 2, and how often predictions of each confidence were right."""
+class Model:
+    """State of all lanes; first axes of length 2 are orders 1 and 2. ``freq``: a row of frequencies for each order-0 table."""
 
-    def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int64) << SLOT_BITS
+    def __init__(self, lanes: int, freq: np.ndarray):
+        self.lanes = lanes
+        self.base = (np.arange(2 * lanes, dtype=np.int64) << SLOT_BITS).reshape(2, lanes)
         # prediction and confidence in one number; confidence 0: nothing seen yet
-        self.table = [np.zeros(lanes << SLOT_BITS, np.int32) for _ in range(2)]
-        self.lane = np.arange(lanes, dtype=np.int64) * CONFIDENCE
+        self.table = np.zeros(2 * lanes << SLOT_BITS, np.int32)
+        self.cell = (np.arange(2 * lanes, dtype=np.int64) * CONFIDENCE).reshape(2, lanes)
         # the share, of 65536, of right predictions at each confidence; none at 0
-        self.right = [np.tile(np.r_[0, np.linspace(4096, 57344, CONFIDENCE - 1)].astype(np.int64), lanes) for _ in range(2)]
-        self.one = np.zeros(lanes, np.int64)  # the last id, mixed; and with the one before
-        self.two = np.zeros(lanes, np.int64)
-
-    def predict(self, n: int):
-        """Ids and masses of both predictions for the first ``n`` lanes, and the unit of order 0."""
-        self.held = []
-        out = []
-        for order, context in ((0, self.one), (1, self.two)):
-            s = context[:n] & ((1 << SLOT_BITS) - 1)
-            s += self.base[:n]
-            v = self.table[order].take(s)
-            c = v & (CONFIDENCE - 1)
-            at = self.lane[:n] + c
-            p = self.right[order].take(at)
-            self.held.append((s, v, c, at, p))
-            out += [(v >> CONF_BITS).astype(np.int64), p]
-        two = out[3] << (TOTAL_BITS - 16)
-        left = (1 << TOTAL_BITS) - two
-        one = (left * out[1]) >> 16
-        return out[2], two, out[0], one, (left - one) >> ORDER0_BITS
-
-    def update(self, n: int, ids: np.ndarray):
-        new = ids.astype(np.int32) << CONF_BITS
-        new += 1
-        for order, (s, v, c, at, p) in enumerate(self.held):
-            hit = (v >> CONF_BITS) == (new >> CONF_BITS)
-            right = self.right[order]
-            right[at] = p + ((np.where(hit, 60000, 600) - p) >> 4)
-            right[::CONFIDENCE] = 0
-            weak = c < 2
-            half = v - c + (c >> 1)
-            self.table[order][s] = np.where(hit & (c > 0), v + (c < CONFIDENCE - 1), np.where(weak, new, half))
-        mixed = ids * 40503
+        self.right = np.tile(np.r_[0, np.linspace(4096, 57344, CONFIDENCE - 1)].astype(np.int64), 2 * lanes)
+        n = freq.shape[1]
+        mixed = np.arange(n, dtype=np.int64) * 40503
         mixed ^= mixed >> 9
-        self.two[:n] = mixed * 5 + (self.one[:n] * 30011 >> 4)
-        self.one[:n] = mixed
+        mask = (1 << SLOT_BITS) - 1
+        # of no id: 0
+        self.last, self.pair, self.before = np.r_[mixed & mask, 0], np.r_[mixed * 5, 0], np.r_[mixed * 30011 >> 4, 0]
+        self.bits = np.round(256 * (ORDER0_BITS - np.log2(freq))).astype(np.int32)
+        self.cost = np.zeros((len(freq), lanes), np.int64)
+        self.row = np.zeros(lanes, np.int64)  # where the lane's table begins in the flat tables
+        self.recent = np.full((2, lanes), n, np.int32)
+        self.weigh()
+
+    def weigh(self) -> None:
+        """For each pair of confidences: masses of order 2's and order 1's predictions, and the unit of order 0."""
+        right = self.right.reshape(2, self.lanes, CONFIDENCE)
+        two = np.repeat(right[1][:, :, None], CONFIDENCE, 2) << (TOTAL_BITS - 16)
+        left = (1 << TOTAL_BITS) - two
+        one = left * right[0][:, None, :] >> 16
+        self.two, self.one, self.unit = two.reshape(-1), one.reshape(-1), ((left - one) >> ORDER0_BITS).reshape(-1)
+        self.joint = np.arange(self.lanes, dtype=np.int64) * CONFIDENCE ** 2
+
+    def slots(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        mask = (1 << SLOT_BITS) - 1
+        out = np.empty((*last.shape[:-1], 2, self.lanes), np.int64)
+        out[..., 0, :] = self.last.take(last)
+        out[..., 1, :] = self.pair.take(last) + self.before.take(before) & mask
+        out += self.base
+        return out
+
+    def see(self, slot: np.ndarray, v: np.ndarray, coded: np.ndarray) -> None:
+        """One step of the tables; ``coded`` is the id, shifted."""
+        c = v & (CONFIDENCE - 1)
+        new = np.where(c < 2, coded, v - c)
+        new |= 1  # a missed prediction of confidence 2 or more starts again, others give way
+        self.table[slot] = np.where((v ^ coded) < CONFIDENCE, v + (c < CONFIDENCE - 1), new)
+
+    def masses(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``weigh``'s numbers for entries of the two tables."""
+        both = ((two & (CONFIDENCE - 1)) << CONF_BITS | one & (CONFIDENCE - 1)) + self.joint
+        return self.two.take(both), self.one.take(both), self.unit.take(both)
+
+    def learn(self, ids: np.ndarray, held: np.ndarray) -> None:
+        """After a batch: ``ids`` (steps by lanes) and the entries that predicted them (steps, orders, lanes)."""
+        hit = (held >> CONF_BITS) == ids[:, None]
+        n = np.bincount((((held & (CONFIDENCE - 1)) + self.cell) << 1 | hit).reshape(-1), minlength=2 * len(self.right)).reshape(-1, 2)
+        n, hits = n.sum(1), n[:, 1]
+        self.right += (60000 * hits + 600 * (n - hits) - self.right * n) // (n + 16)
+        self.right[::CONFIDENCE] = 0
+        self.weigh()
+        if len(self.bits) > 1:
+            for k, b in enumerate(self.bits):
+                self.cost[k] = (self.cost[k] >> 1) + b.take(ids).sum(0)
+            self.row = self.cost.argmin(0) * self.bits.shape[1]
 
 
 def order0(counts: np.ndarray) -> np.ndarray:
@@ -70,48 +93,87 @@ def order0(counts: np.ndarray) -> np.ndarray:
     whole = 1 << ORDER0_BITS
     if len(counts) > whole // 2:
         raise ValueError("too many different ids in one sequence")
-    f = 1 + counts * (whole - len(counts)) // counts.sum()
+    f = 1 + (counts * ((whole - len(counts)) / counts.sum())).astype(np.int64)
     f[np.argmax(f)] += whole - f.sum()
     return f
 
 
-def lengths(n: int, block: int) -> np.ndarray:
-    return np.minimum(block, n - np.arange(0, n, block))
+def order0_tables(symbols: np.ndarray, sizes: np.ndarray, different: int, tables: int = 4, rounds: int = 1, least: int = 4096) -> np.ndarray:
+    """Frequencies, a row for each table, for parts of a sequence (``sizes`` ids each) that differ in kind.
+
+    Starts from all ids; the part that is told worst founds the next table; then parts go to the table that tells them best,
+    and tables are counted anew.  Short sequences get one table.
+    """
+    all_counts = np.bincount(symbols, minlength=different).astype(np.float64)
+    if tables < 2 or len(symbols) < least * tables:
+        return order0(all_counts)[None]
+    sizes = sizes[sizes > 0]
+    start = np.cumsum(sizes) - sizes
+    prior = all_counts / len(symbols)
+    cost = lambda p: np.add.reduceat((-np.log2(p)).astype(np.float32).take(symbols), start, dtype=np.float64)
+    smooth = lambda c: 0.98 * c / c.sum() + 0.02 * prior
+    told = [cost(prior)]
+    for _ in range(tables - 1):
+        worst = np.argmax(np.min(told, 0) - np.min(told, 0).sum() / len(symbols) * sizes)
+        own = np.bincount(symbols[start[worst]:start[worst] + sizes[worst]], minlength=different)
+        told.append(cost(0.5 * own / own.sum() + 0.5 * prior))
+    for k in range(rounds):
+        told = [cost(p) for p in shares] if k else told
+        of = np.repeat(np.argmin(told, 0) * different, sizes)
+        counts = np.bincount(of + symbols, minlength=len(told) * different).reshape(len(told), different)
+        shares = [smooth(c) for c in counts if c.any()]
+    return np.stack([order0(p * len(symbols)) for p in shares])
+
+
+def shape(n: int, block: int) -> tuple[int, int]:
+    """Lanes and steps; the last lane is filled up with zeros."""
+    lanes = -(-n // block)
+    return lanes, block if lanes > 1 else n
 
 
 def encode(symbols: np.ndarray, freq: np.ndarray, block: int) -> list[bytes]:
-    """The blocks' bytes. ``symbols`` index ``freq``."""
-    size = lengths(len(symbols), block)
-    lanes = len(size)
-    padded = np.zeros(lanes * block, np.int64)
+    """The blocks' bytes. ``symbols`` index the columns of ``freq``, a row for each order-0 table."""
+    lanes, steps = shape(len(symbols), block)
+    padded = np.zeros(lanes * steps, np.int32)
     padded[:len(symbols)] = symbols
-    grid = np.ascontiguousarray(padded.reshape(lanes, block).T)
-    start0 = np.cumsum(freq) - freq
-    model = Mixer(lanes)
+    grid = np.ascontiguousarray(padded.reshape(lanes, steps).T)
+    flat, start0 = freq.reshape(-1), (np.cumsum(freq, 1) - freq).reshape(-1)
+    model = Model(lanes, freq)
     low, rng = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
-    width = block + 4
+    width = steps + 4
     out = np.zeros(lanes * width, np.uint32)
     pos = np.arange(lanes) * width
-    for t in range(block if lanes > 1 else int(size[0])):
-        n = lanes if t < size[-1] else lanes - 1
-        ids = grid[t, :n]
-        two_id, two, one_id, one, unit = model.predict(n)
-        start = unit * start0.take(ids) + two * (two_id < ids) + one * (one_id < ids)
-        mass = unit * freq.take(ids) + two * (two_id == ids) + one * (one_id == ids)
-        model.update(n, ids)
-        r = rng[:n] >> U(TOTAL_BITS)
-        low[:n] += r * start.view(U)
-        r *= mass.view(U)
-        rng[:n] = r
-        i = np.flatnonzero(r < LEAST)
-        if len(i):
-            x = low[i]
-            w = _settled(x, r[i])
-            at = pos[i]
-            out[at] = x >> WORD
-            pos[i] = at + 1
-            low[i] = x << WORD
-            rng[i] = w << WORD
+    for t0 in range(0, steps, BATCH):
+        ids = grid[t0:t0 + BATCH]
+        seen = np.concatenate([model.recent, ids])
+        model.recent = seen[-2:]
+        slots = model.slots(seen[1:-1], seen[:-2])
+        held, coded = np.empty(slots.shape, np.int32), ids << CONF_BITS
+        for t in range(len(ids)):
+            held[t] = v = model.table.take(slots[t])
+            model.see(slots[t], v, coded[t])
+        one, two = held[:, 0], held[:, 1]
+        m2, m1, unit = model.masses(one, two)
+        at = model.row + ids
+        mass, start = unit * flat.take(at), unit * start0.take(at) + m2 + m1
+        for v, m, s in ((one, m1, m2), (two, m2, 0)):
+            wide = ((v >> CONF_BITS) == ids) & (m > mass)
+            mass, start = np.where(wide, m, mass), np.where(wide, s, start)
+        mass, start = mass.view(U), start.view(U)
+        for t in range(len(ids)):
+            r = rng >> U(TOTAL_BITS)
+            low += r * start[t]
+            rng = r * mass[t]
+            i = np.flatnonzero(rng < LEAST)
+            if len(i):
+                x = low[i]
+                w = _settled(x, rng[i])
+                k = pos[i]
+                out[k] = x >> WORD
+                pos[i] = k + 1
+                low[i] = x << WORD
+                rng[i] = w << WORD
+        model.learn(ids, held)
     for _ in range(2):
         out[pos] = low >> WORD
         pos += 1
@@ -127,49 +189,50 @@ def _settled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
 
 def decode(blocks: list[bytes], n: int, freq: np.ndarray, block: int) -> np.ndarray:
     """The symbols that ``encode`` was given."""
-    size = lengths(n, block)
-    lanes = len(size)
+    lanes, steps = shape(n, block)
     words = np.frombuffer(b"".join(blocks) + b"\0" * 16, "<u4").astype(U)
     count = np.array([len(b) // 4 for b in blocks])
     at = np.cumsum(count) - count
-    start0 = np.cumsum(freq) - freq
-    symbol = np.repeat(np.arange(len(freq)), freq)  # of each unit of order 0
-    model = Mixer(lanes)
+    flat, start0 = freq.reshape(-1), (np.cumsum(freq, 1) - freq).reshape(-1)
+    symbol = np.concatenate([np.repeat(np.arange(freq.shape[1], dtype=np.int32), f) for f in freq])  # of each unit of order 0
+    model = Model(lanes, freq)
     low, rng, code = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U), np.zeros(lanes, U)
     for _ in range(2):
         code = (code << WORD) | words[at]
         at = at + 1
-    grid = np.zeros((block, lanes), np.int64)
-    for t in range(block if lanes > 1 else int(size[0])):
-        m = lanes if t < size[-1] else lanes - 1
-        two_id, two, one_id, one, unit = model.predict(m)
-        r = rng[:m] >> U(TOTAL_BITS)
-        v = ((code[:m] - low[:m]) // r).view(np.int64)
-        # both predictions' intervals, the smaller id first; what is left of the point without their masses is order 0's
-        a, b = np.minimum(one_id, two_id), np.maximum(one_id, two_id)
-        ma = np.where(one_id < two_id, one, two)
-        same = one_id == two_id
-        mb = np.where(same, 0, two + one - ma)
-        ma = np.where(same, two + one, ma)
-        a0, b0 = unit * start0.take(a), ma + unit * start0.take(b)
-        a1, b1 = a0 + ma + unit * freq.take(a), b0 + mb + unit * freq.take(b)
-        rest = v - ma * (v >= a1) - mb * (v >= b1)
-        ids = symbol.take(rest // unit, mode="clip")
-        ids = np.where((v >= a0) & (v < a1), a, np.where((v >= b0) & (v < b1), b, ids))
-        grid[t, :m] = ids
-        start = unit * start0.take(ids) + two * (two_id < ids) + one * (one_id < ids)
-        mass = unit * freq.take(ids) + two * (two_id == ids) + one * (one_id == ids)
-        model.update(m, ids)
-        low[:m] += r * start.view(U)
-        r *= mass.view(U)
-        rng[:m] = r
-        i = np.flatnonzero(r < LEAST)
-        if len(i):
-            x = low[i]
-            w = _settled(x, r[i])
-            k = at[i]
-            code[i] = (code[i] << WORD) | words[k]
-            at[i] = k + 1
-            low[i] = x << WORD
-            rng[i] = w << WORD
+    grid = np.zeros((steps, lanes), np.int32)
+    before, last = model.recent
+    for t0 in range(0, steps, BATCH):
+        ids = grid[t0:t0 + BATCH]
+        held = np.empty((len(ids), 2, lanes), np.int32)
+        units = model.row // freq.shape[1] << ORDER0_BITS
+        for t in range(len(ids)):
+            slot = model.slots(last, before)
+            held[t] = entry = model.table.take(slot)
+            m2, m1, unit = model.masses(entry[0], entry[1])
+            r = rng >> U(TOTAL_BITS)
+            v = ((code - low) // r).view(np.int64)
+            both = m2 + m1
+            by2, by1 = v < m2, v < both
+            # below both the difference wraps to a large number, whose symbol is not used
+            x = symbol.take(((v - both).view(U) // unit.view(U)).view(np.int64) + units, mode="clip")
+            x = np.where(by2, entry[1] >> CONF_BITS, np.where(by1, entry[0] >> CONF_BITS, x))
+            k = model.row + x
+            mass = np.where(by2, m2, np.where(by1, m1, unit * flat.take(k)))
+            start = np.where(by2, 0, np.where(by1, m2, unit * start0.take(k) + both))
+            model.see(slot, entry, x << CONF_BITS)
+            ids[t] = x
+            before, last = last, x
+            low += r * start.view(U)
+            rng = r * mass.view(U)
+            i = np.flatnonzero(rng < LEAST)
+            if len(i):
+                y = low[i]
+                w = _settled(y, rng[i])
+                k = at[i]
+                code[i] = (code[i] << WORD) | words.take(k, mode="clip")  # a damaged block may ask for more
+                at[i] = k + 1
+                low[i] = y << WORD
+                rng[i] = w << WORD
+        model.learn(ids, held)
     return np.ascontiguousarray(grid.T).reshape(-1)[:n]

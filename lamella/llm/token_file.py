@@ -2,12 +2,12 @@
 
 A file is a row of segments.  A segment, all numbers little-endian:
 
-    magic "LTS1", uint64 length of what follows, uint32 crc32 of the head, uint32 length of the head, head, block streams
+    magic "LTS2", uint64 length of what follows, uint32 crc32 of the head, uint32 length of the head, head, block streams
 
-Its head is zlib data of: uint32 documents, uint64 ids, uint32 block length, uint32 different ids, then the arrays document
-ids (int64), null marks (uint8), ids of each document (uint32), different ids (uint32), their frequencies (uint32), bytes of
-each block (uint32), crc32 of each block's ids as uint32 (uint32).  A block is decoded alone and checked by its crc32.
-Segments hold whole documents, about ``SEGMENT`` ids; a line feed ends each.
+Its head is zlib data of: uint32 documents, uint64 ids, uint32 block length, uint32 different ids, uint32 order-0 tables, then
+the arrays document ids (int64), null marks (uint8), ids of each document (uint32), different ids (uint32), their frequencies
+in each table (uint32), bytes of each block (uint32), crc32 of each block's ids as uint32 (uint32).  Given the head, a block is
+decoded alone and checked by its crc32.  Segments hold whole documents, about ``SEGMENT`` ids; a line feed ends each.
 """
 from __future__ import annotations
 
@@ -19,29 +19,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from lamella.core import scratch_folder
-from lamella.llm.common import n_parts, small_batches, written
-from lamella.llm.range_coder import decode, encode, lengths, order0
+from lamella.llm.common import arrow_batches, n_parts, written
+from lamella.llm.range_coder import decode, encode, order0_tables
 from lamella.llm.tokens import chunks, encoder, tokenizer_path
 
-MAGIC = b"LTS1"
-BLOCK = 512
-SEGMENT = 2_000_000
-#: Documents in a file, about.
-PER_FILE = 8192
+MAGIC = b"LTS2"
+BLOCK = 4096
+SEGMENT = 8_000_000
+#: Bytes of text that a task writes, about, and segments in a file of it: larger tasks write several files.
+PER_TASK, PER_FILE = 16 << 20, 8
 
 
 def pack_segment(doc_ids: list, sizes: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
-    counts = np.bincount(ids)  # as long as the vocabulary
-    names = np.flatnonzero(counts)
-    symbols, counts = (np.cumsum(counts > 0) - 1)[ids], counts[names]
-    freq = order0(counts.astype(np.int64)) if len(ids) else np.empty(0, np.int64)
+    seen = np.bincount(ids) > 0  # as long as the vocabulary
+    names = np.flatnonzero(seen)
+    symbols = (np.cumsum(seen) - 1).astype(np.int32)[ids]
+    freq = order0_tables(symbols, sizes, len(names)) if len(ids) else np.empty((0, 0), np.int64)
     streams = encode(symbols, freq, block) if len(ids) else []
-    at = np.concatenate([[0], np.cumsum(lengths(len(ids), block))]) if len(ids) else np.zeros(1, np.int64)
     raw = ids.astype("<u4")
-    sums = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
+    sums = [zlib.crc32(raw[a:a + block].tobytes()) for a in range(0, len(ids), block)]
     null = [x is None for x in doc_ids]
     head = zlib.compress(b"".join([
-        struct.pack("<IQII", len(doc_ids), len(ids), block, len(names)), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array(null, "u1").tobytes(),
+        struct.pack("<IQIII", len(doc_ids), len(ids), block, len(names), len(freq)), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array(null, "u1").tobytes(),
         sizes.astype("<u4").tobytes(), names.astype("<u4").tobytes(), freq.astype("<u4").tobytes(), np.array([len(s) for s in streams], "<u4").tobytes(),
         np.array(sums, "<u4").tobytes()]), 1)
     body = b"".join(streams)
@@ -61,15 +60,15 @@ def segments(content: bytes):
         body = content[at + 20 + head_n:at + 12 + n]
         at += 12 + n + 1
         head = zlib.decompress(head)
-        docs, total, block, different = struct.unpack_from("<IQII", head)
-        blocks, p = -(-total // block), 20
+        docs, total, block, different, tables = struct.unpack_from("<IQIII", head)
+        blocks, p = -(-total // block), 24
         arrays = []
-        for kind, k in (("<i8", docs), ("u1", docs), ("<u4", docs), ("<u4", different), ("<u4", different), ("<u4", blocks), ("<u4", blocks)):
+        for kind, k in (("<i8", docs), ("u1", docs), ("<u4", docs), ("<u4", different), ("<u4", tables * different), ("<u4", blocks), ("<u4", blocks)):
             arrays.append(np.frombuffer(head, kind, k, p))
             p += arrays[-1].nbytes
         doc_ids, null, sizes, names, freq, length, sums = arrays
         edge = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
-        ids = names[decode([body[a:b] for a, b in zip(edge[:-1], edge[1:])], total, freq.astype(np.int64), block)] if total else np.empty(0, np.uint32)
+        ids = names[decode([body[a:b] for a, b in zip(edge[:-1], edge[1:])], total, freq.astype(np.int64).reshape(tables, different), block)] if total else np.empty(0, np.uint32)
         ids = ids.astype("<u4")
         for i, s in enumerate(sums.tolist()):
             if zlib.crc32(ids[i * block:(i + 1) * block].tobytes()) != s:
@@ -78,18 +77,19 @@ def segments(content: bytes):
 
 
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0, path: str | None = None,
-                      per_file: int = PER_FILE, block: int = BLOCK) -> None:
-    """Writes ``docs`` to ``folder``, a file for each range of about ``per_file`` documents, ascending by id, nulls first.
+                      per_task: int = PER_TASK, per_file: int = PER_FILE, block: int = BLOCK) -> None:
+    """Writes ``docs`` to ``folder``, a range of about ``per_task`` bytes of text for each task, ascending by id, nulls first.
 
-    Ids that repeat are ordered by a hash of the text.  A null or empty text is the end id only.  An empty table writes no
-    segment.  The files go through Spark's writer, so any store that Spark writes will do.
+    A file holds at most ``per_file`` segments, whatever a task gets.  Ids that repeat are ordered by a hash of the text.  A null
+    or empty text is the end id only.  A segment holds whole documents, so one beyond ``SEGMENT`` ids is a segment by itself.  An
+    empty table writes no segment.  The files go through Spark's writer, so any store that Spark writes will do.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     path = path or tokenizer_path()
     d = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"))
+    size = d.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     d = d.withColumn("h", F.xxhash64("text"))
-    d = d.repartitionByRange(n_parts(d.count(), per_file), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    d = d.repartitionByRange(n_parts(size, per_task), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
     def run(batches):
         enc = encoder(path)
@@ -113,13 +113,16 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         if names:
             yield out()
 
-    d.mapInArrow(run, "payload binary").select(F.col("payload").cast("string").alias("value")).write.option("lineSep", "\n").text(folder)
+    with arrow_batches(spark, 256):
+        (d.mapInArrow(run, "payload binary").select(F.col("payload").cast("string").alias("value"))
+         .write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(folder))
 
 
 def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` (and ``ids``) from the files alone; ``start`` counts the ids of all documents before."""
-    small_batches(spark, rows=4)
-    files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("file"), "content")
+    # a task's files are numbered in its order
+    number = lambda rule: F.regexp_extract("path", rule, 1).cast("long")
+    files = spark.read.format("binaryFile").load(folder).select((F.shiftleft(number(r"part-(\d+)"), 32) + F.coalesce(number(r"-c(\d+)\.\w+$"), F.lit(0))).alias("file"), "content")
 
     def run(batches):
         for b in batches:
@@ -128,14 +131,15 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
                 for doc_ids, sizes, ids in segments(content.as_py()):
                     ends = np.cumsum(sizes)
                     starts = ends - sizes
-                    cols = {"file": pa.array([no] * len(sizes), pa.int32()), "doc_id": pa.array(doc_ids, pa.int64()), "own": pa.array(starts + before),
+                    cols = {"file": pa.array([no] * len(sizes), pa.int64()), "doc_id": pa.array(doc_ids, pa.int64()), "own": pa.array(starts + before),
                             "n_tokens": pa.array(sizes), "ids_crc32": pa.array([zlib.crc32(ids[a:e].tobytes()) for a, e in zip(starts.tolist(), ends.tolist())], pa.int64())}
                     if with_ids:
                         cols["ids"] = pa.array([ids[a:e].astype(np.int32) for a, e in zip(starts.tolist(), ends.tolist())], pa.list_(pa.int32()))
                     before += len(ids)
                     yield pa.RecordBatch.from_pydict(cols)
 
-    d = written(files.mapInArrow(run, "file int, doc_id long, own long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")))
+    with arrow_batches(spark, 1):  # a row is a file
+        d = written(files.mapInArrow(run, "file long, doc_id long, own long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")))
     sums = d.groupBy("file").agg(F.sum("n_tokens").alias("n"))  # one row for each file
     ahead = sums.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     return d.join(ahead, "file").select("doc_id", (F.col("ahead") + F.col("own")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))

@@ -15,8 +15,8 @@ import pyarrow.compute as pc
 _WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}\x{200b}\x{feff}\x{180e}]"
 #: A blank or line feed with white space on both sides, or the mark that the cutting uses.
 WHOLE = rf"{_WS}[ \n]{_WS}|{_WS}[ \n]\z|\x00"
-#: White space to some libraries and not to others: such pieces are encoded alone.
-ODD = "\x1c\x1d\x1e\x1f\x85\u200b\ufeff\u180e"
+#: A blank, then something without white space at its ends. Odd marks count as white space, as do all that any library takes for it.
+PLAIN = rf"^ [^{_WS[1:-1]}](?s:.*[^{_WS[1:-1]}])?$"
 #: Different pieces a worker remembers; pieces beyond are encoded each time. Bounds memory, not results.
 CACHE = 250_000
 
@@ -57,40 +57,47 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _each(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the pieces, and how many each has. Words that begin with a blank are encoded in long strings, which
-        the pre-tokeniser cuts at those blanks; token lengths in bytes tell where a piece ends."""
-        runs, alone = [], []
-        for i, w in enumerate(new):
-            (runs if w[0] == " " and len(w) > 1 and not (w[1].isspace() or w[-1].isspace() or w[-1] in ODD or w[1] in ODD) else alone).append(i)
-        parts: list = [None] * len(new)
-        for at in range(0, len(runs), 512):
-            own = runs[at:at + 512]
-            ids = np.asarray(self.whole(["".join([new[i] for i in own])])[0], np.uint32)
+    def _runs(self, new: pa.Array) -> np.ndarray:
+        """Places in ``new`` of words that begin with one blank and hold no other white space at their ends."""
+        return np.flatnonzero(np.asarray(pc.match_substring_regex(new, PLAIN)))
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Numbers of new pieces. Words that begin with a blank are encoded in long strings, which the pre-tokeniser cuts at
+        those blanks; token lengths in bytes tell where a piece ends."""
+        first, words = self.n, new.to_numpy(zero_copy_only=False).tolist()
+        while first + len(words) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        runs = self._runs(new)
+        alone = np.ones(len(words), bool)
+        alone[runs] = False
+        want = np.asarray(pc.binary_length(new)).astype(np.int64)
+        groups = [runs[at:at + 512] for at in range(0, len(runs), 512)]
+        used = self.used
+        for own in groups:
+            ids = np.asarray(self.whole(["".join([words[i] for i in own.tolist()])])[0], np.uint32)
             ends = np.cumsum(self.bytes[ids])
-            want = np.cumsum([len(new[i].encode()) for i in own])
-            at_ = np.searchsorted(ends, want)
-            if at_[-1] >= len(ends) or (ends[at_] != want).any():
-                alone += own
+            edge = np.cumsum(want[own])
+            at = np.searchsorted(ends, edge)
+            if at[-1] >= len(ends) or (ends[at] != edge).any():
+                alone[own] = True
                 continue
-            for i, lo, hi in zip(own, [0, *(at_[:-1] + 1).tolist()], (at_ + 1).tolist()):
-                parts[i] = ids[lo:hi]
-        for i, x in zip(alone, self.whole([new[i] for i in alone])):
-            parts[i] = np.asarray(x, np.uint32)
-        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
-
-    def _learn(self, new: list[str]) -> np.ndarray:
-        """Numbers of new pieces."""
-        ids, size = self._each(new)
-        first = self.n
-        while self.used + len(ids) > len(self.pool):
+            used = self._keep(first + own, np.diff(at, prepend=-1), ids, used)
+        rest = np.flatnonzero(alone)
+        for i in range(0, len(rest), 4096):
+            own = rest[i:i + 4096]
+            parts = self.whole([words[k] for k in own.tolist()])
+            used = self._keep(first + own, np.fromiter(map(len, parts), np.int64, len(parts)), np.concatenate([np.asarray(x, np.uint32) for x in parts]), used)
+        self.end = used
+        return np.arange(first, first + len(words))
+
+    def _keep(self, number: np.ndarray, size: np.ndarray, ids: np.ndarray, used: int) -> int:
+        """Puts the ids of pieces, one piece's behind the other's, into the pool from ``used`` on."""
+        while used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        while first + len(new) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.pool[self.used:self.used + len(ids)] = ids
-        self.start[first:first + len(new)] = self.used + np.cumsum(size) - size
-        self.size[first:first + len(new)] = size
-        return np.arange(first, first + len(new))
+        self.pool[used:used + len(ids)] = ids
+        self.start[number] = used + np.cumsum(size) - size
+        self.size[number] = size
+        return used + len(ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -104,12 +111,11 @@ class Encoder:
         number = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         miss = np.flatnonzero(number < 0)
         if len(miss):
-            new = [pieces[i] for i in miss.tolist()]
-            number[miss] = k = self._learn(new)
-            if len(self.known) + len(new) <= self.cache:  # else the next call writes over them
-                self.known.update(zip(new, k.tolist()))
-                self.n += len(new)
-                self.used = int(self.start[self.n - 1] + self.size[self.n - 1])
+            number[miss] = k = self._learn(coded.dictionary.take(pa.array(miss)))
+            if len(self.known) + len(miss) <= self.cache:  # else the next call writes over them
+                self.known.update(zip([pieces[i] for i in miss.tolist()], k.tolist()))
+                self.n += len(miss)
+                self.used = self.end
         which = number[np.asarray(coded.indices)]
         size = self.size[which]
         ends = np.cumsum(size)
@@ -125,7 +131,7 @@ class Encoder:
         return ids, lens
 
 
-def chunks(batches, column: str, limit: int = 2 << 20):
+def chunks(batches, column: str, limit: int = 4 << 20):
     """Record batches joined until the texts of one hold about ``limit`` bytes."""
     held, size = [], 0
     for b in batches:
