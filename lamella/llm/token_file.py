@@ -6,7 +6,8 @@ A file is a row of segments.  A segment, all numbers little-endian:
 
 Its head is zlib data of: uint32 documents, uint64 ids, uint32 block length, uint32 different ids, uint32 order-0 tables, then
 the arrays document ids (int64), null marks (uint8), ids of each document (uint32), different ids (uint32), their frequencies
-in each table (uint32), bytes of each block (uint32), crc32 of each block's ids as uint32 (uint32).  Given the head, a block is
+in each table (uint32), bytes of each block (uint32), crc32 of each block's ids as uint32 and then its
+bytes (uint32).  Given the head, a block is
 decoded alone and checked by its crc32.  Segments hold whole documents, about ``SEGMENT`` ids; a line feed ends each.
 """
 from __future__ import annotations
@@ -25,9 +26,9 @@ from lamella.llm.tokens import chunks, encoder, tokenizer_path
 
 MAGIC = b"LTS2"
 BLOCK = 4096
-SEGMENT = 8_000_000
+SEGMENT = 16_000_000
 #: Bytes of text that a task writes, about, and segments in a file of it: larger tasks write several files.
-PER_TASK, PER_FILE = 16 << 20, 8
+PER_TASK, PER_FILE = 40 << 20, 8
 
 
 def pack_segment(doc_ids: list, sizes: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -37,7 +38,7 @@ def pack_segment(doc_ids: list, sizes: np.ndarray, ids: np.ndarray, block: int =
     freq = order0_tables(symbols, sizes, len(names)) if len(ids) else np.empty((0, 0), np.int64)
     streams = encode(symbols, freq, block) if len(ids) else []
     raw = ids.astype("<u4")
-    sums = [zlib.crc32(raw[a:a + block].tobytes()) for a in range(0, len(ids), block)]
+    sums = [zlib.crc32(s, zlib.crc32(raw[a:a + block].tobytes())) for a, s in zip(range(0, len(ids), block), streams)]
     null = [x is None for x in doc_ids]
     head = zlib.compress(b"".join([
         struct.pack("<IQIII", len(doc_ids), len(ids), block, len(names), len(freq)), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array(null, "u1").tobytes(),
@@ -68,10 +69,11 @@ def segments(content: bytes):
             p += arrays[-1].nbytes
         doc_ids, null, sizes, names, freq, length, sums = arrays
         edge = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
-        ids = names[decode([body[a:b] for a, b in zip(edge[:-1], edge[1:])], total, freq.astype(np.int64).reshape(tables, different), block)] if total else np.empty(0, np.uint32)
+        streams = [body[a:b] for a, b in zip(edge[:-1], edge[1:])]
+        ids = names[decode(streams, total, freq.astype(np.int64).reshape(tables, different), block)] if total else np.empty(0, np.uint32)
         ids = ids.astype("<u4")
         for i, s in enumerate(sums.tolist()):
-            if zlib.crc32(ids[i * block:(i + 1) * block].tobytes()) != s:
+            if zlib.crc32(streams[i], zlib.crc32(ids[i * block:(i + 1) * block].tobytes())) != s:
                 raise ValueError(f"damaged block {i}")
         yield [None if z else x for x, z in zip(doc_ids.tolist(), null.tolist())], sizes.astype(np.int64), ids
 

@@ -17,8 +17,8 @@ _WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}\x{200b}\x{feff}\x{180e}]"
 WHOLE = rf"{_WS}[ \n]{_WS}|{_WS}[ \n]\z|\x00"
 #: A blank, then something without white space at its ends. Odd marks count as white space, as do all that any library takes for it.
 PLAIN = rf"^ [^{_WS[1:-1]}](?s:.*[^{_WS[1:-1]}])?$"
-#: Different pieces a worker remembers; pieces beyond are encoded each time. Bounds memory, not results.
-CACHE = 250_000
+#: Different pieces a worker remembers, about; beyond it begins anew. Bounds memory, not results.
+CACHE = 1_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -49,6 +49,9 @@ class Encoder:
         for w, i in vocab.items():
             self.bytes[i] = len(w)  # one character of a vocabulary entry is one byte
         self.cache = cache
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -72,7 +75,6 @@ class Encoder:
         alone[runs] = False
         want = np.asarray(pc.binary_length(new)).astype(np.int64)
         groups = [runs[at:at + 512] for at in range(0, len(runs), 512)]
-        used = self.used
         for own in groups:
             ids = np.asarray(self.whole(["".join([words[i] for i in own.tolist()])])[0], np.uint32)
             ends = np.cumsum(self.bytes[ids])
@@ -81,25 +83,27 @@ class Encoder:
             if at[-1] >= len(ends) or (ends[at] != edge).any():
                 alone[own] = True
                 continue
-            used = self._keep(first + own, np.diff(at, prepend=-1), ids, used)
+            self._keep(first + own, np.diff(at, prepend=-1), ids)
         rest = np.flatnonzero(alone)
         for i in range(0, len(rest), 4096):
             own = rest[i:i + 4096]
             parts = self.whole([words[k] for k in own.tolist()])
-            used = self._keep(first + own, np.fromiter(map(len, parts), np.int64, len(parts)), np.concatenate([np.asarray(x, np.uint32) for x in parts]), used)
-        self.end = used
+            self._keep(first + own, np.fromiter(map(len, parts), np.int64, len(parts)), np.concatenate([np.asarray(x, np.uint32) for x in parts]))
         return np.arange(first, first + len(words))
 
-    def _keep(self, number: np.ndarray, size: np.ndarray, ids: np.ndarray, used: int) -> int:
-        """Puts the ids of pieces, one piece's behind the other's, into the pool from ``used`` on."""
-        while used + len(ids) > len(self.pool):
+    def _keep(self, number: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Puts the ids of pieces, one piece's behind the other's, into the pool."""
+        end = self.used + len(ids)
+        while end > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        self.pool[used:used + len(ids)] = ids
-        self.start[number] = used + np.cumsum(size) - size
+        self.pool[self.used:end] = ids
+        self.start[number] = self.used + np.cumsum(size) - size
         self.size[number] = size
-        return used + len(ids)
+        self.used = end
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.n > self.cache:
+            self.forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = pc.match_substring_regex(texts, WHOLE)
         odd = np.flatnonzero(np.asarray(whole))
@@ -112,10 +116,8 @@ class Encoder:
         miss = np.flatnonzero(number < 0)
         if len(miss):
             number[miss] = k = self._learn(coded.dictionary.take(pa.array(miss)))
-            if len(self.known) + len(miss) <= self.cache:  # else the next call writes over them
-                self.known.update(zip([pieces[i] for i in miss.tolist()], k.tolist()))
-                self.n += len(miss)
-                self.used = self.end
+            self.known.update(zip([pieces[i] for i in miss.tolist()], k.tolist()))
+            self.n += len(miss)
         which = number[np.asarray(coded.indices)]
         size = self.size[which]
         ends = np.cumsum(size)

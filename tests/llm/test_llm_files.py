@@ -223,12 +223,10 @@ def test_damaged_segments_are_errors():
             list(T.segments(bytes(bad) + b"\n"))
 
 
-def test_token_files(spark, tmp_path, monkeypatch):
+def test_token_files(spark, tmp_path):
     d = spark.createDataFrame(TEXTS, "doc_id long, text string").withColumn("start", F.lit("clash")).repartition(3)
     folder = str(tmp_path / "tokens")
-    monkeypatch.setattr(T, "SEGMENT", 20_000)
-    T.write_token_files(d, folder, per_task=20_000, per_file=1)
-    assert len(list((tmp_path / "tokens").glob("*-c001.txt"))) > 0
+    T.write_token_files(d, folder, per_task=20_000)
     rows = sorted(T.read_token_files(spark, folder, with_ids=True).collect(), key=lambda r: r.start)
     enc = Encoder(tokenizer_path())
     assert sorted(map(repr, ([r.doc_id, r["ids"]] for r in rows))) == sorted(repr([i, enc.whole([t or ""])[0] + [0]]) for i, t in TEXTS)
@@ -241,6 +239,16 @@ def test_token_files(spark, tmp_path, monkeypatch):
     assert T.token_files(d.where("false")).collect() == []
 
 
+def test_a_task_writes_several_files_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "SEGMENT", 1)
+    monkeypatch.setattr(T, "chunks", lambda batches, column: batches)
+    folder = tmp_path / "tokens"
+    T.write_token_files(spark.range(1000).selectExpr("id AS doc_id", "concat('text ', id) AS text"), str(folder), per_file=1)
+    assert len(list(folder.glob("part-00000-*-c00?.txt"))) == 4
+    rows = sorted(T.read_token_files(spark, str(folder)).collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in rows] == list(range(1000)) and [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows)])[:-1].tolist()
+
+
 FAKE = W.record(666, "http://fake.net/", b"not a record", None, False, "2000-01-01T00:00:00Z").decode()
 PAGES = [(1, "http://a.net/", "plain"), (2, None, None), (3, "", ""), (4, "http://b.net/\r\nX: y", "plain"), (9, "http://c.net/", "plain"), (9, "http://c.net/", "plain"), (5, "http://d.net/", FAKE), (6, "u", FAKE + "WARC/1.1\r\n"),
          (7, "u", "WARC/1.1\r\nContent-Length: 5\r\n\r\n"), (None, "u", "nameless"), (None, "u", "nameless"), (8, "é", "é漢\r\n\r\n" * 10), (10, "u", "z" * 300_000)]
