@@ -16,8 +16,25 @@ SPACES = " \t\n\v\f\r"
 BOILERPLATE = ("all rights reserved", "licensed under", "released under the", "terms of service", "terms of use", "privacy policy", "cookie policy",
                "use of cookies", "enable javascript", "subscribe to our newsletter", "lorem ipsum", "copyright ©", "powered by")
 PHRASE = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, BOILERPLATE)) + r")(?!\w)")
-SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*(?:[ \t\r]|$)")
-NAV_MARK = re.compile(r"(?:^|[ \t])[|›»·•>/][ \t]*(?=\S|$)")
+#: Marks that end a sentence, by script; a colon or semicolon ends a line that goes on below.
+ENDS = (".!?…‼‽⁇⁈⁉:;"        # Latin, Greek, Cyrillic
+        "։"                  # Armenian
+        "؟؛۔܀܁܂"              # Arabic, Urdu, Syriac
+        "߹࠷࠽"                # N'Ko, Samaritan
+        "।॥"                 # the scripts of India
+        "๚๛།༎"              # Thai and Lao close, Tibetan
+        "၊။។៕᪨᪩᭚᭛᭞᭟"         # Myanmar, Khmer, Tai Tham, Balinese
+        "።፧፨᙮᠃᠉"             # Ethiopic, Canadian, Mongolian
+        "᱾᱿꓿꘎꘏꣎꣏꤯꧈꧉꩝꩞꩟꫰꫱꯫"   # Ol Chiki, Lisu, Vai, Saurashtra, Kayah, Javanese, Cham, Meetei
+        "﹒﹖﹗．：；")           # wide forms
+#: Marks after which the next sentence may follow without a blank.
+WIDE_ENDS = "。！？｡"
+#: What may stand behind the mark.
+CLOSERS = "\"'”’»›“‘)]}）］｝】〕》〉」』"
+SENTENCE_END = re.compile(rf"[{re.escape(ENDS)}][{re.escape(CLOSERS)}]*(?:[ \t\r\xa0]|$)|[{WIDE_ENDS}]")
+#: Thai, Lao and Khmer letters; these scripts part sentences by blanks.
+UNMARKED = re.compile("[\u0e01-\u0e2e\u0e81-\u0eae\u1780-\u17b3]")
+NAV_MARK = re.compile(r"(?<![^ \t])[|›»·•>/](?=[ \t]*(?:\S|$))")
 #: A word with a run of symbols, or one that ends in two or more shouted marks.
 NOISE = re.compile(r"^\S*[#*$%&|<>~^=_]{2,}\S*$|^\S*[!?]{2,}$|^[|#*$%&<>~^=_]+$")
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, lost_words long, n_lines long, lost_lines long, clean_text string"
@@ -39,17 +56,21 @@ class Rules:
 
 
 def line_fault(line: str, words: list[str], rules: Rules) -> str | None:
-    """Which rule a line fails: ``boilerplate``, ``navigation``, ``punctuation``, or None. A blank line fails none."""
+    """Which rule a line fails: ``boilerplate``, ``navigation``, ``punctuation``, or None. A blank line fails none.
+
+    A line wants a sentence's end, in any script, unless a third of it is letters of scripts without such marks.
+    """
     if not words:
         return None
     if len(words) <= rules.boilerplate_words:
         held = sum(len(m[0].split()) for m in PHRASE.finditer(" ".join(words).lower()))
         if held and held >= rules.min_boilerplate * len(words):
             return "boilerplate"
-    marks = len(NAV_MARK.findall(line)) if any(c in line for c in "|›»·•>/") else 0
+    # a closing quote is no mark
+    marks = len(NAV_MARK.findall(line.replace("»", "") if "«" in line else line)) if any(c in line for c in "|›»·•>/") else 0
     if marks >= 2 and marks * rules.nav_every >= len(words) or marks and len(words) < rules.nav_every:
         return "navigation"
-    if not SENTENCE_END.search(line):
+    if not SENTENCE_END.search(line) and 3 * len(UNMARKED.findall(line)) < sum(map(len, words)):
         return "punctuation"
     if any(c in line for c in "!?#*$%&|<>~^=_") and sum(1 for w in words if NOISE.match(w)) > rules.max_noise * len(words):
         return "punctuation"

@@ -26,9 +26,9 @@ from lamella.llm.tokens import chunks, encoder, tokenizer_path
 
 MAGIC = b"LTS2"
 BLOCK = 4096
-SEGMENT = 16_000_000
+SEGMENT = 8_000_000
 #: Bytes of text that a task writes, about, and segments in a file of it: larger tasks write several files.
-PER_TASK, PER_FILE = 40 << 20, 8
+PER_TASK, PER_FILE = 20 << 20, 8
 
 
 def pack_segment(doc_ids: list, sizes: np.ndarray, ids: np.ndarray, block: int = BLOCK) -> bytes:

@@ -62,6 +62,90 @@ def test_quality_rules_agree_with_labels(spark, sf):
     assert np.mean([r.kept for r in rows if r.quality == 0]) < 0.05
 
 
+SCRIPTS = {
+    "hi": "यह एक साधारण वाक्य है जो गाँव के पुराने बाज़ार के बारे में बताता है।\nलोग हर सुबह वहाँ ताज़ी सब्ज़ियाँ और फल खरीदने आते हैं।",
+    "ur": "یہ ایک سادہ جملہ ہے جو گاؤں کے پرانے بازار کے بارے میں بتاتا ہے۔\nلوگ ہر صبح وہاں تازہ سبزیاں خریدنے آتے ہیں۔",
+    "ar": "هل رأيت السوق القديم في القرية حيث يأتي الناس كل صباح؟\nنعم، رأيته أمس مع صديقي وكان مليئا بالناس والبضائع الجديدة؟",
+    "hy": "Սա մի պարզ նախադասություն է, որը պատմում է գյուղի հին շուկայի մասին։\nՄարդիկ ամեն առավոտ գալիս են այնտեղ թարմ միրգ գնելու։",
+    "am": "ይህ ስለ መንደሩ አሮጌ ገበያ የሚናገር ቀላል ዓረፍተ ነገር ነው።\nሰዎች በየጠዋቱ ትኩስ አትክልትና ፍራፍሬ ለመግዛት ወደዚያ ይመጣሉ።",
+    "my": "ဤ ဝါကျ သည် ရွာ ဈေး အကြောင်း ပြော သော ရိုးရှင်း သော ဝါကျ ဖြစ် သည်။\nလူ များ နေ့ တိုင်း ထို နေရာ သို့ လာ ကြ သည်။",
+    "zh": "这 是 一 个 关于 村里 老 市场 的 简单 句子。人们 每天 早上 都 来 这里\n他们 买 新鲜 的 蔬菜 和 水果。”",
+    "th": "นี่คือ ประโยค ง่าย ๆ ที่ เล่า เกี่ยวกับ ตลาด เก่า ใน หมู่บ้าน\nผู้คน มา ที่นั่น ทุก เช้า เพื่อ ซื้อ ผัก สด",
+    "el": "Είδες την παλιά αγορά του χωριού όπου έρχονται όλοι κάθε πρωί;\nΝαι, την είδα χθες μαζί με τον φίλο μου.",
+    "fr": "« Bonjour », dit-elle en entrant, « vous êtes donc venu seul ce matin au marché du village ? »\n« Oui. »",
+    "en": "These are the things that the old market in the village sells every morning:\nfresh bread, new cheese, and red apples from the hills nearby;",
+}
+
+
+@pytest.mark.parametrize("lang", SCRIPTS)
+def test_sound_texts_of_any_script_stay(lang):
+    r = Q.judge(SCRIPTS[lang], Q.Rules())
+    assert r[6] and r[-1] == SCRIPTS[lang], lang
+    bare = "".join(" " if c in "।۔؟։።။。.:;”" else c for c in SCRIPTS[lang])
+    assert lang in ("th", "fr") or not Q.judge(bare, Q.Rules())[6]
+
+
+def verdict(t):
+    """What the rules say of a text, spelled out word by word. ``(kept, words lost, text left)``."""
+    def ends(line):
+        for i, c in enumerate(line):
+            if c in Q.WIDE_ENDS:
+                return True
+            if c in Q.ENDS:
+                rest = line[i + 1:].lstrip(Q.CLOSERS)
+                if rest == "" or rest[0] in " \t\r\xa0":
+                    return True
+        return False
+
+    def noisy(w):
+        run = any(w[i] in "#*$%&|<>~^=_" and w[i + 1] in "#*$%&|<>~^=_" for i in range(len(w) - 1))
+        return run or len(w) > 1 and w[-1] in "!?" and w[-2] in "!?" or all(c in "|#*$%&<>~^=_" for c in w)
+
+    def fails(line):
+        w = line.split()
+        low, held = " " + " ".join(w).lower() + " ", 0
+        if len(w) <= 20:
+            at = 0
+            while at < len(low):
+                hit = next((p for p in Q.BOILERPLATE if low.startswith(p, at) and not (low[at - 1].isalnum() or low[at - 1] == "_")
+                            and not (low[at + len(p)].isalnum() or low[at + len(p)] == "_")), None)
+                held += len(hit.split()) if hit else 0
+                at += len(hit) if hit else 1
+            if held and 3 * held >= 2 * len(w):
+                return True
+        marks, i, whole = 0, 0, line
+        line = line.replace("»", "") if "«" in line else line
+        while i < len(line):  # a mark stands at the start or behind a blank, with blanks and then anything or the end behind it
+            if line[i] in "|›»·•>/" and (i == 0 or line[i - 1] in " \t"):
+                j = i + 1
+                while j < len(line) and line[j] in " \t":
+                    j += 1
+                if j == len(line) or not line[j].isspace():
+                    marks += 1
+            i += 1
+        if marks >= 2 and 6 * marks >= len(w) or marks and len(w) < 6:
+            return True
+        line = whole
+        if not ends(line) and 3 * sum("\u0e01" <= c <= "\u0e2e" or "\u0e81" <= c <= "\u0eae" or "\u1780" <= c <= "\u17b3" for c in line) < sum(map(len, w)):
+            return True
+        return sum(map(noisy, w)) > 0.3 * len(w)
+
+    lines = (t or "").split("\n")
+    bad = [bool(x.split()) and fails(x) for x in lines]
+    lost, all_words = sum(len(x.split()) for x, b in zip(lines, bad) if b), sum(len(x.split()) for x in lines)
+    kept = not base_counts(t)[5] and all_words > 0 and lost <= 0.35 * all_words
+    return kept, lost, "\n".join(x for x, b in zip(lines, bad) if not b)
+
+
+def test_verdicts_equal_brute_force(spark, sf):
+    rng = random.Random(9)
+    al = ["a good line of words ends here.", "home", "|", "»", "all rights reserved", "Privacy Policy", "BUY!!", "##", "x", "\n", "\n", "the end", ". ", "?", "ตลาด", "。", "»)", "word", "two words;", "powered by", "_", "/", "•", "«", "other words stand in this line, which is long enough."]
+    t = [" ".join(rng.choices(al, k=rng.randrange(30))) for _ in range(3000)] + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for x in t:
+        r = Q.judge(x, Q.Rules())
+        assert (r[6], r[7], r[-1]) == verdict(x), repr(x)
+
+
 RULES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
