@@ -4,6 +4,8 @@
 """
 from __future__ import annotations
 
+import hashlib
+import math
 from functools import reduce
 
 import numpy as np
@@ -11,13 +13,13 @@ import pandas as pd
 from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from lamella.core import FEATURE, bounded, checkpointed, sample_ids, vectors
+from lamella.core import FEATURE, MAX_SAMPLES, bounded, checkpointed, sample_ids, vectors
 from lamella.functions.ranking import row_numbers
 from lamella.functions.special import fisher_pvalue, hash_uniform, norm_cdf
 from lamella.operators.differential import f_test, t_test
+from lamella.operators import forest as forests, logistic, margins
 from lamella.operators.filters import top_variance
 
 
@@ -187,6 +189,62 @@ def roc_boot(m: DataFrame, y: DataFrame, reps: int = 500, level: float = 0.95, s
     return vectors(m, order).mapInPandas(run, "layer string, feature string, low double, high double, median double")
 
 
+#: Poisson(1): the chances of at most 0, 1, ... 11.
+POISSON = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(12)])
+
+
+def poisson_weights(samples: list[str], reps: int, seed: int) -> np.ndarray:
+    """Replicates x samples: how often a sample is drawn, from the md5 of ``sample|replicate|seed``."""
+    u = np.array([[int(hashlib.md5(f"{s}|{r}|{seed}".encode()).hexdigest()[:8], 16) for s in samples] for r in range(1, reps + 1)], float) / 2 ** 32
+    return (u[..., None] > POISSON).sum(-1)
+
+
+def roc_intervals(m: DataFrame, y: DataFrame, specificities: list[float] = [], thresholds: list[float] = [], reps: int = 200, level: float = 0.95, seed: int = 1) -> DataFrame:
+    """``layer, feature, kind, at, low, median, high``: bootstrap intervals of sensitivity at specificities, and of sensitivity and
+    specificity at thresholds, for two classes.
+
+    A replicate weighs samples by Poisson(1) counts that all features share; counts of a feature's sorted values then only need
+    running sums, and no resampled row is made.  The hit is the class of the larger median in the data.  Replicates without one
+    of the classes are left out; features without one of them give nulls.
+    """
+    lev = classes(y)
+    if len(lev) != 2:
+        raise ValueError("intervals need two classes")
+    order = sample_ids(m.join(y.where(F.col("label").isNotNull()), "sample", "left_semi"))
+    label = {r["sample"]: r["label"] for r in bounded(y, MAX_SAMPLES, "labels")}
+    one = np.array([label[s] == lev[1] for s in order])
+    weights = poisson_weights(order, reps, seed)
+    q = [(1 - level) / 2, 0.5, (1 + level) / 2]
+
+    def rows(layer: str, feature: str, x: np.ndarray) -> list[tuple]:
+        seen = ~np.isnan(x)
+        x, hit, w = x[seen], one[seen], weights[:, seen]
+        names = [("sens_at_spec", s) for s in specificities] + [(k, t) for t in thresholds for k in ("sens_at_threshold", "spec_at_threshold")]
+        if not hit.any() or hit.all():
+            return [(layer, feature, *n, None, None, None) for n in names]
+        up = np.median(x[~hit]) <= np.median(x[hit])
+        by = np.argsort(x, kind="stable")
+        x, w1, w0 = x[by], (w * hit)[:, by], (w * ~hit)[:, by]
+        both = (w1.sum(1) > 0) & (w0.sum(1) > 0)
+        last = np.flatnonzero(np.r_[x[1:] != x[:-1], True])  # cuts lie between different values
+        below1, below0 = (np.column_stack([np.zeros(both.sum()), v[both].cumsum(1)[:, last] / v[both].sum(1)[:, None]]) for v in (w1, w0))
+        sens, spec = (1 - below1, below0) if up else (below1, 1 - below0)
+        out = []
+        for s in specificities:
+            out.append(np.where(spec >= s - 1e-12, sens, -1).max(1))
+        for t in thresholds:
+            k = np.searchsorted(x[last], t, side="right")
+            out += [sens[:, k], spec[:, k]]
+        return [(layer, feature, *n, *(np.quantile(v, q).tolist() if len(v) else [None] * 3)) for n, v in zip(names, out)]
+
+    def run(it):
+        for pdf in it:
+            yield pd.DataFrame([r for lay, f, v in pdf[["layer", "feature", "vec"]].itertuples(index=False) for r in rows(lay, f, np.array(v))],
+                               columns=["layer", "feature", "kind", "at", "low", "median", "high"])
+
+    return vectors(m, order).mapInPandas(run, "layer string, feature string, kind string, at double, low double, median double, high double")
+
+
 # ---- splits and classifiers ----------------------------------------------------------------
 
 def mc_splits(y: DataFrame, p: float = 2 / 3, runs: int = 10, seed: int = 1, cap_train: int | None = None) -> DataFrame:
@@ -205,8 +263,32 @@ def mc_splits(y: DataFrame, p: float = 2 / 3, runs: int = 10, seed: int = 1, cap
     return d.select("run", "sample", "label", F.when(F.col("_r") <= ntr, "train").otherwise("test").alias("role"))
 
 
-def rank_features(m: DataFrame, splits: DataFrame, how: str = "auroc") -> DataFrame:
-    """``run, layer, feature, score``: importance from the training part of each run, all runs in one job."""
+def run_samples(m: DataFrame, splits: DataFrame) -> tuple[DataFrame, list[tuple[int, np.ndarray]], np.ndarray]:
+    """Feature vectors over the samples of ``splits``, each run's training samples by place, and the samples' labels as 0/1."""
+    pos = classes(splits)[-1]
+    rows = bounded(splits.groupBy("sample").agg(F.max((F.col("label") == pos).cast("int")).alias("y"), F.sort_array(F.collect_set(F.when(F.col("role") == "train", F.col("run")))).alias("runs")),
+                   MAX_SAMPLES, "samples")
+    place = sample_ids(m.join(splits.select("sample").distinct(), "sample", "left_semi"))
+    at = {s: i for i, s in enumerate(place)}
+    own = sorted((at[r["sample"]], r["y"], r["runs"]) for r in rows if r["sample"] in at)
+    runs = sorted({k for _, _, ks in own for k in ks})
+    return vectors(m, place), [(k, np.array([i for i, _, ks in own if k in ks])) for k in runs], np.array([y for _, y, _ in own])
+
+
+def rank_features(m: DataFrame, splits: DataFrame, how: str = "auroc", trees: int = 500, components: int = 2, cost: float = 1.0, seed: int = 1) -> DataFrame:
+    """``run, layer, feature, score``: importance from the training part of each run, all runs together.
+
+    ``auroc``, ``f`` and ``fisher`` look at one feature at a time; ``forest`` is the mean decrease in accuracy, ``pls`` the variable
+    importance in projection and ``svm`` the squared weight in a linear machine, all with two classes.
+    """
+    if how in ("forest", "pls", "svm"):
+        if len(classes(splits)) != 2:
+            raise ValueError(f"{how} ranks for two classes")
+        vecs, runs, y = run_samples(m, splits)
+        if how == "forest":
+            return forests.forest(vecs, runs, y, trees, seed=seed)[1]
+        vecs = checkpointed(vecs)
+        return margins.pls_importance(vecs, runs, y, components) if how == "pls" else margins.svm_importance(vecs, runs, y, cost)
     tr = splits.where("role = 'train'").select("run", "sample", "label")
     d = m.where(F.col("value").isNotNull()).join(tr, "sample")
     keys = ["run", *FEATURE]
@@ -260,18 +342,47 @@ def _logit(x, y, xt, ridge=1e-3, rounds=50):
     return 1 / (1 + np.exp(-np.clip(at @ b, -30, 30))), np.abs(b[1:])
 
 
-SMALL_MODELS = {"plsda": _plsda, "logistic": _logit}
+def _elastic(x, y, xt, folds=5):
+    """Elastic net (alpha 0.5) at the penalty that five folds choose; folds take samples in turn within a class."""
+    fold = np.empty(len(y), int)
+    for c in (0, 1):
+        own = np.flatnonzero(y == c)
+        fold[own] = np.arange(len(own)) % folds
+    beta, _, _ = logistic.elastic_net(logistic.over_arrays(x, y, fold), folds)
+    return 1 / (1 + np.exp(-np.clip(beta[0] + xt @ beta[1:], -30, 30))), np.abs(beta[1:])
+
+
+def _svm(x, y, xt, cost=1.0):
+    both = np.vstack([x, xt]).T
+    train = np.arange(len(x))
+    z = margins.centred(both, train, True)
+    a, offset, ok = margins.machine(z[:, train].T @ z[:, train], y, cost)
+    if not ok:
+        raise ValueError("a machine did not converge")
+    w = z[:, train] @ a
+    slope, shift = margins.platt(w @ z[:, train] + offset, y)
+    return 1 / (1 + np.exp(-np.clip(slope * (w @ z[:, len(x):] + offset) + shift, -30, 30))), w ** 2
+
+
+SMALL_MODELS = {"plsda": _plsda, "logistic": _logit, "elastic": _elastic, "svm": _svm, "forest": forests.small_forest}
 
 
 def classify(train: DataFrame, test: DataFrame, how: str, seed: int = 1) -> DataFrame:
-    """Probability of class 1 for ``test``; frames hold ``sample, label (0/1), x array<double>``."""
+    """Probability of class 1 for ``test``; frames hold ``sample, label (0/1), x array<double>``.
+
+    The elastic net's penalty is chosen on five folds (``logistic``); the other models are Spark ML's.
+    """
+    if how == "elastic":
+        d = checkpointed(logistic.folded(train.select("sample", F.col("label").cast("double").alias("label"), "x"), 5, seed))
+        beta, _, _ = logistic.elastic_net(logistic.over_frame(d), sweeps=3000)  # a pass over the samples costs more than sweeps
+        return test.select("sample", F.col("label").cast("double").alias("label"), logistic.probability(F.col("x"), beta.tolist()).alias("prob"))
     tr = train.select("sample", F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
     te = test.select("sample", F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
     if how == "svm":
         svm = LinearSVC(maxIter=50, regParam=0.01).fit(tr)
         margin = lambda d: svm.transform(d).select("sample", "label", array_to_vector(F.array(vector_to_array("rawPrediction")[1])).alias("features"))
         return LogisticRegression(regParam=0.001).fit(margin(tr)).transform(margin(te)).select("sample", "label", vector_to_array("probability")[1].alias("prob"))
-    est = {"rf": RandomForestClassifier(numTrees=300, maxDepth=6, seed=seed), "elastic": LogisticRegression(elasticNetParam=0.5, regParam=0.05),
+    est = {"rf": RandomForestClassifier(numTrees=300, maxDepth=30, seed=seed),
            "logistic": LogisticRegression(regParam=1e-4)}[how]
     return est.fit(tr).transform(te).select("sample", "label", vector_to_array("probability")[1].alias("prob"))
 
@@ -391,29 +502,40 @@ def permutation_test(m: DataFrame, y: DataFrame, size: int, perms: int = 20, how
     return per.withColumn("_one", F.lit(1)).join(p, "_one").select("run", "auc", "accuracy", "pval")
 
 
-def logistic_report(m: DataFrame, y: DataFrame, features: list[tuple[str, str]], folds: int = 10, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Coefficients with SE, z, p and odds ratio; cross-validated predictions from hashed stratified folds."""
+def equation(names: list[str], coef: list[float]) -> str:
+    """The model as text, coefficients to three places."""
+    return f"{coef[0]:.3f}" + "".join(f" {'-' if c < 0 else '+'} {abs(c):.3f} {n}" for n, c in zip(names, coef[1:]))
+
+
+def logistic_report(m: DataFrame, y: DataFrame, features: list[tuple[str, str]], folds: int = 10, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """A logistic model of a few features for two classes, with stratified cross-validation.
+
+    Coefficients (SE, z, p, odds ratio, whether the fit converged); probabilities of the samples by the fits that left their fold
+    out; performance: AUC, sensitivity and specificity of training and cross-validation at the threshold closest to the top-left
+    corner of the cross-validated curve; the equation.  All fits share each pass over the samples.  Samples with a gap in one of
+    the features are left out.
+    """
     pos = classes(y)[-1]
     names = [f"{l}:{f}" for l, f in features]
     wide = m.join(y, "sample").groupBy("sample", "label").agg(*[F.max(F.when((F.col("layer") == l) & (F.col("feature") == f), F.col("value"))).alias(f"x{i}")
                                                                 for i, (l, f) in enumerate(features)]).dropna()
-    d = checkpointed(wide.withColumn("label", (F.col("label") == pos).cast("double")).withColumn("x", F.array(*[f"x{i}" for i in range(len(features))])))
-    fit = GeneralizedLinearRegression(family="binomial", labelCol="label", featuresCol="f").fit(d.select("label", array_to_vector("x").alias("f")))
-    s = fit.summary
-    coef = [float(fit.intercept), *map(float, fit.coefficients)]
-    se = list(s.coefficientStandardErrors)
-    se = [se[-1], *se[:-1]]
-    rows = [(n, c, float(e), c / e, float(2 * norm_cdf(-abs(c / e))), float(np.exp(c))) for n, c, e in zip(["(Intercept)", *names], coef, se)]
-    table = m.sparkSession.createDataFrame(rows, "term string, coef double, se double, z double, pval double, odds double")
     w = W.partitionBy("label").orderBy(F.xxhash64("sample", F.lit(seed)), "sample")
-    f = d.select("sample", "label", "x", F.pmod(F.row_number().over(w), F.lit(folds)).alias("fold"))
-    f = f.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-
-    def cv(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        te = (pdf["fold"] == key[0]).to_numpy()
-        x, lab = np.vstack(pdf["x"].to_numpy()), pdf["label"].to_numpy()
-        if not te.any():
-            return pd.DataFrame({"sample": [], "label": [], "prob": []})
-        return pd.DataFrame({"sample": pdf["sample"][te], "label": lab[te].astype(int), "prob": _logit(x[~te], lab[~te], x[te], 1e-6)[0]})
-
-    return table, f.groupBy("run").applyInPandas(cv, "sample string, label int, prob double")
+    d = checkpointed(wide.select("sample", (F.col("label") == pos).cast("double").alias("label"), F.array(*[f"x{i}" for i in range(len(features))]).alias("x"),
+                                 F.pmod(F.row_number().over(w), F.lit(folds)).alias("fold")))
+    fits = logistic.path(logistic.over_frame(d), folds, lambdas=np.zeros(1), tol=1e-9)
+    coef, se = fits.beta[0, 0].tolist(), np.sqrt(np.diag(np.linalg.pinv(fits.gram[0, 0]))).tolist()
+    rows = [(n, c, e, c / e if e else None, float(2 * norm_cdf(-abs(c / e))) if e else None, float(np.exp(min(c, 700.0))), bool(fits.converged[0, 0])) for n, c, e in zip(["(Intercept)", *names], coef, se)]
+    table = m.sparkSession.createDataFrame(rows, "term string, coef double, se double, z double, pval double, odds double, converged boolean")
+    fit = F.explode(F.array(*[F.struct(F.lit(k).alias("fit"), logistic.probability(F.col("x"), fits.beta[k + 1, 0].tolist()).alias("prob")) for k in range(folds)])).alias("p")
+    every = d.select("sample", F.col("label").cast("int").alias("label"), "fold", fit).select(
+        "sample", "label", F.when(F.col("p.fit") == F.col("fold"), "cross-validation").otherwise("training").alias("part"), "p.prob")
+    every = checkpointed(every)
+    cv = every.where("part = 'cross-validation'")
+    curve = roc(cv.select(F.lit("model").alias("layer"), F.lit("cv").alias("feature"), "sample", F.col("prob").alias("value")),
+                cv.select("sample", F.col("label").cast("string").alias("label")), direction="fixed")
+    best = best_threshold(curve, "topleft").select("threshold", F.lit(1).alias("_one"))
+    hit = F.col("prob") > F.col("threshold")
+    at = (every.withColumn("_one", F.lit(1)).join(best, "_one").groupBy("part", "threshold")
+          .agg((F.count_if(hit & (F.col("label") == 1)) / F.nullif(F.count_if(F.col("label") == 1), F.lit(0))).alias("sens"),
+               (F.count_if(~hit & (F.col("label") == 0)) / F.nullif(F.count_if(F.col("label") == 0), F.lit(0))).alias("spec")))
+    return table, cv.select("sample", "label", "prob"), _pred_auc(every, ["part"]).join(at, "part"), equation(names, coef)

@@ -347,12 +347,25 @@ register("partial_auc", "N7", _ROC + """, w AS (SELECT feature, 1-spec AS x, sen
 SELECT 'ptype' AS layer, feature, 'low' AS class, sum(CASE WHEN least(x,1.0)>greatest(x0,0.0) THEN (x-x0)*(y+y0)/2 ELSE 0 END) AS area FROM w WHERE x0 IS NOT NULL GROUP BY 2""", "area")(
     lambda s, d: BI.partial_auc(_curve(s, d)))
 register("roc_bootstrap", "N8")(lambda s, d: BI.roc_boot(X.layer_a(s, d), _y(s, d)))
+_WEIGHT = " + ".join(f"cast(u > {c!r} AS int)" for c in BI.POISSON.tolist())
+register("roc_intervals", "N8", with_("e", "samples") + f""", r AS (SELECT feature, value, acct_high = 'low' AS hit, rep, ({_WEIGHT}) AS w
+    FROM (SELECT *, cast('0x' || left(md5(sample || '|' || rep || '|1'), 8) AS bigint) / 4294967296.0 AS u FROM e JOIN samples USING (sample), range(1, 201) AS t(rep)) z),
+  md AS (SELECT feature, quantile_cont(value, 0.5) FILTER (acct_high = 'low') >= quantile_cont(value, 0.5) FILTER (acct_high = 'high') AS up FROM e JOIN samples USING (sample) GROUP BY 1),
+  v AS (SELECT feature, rep, value, sum(CASE WHEN hit THEN w ELSE 0 END) AS a, sum(CASE WHEN hit THEN 0 ELSE w END) AS b FROM r GROUP BY ALL),
+  n AS (SELECT feature, rep, sum(a) AS n1, sum(b) AS n0 FROM v GROUP BY ALL HAVING sum(a) > 0 AND sum(b) > 0),
+  k AS (SELECT feature, rep, value, sum(a) OVER o AS b1, sum(b) OVER o AS b0 FROM v WINDOW o AS (PARTITION BY feature, rep ORDER BY value) UNION ALL SELECT feature, rep, '-inf'::double, 0, 0 FROM n),
+  c AS (SELECT feature, rep, value, CASE WHEN up THEN 1-b1/n1 ELSE b1/n1 END AS sens, CASE WHEN up THEN b0/n0 ELSE 1-b0/n0 END AS spec FROM k JOIN n USING (feature, rep) JOIN md USING (feature)),
+  x AS (SELECT feature, rep, 'sens_at_spec' AS kind, s AS "at", max(sens) AS y FROM c, (VALUES (0.5::double), (0.9::double)) q(s) WHERE spec >= s - 1e-12 GROUP BY ALL
+    UNION ALL SELECT feature, rep, 'sens_at_threshold', 100::double, arg_max(sens, value) FROM c WHERE value <= 100 GROUP BY ALL
+    UNION ALL SELECT feature, rep, 'spec_at_threshold', 100::double, arg_max(spec, value) FROM c WHERE value <= 100 GROUP BY ALL)
+SELECT 'ptype' AS layer, feature, kind, "at", quantile_cont(y, 0.025) AS low, quantile_cont(y, 0.5) AS median, quantile_cont(y, 0.975) AS high FROM x GROUP BY ALL""",
+         "low median high")(lambda s, d: BI.roc_intervals(X.layer_e(s, d), _y(s, d), [0.5, 0.9], [100.0]).withColumn("at", F.round("at", 6)))
 _SPLITS = """, y AS (SELECT sample, acct_high AS label FROM samples), n AS (SELECT round(min(c) * 2 / 3.0) AS n_train FROM (SELECT count(*) AS c FROM y GROUP BY label) t),
  r AS (SELECT cast(run AS bigint) AS run, sample, label, row_number() OVER (PARTITION BY run, label ORDER BY md5(sample || '|' || run || '|1'), sample) AS rn FROM y, range(1, {runs} + 1) AS t(run)),
  splits AS (SELECT run, sample, label, CASE WHEN rn <= n_train THEN 'train' ELSE 'test' END AS role FROM r, n)
 """
 register("mc_splits", "N9", with_("samples") + _SPLITS.format(runs=10) + "SELECT * FROM splits")(lambda s, d: BI.mc_splits(_y(s, d)))
-_TR = with_("a", "samples") + _SPLITS.format(runs=5) + """, tr AS (SELECT run, layer, feature, value, label FROM a JOIN splits USING (sample) WHERE role = 'train')
+_TR = with_("a", "samples") + _SPLITS.format(runs=10) + """, tr AS (SELECT run, layer, feature, value, label FROM a JOIN splits USING (sample) WHERE role = 'train')
 """
 _RANK = {
     "auroc": _TR + """, k AS (SELECT *, rank() OVER (PARTITION BY run, layer, feature ORDER BY value) + (count(*) OVER (PARTITION BY run, layer, feature, value) - 1) / 2.0 AS rk FROM tr),
@@ -368,8 +381,21 @@ SELECT run, layer, feature, -log10(least(1.0, sum(pr) FILTER (pr <= own * (1 + 1
     "f": _TR + """, s AS (SELECT run, layer, feature, label, count(*) AS n, avg(value) AS mn, var_samp(value) AS v FROM tr GROUP BY ALL)
 SELECT run, layer, feature, (sum(n*mn*mn) - sum(n*mn)*sum(n*mn)/sum(n)) / (count(*) - 1) / (sum((n-1)*v) / (sum(n) - count(*))) AS score FROM s GROUP BY ALL""",
 }
-for _how in ("auroc", "fisher", "f"):
-    register(f"rank_features_{_how}", "N10", _RANK[_how], "score")(lambda s, d, h=_how: BI.rank_features(X.layer_a(s, d), BI.mc_splits(_y(s, d), runs=5), h))
+_RANK["pls"] = with_("a", "samples") + _SPLITS.format(runs=10) + """, tr AS (SELECT run, layer, feature, sample, value, cast(label = 'low' AS int) AS one FROM a JOIN splits USING (sample) WHERE role = 'train'),
+ x AS (SELECT run, layer, feature, sample, value - avg(value) OVER (PARTITION BY run, layer, feature) AS x, one - avg(one) OVER (PARTITION BY run) AS y FROM tr),
+ w1 AS (SELECT run, layer, feature, sum(x*y) AS w FROM x GROUP BY ALL),
+ t1 AS (SELECT run, sample, sum(x*w) AS t, any_value(y) AS y FROM x JOIN w1 USING (run, layer, feature) GROUP BY ALL),
+ c1 AS (SELECT run, sum(t*t) AS tt, sum(t*y) AS ty FROM t1 GROUP BY ALL),
+ y2 AS (SELECT run, sample, t, tt, y - t*ty/tt AS y2 FROM t1 JOIN c1 USING (run)),
+ w2 AS (SELECT run, layer, feature, sum(x*y2) AS w FROM x JOIN y2 USING (run, sample) GROUP BY ALL),
+ r2 AS (SELECT run, sample, sum(x*w) AS r FROM x JOIN w2 USING (run, layer, feature) GROUP BY ALL),
+ t2 AS (SELECT run, sample, y2, r - t*(sum(r*t) OVER (PARTITION BY run))/tt AS t FROM r2 JOIN y2 USING (run, sample)),
+ c2 AS (SELECT run, sum(t*y2)*sum(t*y2)/sum(t*t) AS s2 FROM t2 GROUP BY ALL),
+ u AS (SELECT run, layer, feature, w1.w*w1.w/sum(w1.w*w1.w) OVER r AS a, w2.w*w2.w/sum(w2.w*w2.w) OVER r AS b, count(*) OVER r AS p
+   FROM w1 JOIN w2 USING (run, layer, feature) WINDOW r AS (PARTITION BY run))
+SELECT run, layer, feature, (sqrt(p*a) + sqrt(p*(a*ty*ty/tt + b*s2)/(ty*ty/tt + s2)))/2 AS score FROM u JOIN c1 USING (run) JOIN c2 USING (run)"""
+for _how in ("auroc", "fisher", "f", "pls", "forest", "svm"):
+    register(f"rank_features_{_how}", "N10", _RANK.get(_how), "score")(lambda s, d, h=_how: BI.rank_features(X.layer_a(s, d), BI.mc_splits(_y(s, d)), h))
 
 
 def _wide_x(s, d):
@@ -388,6 +414,8 @@ for _how in ("rf", "elastic", "logistic", "svm"):
     register(f"classify_{_how}", "N11")(lambda s, d, h=_how: _classified(s, d, h))
 _cv = lambda s, d: BI.mccv(X.log_a(s, d), _y(s, d))
 register("mccv", "N12")(lambda s, d: BI.mccv_performance(_cv(s, d)[0])[1])
+for _how in ("elastic", "svm", "forest"):
+    register(f"mccv_{_how}", "N12")(lambda s, d, h=_how: BI.mccv_performance(BI.mccv(X.log_a(s, d), _y(s, d), how=h)[0])[1])
 register("mccv_features", "N13")(lambda s, d: BI.mccv_test(X.log_a(s, d), _y(s, d), X.log_a(s, d).select("layer", "feature").distinct(), how="logistic", hold_out=["1", "2", "3"])[1])
 register("average_roc", "N14")(lambda s, d: BI.average_roc(_cv(s, d)[0].where("size = 5")))
 register("importance", "N15")(lambda s, d: BI.importance(_cv(s, d)[1].where("size = 10"), 5))
@@ -399,6 +427,8 @@ register("confusion", "N16", with_("a", "samples") + """, p AS (SELECT sample, C
     lambda s, d: BI.confusion(X.layer_a(s, d).join(_y(s, d), "sample").select("sample", (F.col("label") == "high").cast("int").alias("label"), (F.col("value") > 1250000).cast("double").alias("prob")))[1])
 register("permutation_test", "N17")(lambda s, d: BI.permutation_test(X.log_a(s, d), _y(s, d), 5))
 register("logistic_report", "N18")(lambda s, d: BI.logistic_report(X.log_a(s, d), _y(s, d), [("revenue", "Brand#1"), ("revenue", "Brand#2")])[0])
+register("logistic_performance", "N18")(lambda s, d: BI.logistic_report(X.log_a(s, d), _y(s, d), [("revenue", "Brand#1"), ("revenue", "Brand#2")])[2])
+register("logistic_predictions", "N18")(lambda s, d: BI.logistic_report(X.log_a(s, d), _y(s, d), [("revenue", "Brand#1"), ("revenue", "Brand#2")])[1])
 
 # ---- O: models -----------------------------------------------------------------------------
 
