@@ -374,7 +374,7 @@ def classify(train: DataFrame, test: DataFrame, how: str, seed: int = 1) -> Data
     """
     if how == "elastic":
         d = checkpointed(logistic.folded(train.select("sample", F.col("label").cast("double").alias("label"), "x"), 5, seed))
-        beta, _, _ = logistic.elastic_net(logistic.over_frame(d), sweeps=3000)  # a pass over the samples costs more than sweeps
+        beta, _, _ = logistic.elastic_net(logistic.over_frame(d), sweeps=300)  # a pass over the samples costs more than sweeps
         return test.select("sample", F.col("label").cast("double").alias("label"), logistic.probability(F.col("x"), beta.tolist()).alias("prob"))
     tr = train.select("sample", F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
     te = test.select("sample", F.col("label").cast("double").alias("label"), array_to_vector("x").alias("features"))
@@ -414,7 +414,8 @@ def mccv(m: DataFrame, y: DataFrame, sizes: list[int] = [2, 3, 5, 10, 20], runs:
                           "feature": [c.split("\x01")[1] for c in x.columns], "value": imp})
         return pd.concat([a, b])
 
-    out = checkpointed(d.groupBy("run", "size").applyInPandas(
+    # the groups are few and their fits dear: a task each, which the size of the data alone would not give
+    out = checkpointed(d.repartition(min(len(sizes) * runs, 1000), "run", "size").groupBy("run", "size").applyInPandas(
         fit, "run int, size int, sample string, label int, prob double, layer string, feature string, value double"))
     return out.where("label >= 0").select("run", "size", "sample", "label", "prob"), out.where("label < 0").select("run", "size", "layer", "feature", "value")
 

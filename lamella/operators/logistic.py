@@ -92,11 +92,12 @@ def over_arrays(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> Sums:
     return lambda fn, *args: fn(x, y, fold, *args)
 
 
-def path(sums: Sums, folds: int, alpha: float = 0.5, penalties: int = 100, least: float = 1e-4, rounds: int = 100, tol: float = 1e-6,
+def path(sums: Sums, folds: int, alpha: float = 0.5, penalties: int = 100, least: float | None = None, rounds: int = 100, tol: float = 1e-6,
          lambdas: np.ndarray | None = None, sweeps: int = 60) -> Fits:
     """Fits at every penalty; ``lambdas`` [0] gives plain maximum likelihood.
 
-    The path goes from the least penalty without any feature in the model down to ``least`` times it.  Features are put on unit
+    The path goes from the least penalty without any feature in the model down to ``least`` times it (default 0.0001, or 0.01 where
+    there are fewer than ten samples for each feature, as a weaker penalty would let separable classes diverge).  Features are put on unit
     variance within each fit for the penalty only.  ``converged`` tells which fits moved less than ``tol`` in their last step.
     """
     m = sums(batch_moments, folds + 1)["m"]
@@ -109,6 +110,7 @@ def path(sums: Sums, folds: int, alpha: float = 0.5, penalties: int = 100, least
     share = m[:, 0, -1] / n
     if lambdas is None:
         top = np.abs((m[0, 1:-1, -1] - mean[0] * m[0, 0, -1]) / sd[0] / n[0] * ~still[0]).max(initial=0.0) / max(alpha, 1e-3)
+        least = least or (1e-4 if n[0] >= 10 * p else 1e-2)
         lambdas = top * least ** (np.arange(penalties) / max(1, penalties - 1)) if top else np.zeros(1)
     if (folds + 1) * len(lambdas) * (p + 1) ** 2 > MOST:
         raise ValueError("too many features for sums over all fits and penalties: select features first")
@@ -129,7 +131,7 @@ def path(sums: Sums, folds: int, alpha: float = 0.5, penalties: int = 100, least
         new = b.copy()
         # a step may be too long far from the optimum
         new[go] += np.clip(_descent(b[go], grad[go], gram[go], l1[go], l2[go], sweeps) - b[go], -10, 10)
-        done |= np.abs(new - b).max(-1) < tol
+        done |= np.abs(new - b).max(-1) < tol * (1 + np.abs(b).max(-1))
         b = new
         if done.all():
             break
