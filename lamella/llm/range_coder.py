@@ -16,7 +16,9 @@ import numpy as np
 
 U = np.uint64
 TOTAL_BITS, ORDER0_BITS, SLOT_BITS, CONF_BITS = 30, 18, 9, 3
-BATCH = 64
+BATCH = 128
+#: Order-0 tables, at most; their costs share one number, a quarter of its bits each.
+TABLES = 4
 WORD = U(32)
 LEAST = U(1 << 32)       # a range below it puts out 32 bits
 CONFIDENCE = 1 << CONF_BITS
@@ -39,7 +41,10 @@ class Model:
         mask = (1 << SLOT_BITS) - 1
         # of no id: 0
         self.last, self.pair, self.before = np.r_[mixed & mask, 0], np.r_[mixed * 5, 0], np.r_[mixed * 30011 >> 4, 0]
-        self.bits = np.round(256 * (ORDER0_BITS - np.log2(freq))).astype(np.int32)
+        # eighths of a bit that each table takes for an id: a batch adds up to less than 2^16
+        bits = np.round(8 * (ORDER0_BITS - np.log2(freq))).astype(np.int64)
+        self.bits = sum(b << 16 * k for k, b in enumerate(bits))
+        self.tables, self.different = freq.shape
         self.cost = np.zeros((len(freq), lanes), np.int64)
         self.row = np.zeros(lanes, np.int64)  # where the lane's table begins in the flat tables
         self.recent = np.full((2, lanes), n, np.int32)
@@ -82,10 +87,11 @@ class Model:
         self.right += (60000 * hits + 600 * (n - hits) - self.right * n) // (n + 16)
         self.right[::CONFIDENCE] = 0
         self.weigh()
-        if len(self.bits) > 1:
-            for k, b in enumerate(self.bits):
-                self.cost[k] = (self.cost[k] >> 1) + b.take(ids).sum(0)
-            self.row = self.cost.argmin(0) * self.bits.shape[1]
+        if self.tables > 1:
+            own = self.bits.take(ids).sum(0)
+            for k in range(self.tables):
+                self.cost[k] = (self.cost[k] >> 1) + (own >> 16 * k & 0xFFFF)
+            self.row = self.cost.argmin(0) * self.different
 
 
 def order0(counts: np.ndarray) -> np.ndarray:
@@ -98,7 +104,7 @@ def order0(counts: np.ndarray) -> np.ndarray:
     return f
 
 
-def order0_tables(symbols: np.ndarray, sizes: np.ndarray, different: int, tables: int = 4, rounds: int = 1, least: int = 4096) -> np.ndarray:
+def order0_tables(symbols: np.ndarray, sizes: np.ndarray, different: int, tables: int = TABLES, rounds: int = 1, least: int = 4096) -> np.ndarray:
     """Frequencies, a row for each table, for parts of a sequence (``sizes`` ids each) that differ in kind.
 
     Starts from all ids; the part that is told worst founds the next table; then parts go to the table that tells them best,

@@ -18,7 +18,7 @@ WHOLE = rf"{_WS}[ \n]{_WS}|{_WS}[ \n]\z|\x00"
 #: A blank, then something without white space at its ends. Odd marks count as white space, as do all that any library takes for it.
 PLAIN = rf"^ [^{_WS[1:-1]}](?s:.*[^{_WS[1:-1]}])?$"
 #: Different pieces a worker remembers, about; beyond it begins anew. Bounds memory, not results.
-CACHE = 500_000
+CACHE = 800_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
