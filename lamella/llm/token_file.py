@@ -27,6 +27,8 @@ from lamella.llm.tokens import chunks, encoder, tokenizer_path
 MAGIC = b"LTS2"
 BLOCK = 4096
 SEGMENT = 8_000_000
+#: Different pieces a worker remembers while it writes.
+PIECES = 800_000
 #: Bytes of text that a task writes, about, and segments in a file of it: larger tasks write several files.
 PER_TASK, PER_FILE = 20 << 20, 8
 
@@ -94,7 +96,7 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
     d = d.repartitionByRange(n_parts(size, per_task), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
     def run(batches):
-        enc = encoder(path)
+        enc = encoder(path, PIECES)
         names, sizes, parts, n = [], [], [], 0
 
         def out():

@@ -17,8 +17,8 @@ _WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}\x{200b}\x{feff}\x{180e}]"
 WHOLE = rf"{_WS}[ \n]{_WS}|{_WS}[ \n]\z|\x00"
 #: A blank, then something without white space at its ends. Odd marks count as white space, as do all that any library takes for it.
 PLAIN = rf"^ [^{_WS[1:-1]}](?s:.*[^{_WS[1:-1]}])?$"
-#: Different pieces a worker remembers, about; beyond it begins anew. Bounds memory, not results.
-CACHE = 800_000
+#: Different pieces a worker remembers, about (some 200 bytes each); beyond it begins anew. Bounds memory, not results.
+CACHE = 250_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -26,12 +26,13 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> "Encoder":
+def encoder(path: str, cache: int = CACHE) -> "Encoder":
     """The worker's encoder; kept on the library's module, as this package's functions travel by value with each task."""
     import tokenizers
     held = tokenizers.__dict__.setdefault("_lamella_encoders", {})
     if path not in held:
         held[path] = Encoder(path)
+    held[path].cache = cache
     return held[path]
 
 
