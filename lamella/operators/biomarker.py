@@ -508,7 +508,7 @@ def equation(names: list[str], coef: list[float]) -> str:
     return f"{coef[0]:.3f}" + "".join(f" {'-' if c < 0 else '+'} {abs(c):.3f} {n}" for n, c in zip(names, coef[1:]))
 
 
-def logistic_report(m: DataFrame, y: DataFrame, features: list[tuple[str, str]], folds: int = 10, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+def logistic_model(m: DataFrame, y: DataFrame, features: list[tuple[str, str]], folds: int = 10, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame, str]:
     """A logistic model of a few features for two classes, with stratified cross-validation.
 
     Coefficients (SE, z, p, odds ratio, whether the fit converged); probabilities of the samples by the fits that left their fold
@@ -540,3 +540,8 @@ def logistic_report(m: DataFrame, y: DataFrame, features: list[tuple[str, str]],
           .agg((F.count_if(hit & (F.col("label") == 1)) / F.nullif(F.count_if(F.col("label") == 1), F.lit(0))).alias("sens"),
                (F.count_if(~hit & (F.col("label") == 0)) / F.nullif(F.count_if(F.col("label") == 0), F.lit(0))).alias("spec")))
     return table, cv.select("sample", "label", "prob"), _pred_auc(every, ["part"]).join(at, "part"), equation(names, coef)
+
+
+def logistic_report(m: DataFrame, y: DataFrame, features: list[tuple[str, str]], folds: int = 10, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The coefficients and the cross-validated predictions of ``logistic_model``."""
+    return logistic_model(m, y, features, folds, seed)[:2]

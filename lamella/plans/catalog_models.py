@@ -427,7 +427,7 @@ register("confusion", "N16", with_("a", "samples") + """, p AS (SELECT sample, C
     lambda s, d: BI.confusion(X.layer_a(s, d).join(_y(s, d), "sample").select("sample", (F.col("label") == "high").cast("int").alias("label"), (F.col("value") > 1250000).cast("double").alias("prob")))[1])
 register("permutation_test", "N17")(lambda s, d: BI.permutation_test(X.log_a(s, d), _y(s, d), 5))
 register("logistic_report", "N18")(lambda s, d: BI.logistic_report(X.log_a(s, d), _y(s, d), [("revenue", "Brand#1"), ("revenue", "Brand#2")])[0])
-register("logistic_performance", "N18")(lambda s, d: BI.logistic_report(X.log_a(s, d), _y(s, d), [("revenue", "Brand#1"), ("revenue", "Brand#2")])[2])
+register("logistic_performance", "N18")(lambda s, d: BI.logistic_model(X.log_a(s, d), _y(s, d), [("revenue", "Brand#1"), ("revenue", "Brand#2")])[2])
 register("logistic_predictions", "N18")(lambda s, d: BI.logistic_report(X.log_a(s, d), _y(s, d), [("revenue", "Brand#1"), ("revenue", "Brand#2")])[1])
 
 # ---- O: models -----------------------------------------------------------------------------

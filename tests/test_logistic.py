@@ -76,7 +76,7 @@ def test_report_leaves_folds_out(spark):
     cells = [("a", f"f{j}", f"s{i}", float(x[i, j])) for i in range(120) for j in range(2) if (i, j) != (7, 1)]
     m = spark.createDataFrame(cells, "layer string, feature string, sample string, value double").repartition(3)
     labels = spark.createDataFrame([(f"s{i}", "one" if v else "none") for i, v in enumerate(y)], "sample string, label string")
-    table, cv, perf, text = B.logistic_report(m, labels, [("a", "f0"), ("a", "f1")])
+    table, cv, perf, text = B.logistic_model(m, labels, [("a", "f0"), ("a", "f1")])
     own = [i for i in range(120) if i != 7]
     a = np.column_stack([np.ones(119), x[own]])
     lab = y[own]
