@@ -115,7 +115,7 @@ def test_cuts(n, size, want):
 @pytest.mark.parametrize("lengths", [[1] * 900, [60] * 200 + [40] * 200, [51] * 300, [100] * 20, list(range(1, 101)) * 8, [70] * 100 + [30] * 50 + [29] * 60])
 def test_pack(spark, lengths):
     d = spark.createDataFrame(list(enumerate(lengths)), "id long, length long").withColumn("_x", F.lit(1)).repartition(3)
-    rows = P.pack(d, 100, per_group=128, fan_in=2, carry=64).collect()
+    rows = P.pack(d, 100, per_group=128, fan_in=2).collect()
     assert sorted(r.id for r in rows) == list(range(len(lengths)))
     bins = defaultdict(list)
     for r in rows:
@@ -131,6 +131,53 @@ def test_pack(spark, lengths):
     assert len(bins) <= 1.06 * least + 2
 
 
+@pytest.mark.parametrize("lengths", [[1100] * 5000 + [10] * 40, [700] * 3000 + [600] * 3000, [1500, 300] * 2000 + [2000] * 500, "random", "small"])
+def test_what_a_task_emits_costs_no_sequence(lengths):
+    """The tree with its quotas gives as many sequences as one that hands up every bin that is not full."""
+    rng = np.random.default_rng(5)
+    lengths = {"random": rng.integers(1, 2049, 8000), "small": rng.integers(1, 40, 30_000)}[lengths] if isinstance(lengths, str) else np.array(lengths)
+    groups = np.array_split(rng.permutation(lengths), 32)
+
+    def sequences(groups, free):
+        done = 0
+        while True:
+            rounds, n = 0, len(groups)
+            while n > 1:
+                n, rounds = -(-n // 2), rounds + 1
+            kept = []
+            for g in groups:
+                bins, _ = P.best_fit(g, 2048)
+                level = np.bincount(bins, weights=g).astype(np.int64)
+                up = P._goes_up(level, 2048, 2041, 10**9 if free else 2 * rounds) & (rounds > 0)
+                done += int((~up).sum())
+                kept.append(level[up])
+            if not rounds:
+                return done
+            groups = [np.concatenate(kept[i:i + 2]) for i in range(0, len(kept), 2)]
+
+    assert sequences(groups, False) == sequences(groups, True)
+
+
+def test_pack_against_brute_force(spark):
+    """One group takes the fewest sequences that trying every way gives; of a tree, no two sequences fit together."""
+    def fewest(items, free, size=10):
+        if not items:
+            return 0
+        n, rest = items[0], items[1:]
+        ways = [fewest(rest, free[:i] + (f - n,) + free[i + 1:]) for i, f in enumerate(free) if f >= n]
+        return min([*ways, 1 + fewest(rest, (*free, size - n))])
+
+    def levels(lengths, size, per_group):
+        d = spark.createDataFrame(list(enumerate(lengths)), "id long, length long")
+        return sorted(r.n for r in P.pack(d, size, per_group=per_group, fan_in=2, slack=0).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect())
+
+    for lengths in ([6, 4, 5, 5, 3, 7], [9, 1, 8, 2, 10], [3, 3, 3, 7, 7, 7, 1], [6, 6, 4]):
+        assert len(levels(lengths, 10, 8)) == fewest(sorted(lengths, reverse=True), ())
+    for lengths in ([6, 4, 5, 5, 3, 7], [55] * 400 + [3] * 90, [random.Random(8).randrange(1, 101) for _ in range(500)]):
+        got = levels(lengths, max(10, max(lengths)), 32 if len(lengths) > 9 else 1)
+        assert sum(got) == sum(lengths) and (len(got) < 2 or got[0] + got[1] > max(10, max(lengths)))
+
+
 def test_pack_of_odd_lengths(spark):
     d = spark.createDataFrame([(1, 5)], "id long, length long")
     assert P.pack(d.where("false"), 10).collect() == []
