@@ -21,7 +21,6 @@ RULES = {
     "card": r"[0-9](?:[\x20-]?[0-9]){11,}+",  # shorter runs fail anyway
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 IP = r"^(0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(\.|$)){4}$"
 #: A token of 5 characters or more with a digit or an at sign; what an identifier may look like.
 TOKEN = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S{5,}+"
@@ -35,7 +34,8 @@ LOOKS = {
     "email": r"(?i)^[^\s@]+(@| ?(\[at\]|\(at\)) ?)[^\s@]+$", "ip": r"^[0-9]+([.:\[\]dot()]+[0-9]+){3}$|^[0-9a-fA-F]*(:[0-9a-fA-F]*){3,7}$",
     "card": r"^[0-9xX*]([ .-]?[0-9xX*]){11,18}$", "phone": r"^\+?[0-9(][0-9().\-/]{6,18}[0-9]$|^(?=[^ ]+ )\+?(\D{0,2}[0-9]){7,15}$",
 }
-SPAN = "array<struct<s:int,e:int,m:string>>"
+#: Texts are cut into blocks of 2 to this many code points.
+BLOCK_BITS = 10
 
 
 @dataclass(frozen=True)
@@ -46,20 +46,23 @@ class Trust:
     confidence: float = 0.75
 
 
-def spans(text: Column, rule: str, when: Column) -> Column:
-    """Start, end (code points, exclusive) and text of each match, where ``when`` holds; else none."""
-    found = F.when(when, F.regexp_extract_all(text, F.lit(rule), 0))
-    # the texts between matches give the places
-    gaps = F.when(F.size(found) > 0, F.split(text, rule, -1))
-    start = F.struct(F.lit(0).alias("p"), F.array().cast(SPAN).alias("o"))
+def running(a: str, op) -> Column:
+    """Running ``op`` (associative, of two columns) over the array column ``a``: doubling steps, so n log n for n elements."""
+    steps = F.filter(F.array(*[F.lit(1 << b) for b in range(31)]), lambda k: k < F.size(a))
+    return F.aggregate(steps, F.col(a), lambda acc, k: F.transform(acc, lambda x, i: F.when(i >= k, op(F.get(acc, i - k), x)).otherwise(x)))
 
-    def step(acc, x):
-        s = acc["p"] + F.length(x["0"])
-        e = s + F.length(x["1"])
-        return F.struct(e.alias("p"), F.concat(acc["o"], F.array(F.struct(s.alias("s"), e.alias("e"), x["1"].alias("m")))).alias("o"))
 
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("0"), m.alias("1")))
-    return F.coalesce(F.aggregate(pairs, start, step, lambda a: a["o"]), F.array().cast(SPAN))
+def with_spans(d: DataFrame, rules: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Adds for each name: start, end (code points, exclusive) and text of each match of its rule in ``text``, where its condition
+    holds; else none.  Linear but for a logarithm in the matches, however many one text has."""
+    col = lambda kind, k: f"_{kind}_{k}"
+    d = d.withColumns({col("found", k): F.coalesce(F.when(when, F.regexp_extract_all("text", F.lit(rule), 0)), F.array().cast("array<string>")) for k, (rule, when) in rules.items()})
+    # the texts between matches give the places
+    d = d.withColumns({col("gaps", k): F.when(F.size(col("found", k)) > 0, F.split("text", rule, -1)).otherwise(F.array().cast("array<string>")) for k, (rule, _) in rules.items()})
+    d = d.withColumns({col("end", k): F.zip_with(F.slice(col("gaps", k), 1, F.size(col("found", k))), col("found", k), lambda g, m: F.length(g) + F.length(m)) for k in rules})
+    d = d.withColumns({col("end", k): running(col("end", k), lambda x, y: x + y) for k in rules})
+    d = d.withColumns({k: F.zip_with(col("found", k), col("end", k), lambda m, e: F.struct((e - F.length(m)).alias("s"), e.alias("e"), m.alias("m"))) for k in rules})
+    return d.drop(*[col(kind, k) for kind in ("found", "gaps", "end") for k in rules])
 
 
 def digits(m: Column) -> Column:
@@ -104,36 +107,53 @@ def base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     d = docs.select(docs[f"`{id_col}`"].alias("id"), F.coalesce(docs[f"`{text_col}`"], F.lit("")).alias("text"))
     d = d.withColumn("h", F.xxhash64("text"))
-    digit = F.col("text").rlike("[0-9]")
-    for k in KINDS:
-        need = F.instr("text", NEEDS[k]) > 0 if NEEDS[k] else F.lit(True)
-        d = d.withColumn(k, spans(F.col("text"), RULES[k], need if k == "email" else need & digit))
-    for k in KINDS:
-        d = d.withColumn(k, F.filter(k, _fits(k)))
-    d = d.withColumn("tokens", spans(F.col("text"), TOKEN, digit | (F.instr("text", "@") > 0)))
+    digit, at = F.col("text").rlike("[0-9]"), F.instr("text", "@") > 0
+    spelled = F.instr(F.lower("text"), "at]") + F.instr(F.lower("text"), "at)") > 0
+    need = {"email": at, "ip": digit & (F.instr("text", ".") > 0), "card": digit, "phone": digit & (F.instr("text", "+") > 0)}
+    d = with_spans(d, {**{k: (RULES[k], need[k]) for k in KINDS}, "tokens": (TOKEN, digit | at), "wide": (GROUPS, digit), "spelled": (SPELLED, spelled)})
+    d = d.withColumns({k: F.filter(k, _fits(k)) for k in KINDS})
     # without brackets and quotes around and stops behind
     lead, tail = (lambda m: F.length(F.regexp_extract(m, r"^[\"'(\[<{]*", 0))), (lambda m: F.length(F.regexp_extract(m, r"[\"')\]>}.,;:!?]*$", 0)))
-    d = d.withColumn("tokens", F.transform("tokens", lambda x: F.struct(
-        (x["s"] + lead(x["m"])).alias("s"), (x["e"] - tail(x["m"])).alias("e"), F.regexp_replace(F.regexp_replace(x["m"], r"^[\"'(\[<{]+", ""), r"[\"')\]>}.,;:!?]+$", "").alias("m"))))
-    every = F.concat(*[F.col(k) for k in KINDS])
-    free = lambda t: (t["e"] - t["s"] >= 5) & ~F.exists(every, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"]))
-    at = F.instr(F.lower("text"), "at]") + F.instr(F.lower("text"), "at)") > 0
-    groups = F.filter(spans(F.col("text"), GROUPS, digit), lambda t: t["m"].contains(" ") & t["m"].rlike("(?:[^0-9]*+[0-9]){5}"))
-    d = d.withColumn("wide", F.filter(F.concat(groups, spans(F.col("text"), SPELLED, at)), free)).withColumn("tokens", F.filter("tokens", free))
-    over = lambda t: F.get(F.filter("wide", lambda w: (w["s"] < t["e"]) & (t["s"] < w["e"])), F.lit(0))["s"]
-    struct = lambda t, run, wide: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["m"].alias("m"), run.alias("run"), F.lit(wide).alias("wide"))
-    return d.withColumn("tokens", F.concat(F.transform("tokens", lambda t: struct(t, F.coalesce(over(t), t["s"]), False)),
-                                           F.transform("wide", lambda t: struct(t, t["s"], True)))).drop("wide")
-
-
-def contexts(text: Column, s: Column, e: Column) -> Column:
+    bare = F.transform("tokens", lambda x: F.struct(
+        (x["s"] + lead(x["m"])).alias("s"), (x["e"] - tail(x["m"])).alias("e"), F.regexp_replace(F.regexp_replace(x["m"], r"^[\"'(\[<{]+", ""), r"[\"')\]>}.,;:!?]+$", "").alias("m")))
+    groups = F.filter("wide", lambda t: t["m"].contains(" ") & t["m"].rlike("(?:[^0-9]*+[0-9]){5}"))
+    # all by start; of one start, base spans first, then runs, then tokens
+    ordered = lambda a, rank: F.transform(a, lambda x: F.struct(x["s"].alias("s"), F.lit(rank).alias("rank"), x["e"].alias("e"), F.when(F.lit(rank > 0), x["m"]).alias("m")))
+    d = d.withColumn("_all", F.sort_array(F.concat(*[ordered(k, 0) for k in KINDS], ordered(F.concat(groups, "spelled"), 1), ordered(bare, 2))))
+    d = beside(d.drop("wide", "spelled"), "_all", 0)
+    d = d.withColumn("_all", F.filter("_all", lambda x: (x["rank"] > 0) & (x["e"] - x["s"] >= 5) & (x["before"] <= x["s"]) & (x["after"] >= x["e"])))
+    d = beside(d, "_all", 1)
+    run = lambda x: F.when(x["rank"] == 1, x["s"]).when(x["before"] > x["s"], x["start"]).when(x["after"] < x["e"], x["after"]).otherwise(x["s"])
+    return d.withColumn("tokens", F.transform("_all", lambda x: F.struct(
+        x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), run(x).alias("run"), (x["rank"] == 1).alias("wide")))).drop("_all")
+
+
+def beside(d: DataFrame, a: str, rank: int) -> DataFrame:
+    """For each of the spans ``a``, sorted by start, among those of ``rank``: the largest end of one that starts no later (``before``,
+    with its start), and the next start (``after``)."""
+    d = d.withColumns({"_before": F.transform(a, lambda x: F.when(x["rank"] == rank, x["e"].cast("long") * (1 << 32) + x["s"]).otherwise(F.lit(0).cast("long"))),
+                       "_after": F.reverse(F.transform(a, lambda x: F.when(x["rank"] == rank, x["s"]).otherwise(F.lit((1 << 31) - 1))))})
+    d = d.withColumns({"_before": running("_before", F.greatest), "_after": F.reverse(running("_after", F.least))})
+    more = F.zip_with("_before", "_after", lambda x, y: F.struct(F.shiftright(x, 32).cast("int").alias("before"), (x % (1 << 32)).cast("int").alias("start"), y.alias("after")))
+    return d.withColumn(a, F.zip_with(a, more, lambda x, y: F.struct(
+        *[x[c].alias(c) for c in ("s", "rank", "e", "m")], *[y[c].alias(c) for c in ("before", "start", "after")]))).drop("_before", "_after")
+
+
+def window(blocks: str, start: Column, n: Column) -> Column:
+    """``n`` (at most a block's) code points of a text from ``start`` on, without a walk through the text: of its ``blocks``."""
+    at = F.shiftright(start, BLOCK_BITS)
+    near = F.concat(F.coalesce(F.get(blocks, at), F.lit("")), F.coalesce(F.get(blocks, at + 1), F.lit("")))
+    return F.substring(near, start - F.shiftleft(at, BLOCK_BITS) + 1, n)
+
+
+def contexts(blocks: str, s: Column, e: Column) -> Column:
     """The patterns of an entity from ``s`` to ``e``, lower case: the last word before it and the last two; the next word and
     the next two, which begin with a blank."""
-    left = F.substring(text, F.greatest(s - 79, F.lit(1)), F.least(s, F.lit(80)))
+    left = window(blocks, F.greatest(s - 80, F.lit(0)), F.least(s, F.lit(80)))
     word = r"(\S{1,40})\s+$"
     one, two = F.lower(F.regexp_extract(left, word, 1)), F.lower(F.regexp_extract(left, r"(?:^|\s)(\S{1,40}\s+\S{1,40})\s+$", 1))
     # long enough that no word is cut at the window's end
-    right = F.substring(text, e + 1, F.lit(120))
+    right = window(blocks, e, F.lit(120))
     behind = r"^[\"')\]>}.,;:!?]{0,4}(\s{1,8}\S{1,40})(?!\S)", r"^[\"')\]>}.,;:!?]{0,4}(\s{1,8}\S{1,40}\s{1,8}\S{1,40})(?!\S)"
     after = [F.lower(F.regexp_extract(right, r, 1)) for r in behind]
     return F.filter(F.array(one, *[F.regexp_replace(p, r"\s+", " ") for p in (two, *after)]), lambda p: p != "")
@@ -168,12 +188,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     Repeated rows get the same spans.
     """
     d = base(docs, id_col, text_col)
-    for k in KINDS:
-        # contexts beside the spans, so that the text itself need not be kept
-        d = d.withColumn(k, F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), contexts(F.col("text"), x["s"], x["e"]).alias("c"))))
-    d = d.withColumn("tokens", F.transform("tokens", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), contexts(F.col("text"), x["s"], x["e"]).alias("c"),
-                                                                        x["run"].alias("run"), x["wide"].alias("wide"))))
-    d = written(d.drop("text"))
+    size = 1 << BLOCK_BITS
+    d = d.withColumn("_blocks", F.when(F.length("text") > size, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), 0)).otherwise(F.array("text")))
+    # contexts beside the spans, so that the text itself need not be kept
+    with_context = lambda x: [x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"), contexts("_blocks", x["s"], x["e"]).alias("c")]
+    d = d.withColumns({**{k: F.transform(k, lambda x: F.struct(*with_context(x))) for k in KINDS},
+                       "tokens": F.transform("tokens", lambda x: F.struct(*with_context(x), x["run"].alias("run"), x["wide"].alias("wide")))})
+    d = written(d.drop("text", "_blocks"))
     seen = [d.select(F.lit(k).alias("kind"), F.explode(k).alias("x")) for k in KINDS]
     tokens = d.select("id", "h", F.explode("tokens").alias("x"))
     occ = tokens.select(F.lit(None).cast("string").alias("kind"), F.struct("x.s", "x.e", "x.m", "x.c").alias("x"))
@@ -185,11 +206,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     place = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)])
     # of a run and the tokens in it: the tokens if one of them is a whole number by itself, else the run
     whole = ~F.col("wide") & (F.length(digits(F.col("token"))) >= 9)
-    pick = lambda a: F.filter(a, lambda x: F.when(F.exists(a, lambda y: y["whole"]), ~x["wide"]).when(F.exists(a, lambda y: y["wide"]), x["wide"]).otherwise(True))
+    pick = F.filter("all", lambda x: F.when(F.col("any_whole"), ~x["wide"]).when(F.col("any_wide"), x["wide"]).otherwise(True))
     new = (tokens.select("id", "h", "x.s", "x.e", "x.run", "x.wide", F.col("x.m").alias("token"), F.explode("x.c").alias("pattern")).join(sure, "pattern").where(looks)
            .groupBy("id", "h", "run", "s", "e").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"), F.max("wide").alias("wide"), F.max(whole).alias("whole"))
-           .groupBy("id", "h", "run").agg(F.collect_list(F.struct("s", place.alias("k"), "e", "wide", "whole")).alias("all"))
-           .select("id", "h", F.explode(pick(F.col("all"))).alias("x"))
+           .groupBy("id", "h", "run").agg(F.collect_list(F.struct("s", place.alias("k"), "e", "wide")).alias("all"), F.max("whole").alias("any_whole"), F.max("wide").alias("any_wide"))
+           .select("id", "h", F.explode(pick).alias("x"))
            .groupBy("id", "h").agg(F.collect_set(F.struct("x.s", "x.k", "x.e")).alias("more")))
     new = written(new).withColumnRenamed("id", "_id")
     own = F.concat(*[F.transform(k, _as_kind(i)) for i, k in enumerate(KINDS)])
