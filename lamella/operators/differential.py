@@ -294,6 +294,12 @@ def pairwise_lm(m: DataFrame, meta: DataFrame, var: str, **kw) -> DataFrame:
     return lm_test(m, meta, var, contrasts={"kind": "pairs"}, **kw)
 
 
+def overall_f(m: DataFrame, meta: DataFrame, var: str, **kw) -> DataFrame:
+    """One row per feature: F over all levels of ``var``, its p and FDR within the layer."""
+    r = pairwise_lm(m, meta, var, **kw).groupBy(*FEATURE).agg(*[F.first(c).alias(c) for c in ("f_stat", "f_df", "df_total", "f_pval")])
+    return bh(r, "f_pval", ["layer"]).withColumnRenamed("padj", "f_padj")
+
+
 def membership(m: DataFrame, meta: DataFrame, var: str, fdr: float = 0.05) -> DataFrame:
     """Significant features per pairwise comparison, with the comparisons each belongs to."""
     r = pairwise_lm(m, meta, var).where(F.col("padj") < fdr)

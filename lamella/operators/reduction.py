@@ -669,6 +669,17 @@ def select_factors(df: DataFrame, factors: list[int] | None = None, layers: list
     return df.withColumn("value", F.abs("value")) if absolute else df
 
 
+def project(m: DataFrame, load: DataFrame) -> DataFrame:
+    """``sample, factor, value``: least-squares score of each factor alone, over all features with a loading and a value.
+
+    Values are centred by feature; a sample with no such feature, or loadings that are all 0, has no score.
+    """
+    c = with_stats(m.where("value IS NOT NULL"), FEATURE, F.avg("value").alias("_m"))
+    d = c.join(load.select(*FEATURE, "factor", F.col("value").alias("w")), FEATURE)
+    s = d.groupBy("sample", "factor").agg(F.sum((F.col("value") - F.col("_m")) * F.col("w")).alias("_xw"), F.sum(F.col("w") ** 2).alias("_ww"))
+    return s.where("_ww > 0").select("sample", "factor", (F.col("_xw") / F.col("_ww")).alias("value"))
+
+
 def r2(m: DataFrame, scores: DataFrame, load: DataFrame) -> DataFrame:
     """Explained share of each layer by each factor alone, from scores and loadings."""
     c = with_stats(m, FEATURE, F.avg("value").alias("_m")).select(*FEATURE, "sample", (F.col("value") - F.col("_m")).alias("y"))

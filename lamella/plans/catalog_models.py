@@ -179,17 +179,20 @@ register("factor_select", "K21", _LD + "SELECT layer, feature, factor, abs(value
 
 
 def _scores(s, d):
-    return X.log_a(s, d).where(F.col("feature").isin("Brand#1", "Brand#2", "Brand#3")).select(
-        "sample", F.substring("feature", 7, 2).cast("int").alias("factor"), (F.col("value") - 20).alias("value"))
+    """Scores of all samples on the factors of the loading table, from every feature."""
+    return RE.project(X.log_a(s, d), _loads(s, d))
 
 
-_SC = "sc AS (SELECT sample, cast(substr(feature,7) as int) AS factor, value-20 AS value FROM la WHERE feature IN ('Brand#1','Brand#2','Brand#3'))"
-register("factor_r2", "K21", _LD.replace(with_("a", "b"), with_("a", "b", "la")) + ", " + _SC + """, c AS (SELECT layer, feature, sample, value-avg(value) OVER (PARTITION BY layer, feature) AS y FROM la),
-  t AS (SELECT layer, sum(y*y) AS tot FROM c GROUP BY 1)
-SELECT c.layer, ld.factor, 1-sum((y-sc.value*ld.value)*(y-sc.value*ld.value))/any_value(tot) AS r2 FROM c JOIN sc USING (sample)
+_LDS = _LD.replace(with_("a", "b"), with_("a", "b", "la", "samples")) + """, yc AS (SELECT layer, feature, sample, value-avg(value) OVER (PARTITION BY layer, feature) AS y FROM la),
+  sc AS (SELECT sample, factor, sum(y*value)/sum(value*value) AS value FROM yc JOIN ld USING (layer, feature) GROUP BY 1,2)"""
+register("factor_scores", "K21", _LDS + "SELECT * FROM sc", "value")(_scores)
+register("correlated_factors", "K21", _LDS + """SELECT x.factor AS factor1, y.factor AS factor2, corr(x.value, y.value) AS r FROM sc x JOIN sc y USING (sample)
+  WHERE x.factor<y.factor GROUP BY 1,2 HAVING abs(corr(x.value, y.value))>0.1""", "r")(lambda s, d: RE.correlated_factors(_scores(s, d), 0.1))
+register("factor_r2", "K21", _LDS + """, t AS (SELECT layer, sum(y*y) AS tot FROM yc GROUP BY 1)
+SELECT c.layer, ld.factor, 1-sum((y-sc.value*ld.value)*(y-sc.value*ld.value))/any_value(tot) AS r2 FROM yc c JOIN sc USING (sample)
   JOIN ld ON ld.layer=c.layer AND ld.feature=c.feature AND ld.factor=sc.factor JOIN t ON t.layer=c.layer GROUP BY 1,2""", "r2")(
     lambda s, d: RE.r2(X.log_a(s, d), _scores(s, d), _loads(s, d)))
-register("ellipsoid", "K22", with_("la", "samples") + ", " + _SC + """, p AS (SELECT sample, max(value) FILTER (factor=1) AS x1, max(value) FILTER (factor=2) AS x2, max(value) FILTER (factor=3) AS x3 FROM sc GROUP BY 1)
+register("ellipsoid", "K22", _LDS + """, p AS (SELECT sample, max(value) FILTER (factor=1) AS x1, max(value) FILTER (factor=2) AS x2, max(value) FILTER (factor=3) AS x3 FROM sc GROUP BY 1)
 SELECT region AS "group", count(*) AS n, avg(x1) AS c1, avg(x2) AS c2, avg(x3) AS c3, covar_samp(x1,x1) AS s11, covar_samp(x1,x2) AS s12, covar_samp(x1,x3) AS s13,
   covar_samp(x2,x2) AS s22, covar_samp(x2,x3) AS s23, covar_samp(x3,x3) AS s33, sqrt(7.814727903251179) AS radius FROM p JOIN samples USING (sample) GROUP BY 1 HAVING count(*)>=4""",
          "c1 c2 c3 s11 s12 s13 s22 s23 s33 radius")(lambda s, d: RE.ellipsoid(_scores(s, d), X.samples(s, d).select("sample", F.col("region").alias("group"))))
@@ -222,13 +225,14 @@ SELECT (SELECT sum(n/t*log2(n*t/(na*nb))) FROM c JOIN a USING (region) JOIN b US
   /sqrt((SELECT sum(-na/t*log2(na/t)) FROM a, t)*(SELECT sum(-nb/t*log2(nb/t)) FROM b, t)) AS nmi""", "nmi")(lambda s, d: CL.nmi(X.samples(s, d), "region", "acct_high"))
 register("cluster_members", "L12", with_("samples") + "SELECT region AS cluster, count(*) AS n, list(sample ORDER BY sample) AS samples FROM samples GROUP BY 1")(
     lambda s, d: CL.cluster_members(CL.cluster_table(_lab(s, d), X.samples(s, d).drop("region"))))
-register("density", "L13", with_("la") + ", " + _SC + """, dd AS (SELECT x.sample AS i, y.sample AS j, sqrt(sum((x.value-y.value)*(x.value-y.value))) AS d FROM sc x JOIN sc y USING (factor) GROUP BY 1,2),
+register("density", "L13", _LDS + """, dd AS (SELECT x.sample AS i, y.sample AS j, sqrt(sum((x.value-y.value)*(x.value-y.value))) AS d FROM sc x JOIN sc y USING (factor) GROUP BY 1,2),
   r AS (SELECT i, count(*) FILTER (d<0.5)-1 AS rho FROM dd GROUP BY 1)
 SELECT r.i AS sample, r.rho, coalesce((SELECT min(d) FROM dd JOIN r q ON q.i=dd.j WHERE dd.i=r.i AND (q.rho>r.rho OR (q.rho=r.rho AND q.i<r.i))), (SELECT max(d) FROM dd WHERE dd.i=r.i)) AS delta FROM r""", "delta")(
     lambda s, d: CL.density(_scores(s, d), 0.5).drop("denser"))
 register("density_peaks", "L13")(lambda s, d: CL.density_peaks(_scores(s, d), 3, 0.5))
 register("mean_shift", "L14")(lambda s, d: CL.mean_shift(_scores(s, d), 0.3))
 register("cluster_by_group", "L15")(lambda s, d: CL.cluster_by(_scores(s, d), X.samples(s, d), "acct_high"))
+register("cluster_chosen", "L15")(lambda s, d: CL.cluster_chosen(_scores(s, d), X.samples(s, d).where("s_acctbal < 0")))
 register("heatmap", "L16", with_("la") + """, v AS (SELECT layer, feature, row_number() OVER (PARTITION BY layer ORDER BY var_samp(value) DESC, md5(feature), feature) AS rank FROM la GROUP BY 1,2),
   z AS (SELECT layer, feature, sample, rank, (value-avg(value) OVER p)/stddev_samp(value) OVER p AS z FROM la JOIN v USING (layer, feature) WHERE rank<=10 WINDOW p AS (PARTITION BY layer, feature))
 SELECT *, least(30, cast(floor((z-min(z) OVER ())/(max(z) OVER ()-min(z) OVER ())*30) as bigint)+1) AS bin FROM z""", "z")(lambda s, d: CL.heatmap(X.log_a(s, d), top=10))

@@ -78,6 +78,14 @@ SELECT layer, feature, min(padj) AS padj, max(abs(coef)) AS max_coef FROM p GROU
         (F.col("p_size") / 10.0 - 2).alias("coef")), 0.02, 2.95))
 register("pairwise_lm", "H10", _FG + _LMR.format(cond="x.region>y.region"), "coef sigma df ave")(
     lambda s, d: DI.pairwise_lm(X.log_a(s, d), X.samples(s, d), "region").select(*_lm))
+register("overall_f", "H10", with_("la", "samples") + """, x AS (SELECT layer, feature, region, value FROM la JOIN samples USING (sample)),
+  g AS (SELECT layer, feature, region, count(*) AS n, avg(value) AS m, sum(value) AS s, var_pop(value)*count(*) AS ss FROM x GROUP BY 1,2,3),
+  t AS (SELECT layer, feature, cast(count(*)-1 as double) AS f_df, cast(sum(n)-count(*) as double) AS df_total, sum(ss) AS within, sum(n*m*m)-sum(s)*sum(s)/sum(n) AS between FROM g GROUP BY 1,2),
+  f AS (SELECT layer, feature, (between/f_df)/(within/df_total) AS f_stat, f_df, df_total FROM t),
+  p AS (SELECT *, """ + f_p("f_stat", "f_df", "df_total") + """ AS f_pval FROM f),
+  q AS (SELECT *, f_pval*count(*) OVER (PARTITION BY layer)/row_number() OVER (PARTITION BY layer ORDER BY f_pval, feature) AS q FROM p)
+SELECT layer, feature, f_stat, f_df, df_total, f_pval, least(1.0, min(q) OVER (PARTITION BY layer ORDER BY f_pval DESC, feature DESC ROWS UNBOUNDED PRECEDING)) AS f_padj FROM q""",
+         "f_stat f_pval f_padj")(lambda s, d: DI.overall_f(X.log_a(s, d), X.samples(s, d), "region", prior=False))
 register("membership", "H11")(lambda s, d: DI.membership(X.log_a(s, d), X.samples(s, d), "region", 0.9))
 
 
