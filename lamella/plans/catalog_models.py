@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lamella.core import checkpointed, scratch_folder, stack_layers
-from lamella.operators import biomarker as BI, clustering as CL, correlation as CO, differential as DI, enrichment as EN, models as MO, quality as QU, reduction as RE
+from lamella.operators import biomarker as BI, clustering as CL, correlation as CO, differential as DI, enrichment as EN, models as MO, quality as QU, reduction as RE, wide as WI
 from lamella.plans import fixtures as X
 from lamella.plans.catalog_relations import _E, _edges, _graph, _N
 from lamella.plans.fixtures import t_p, with_
@@ -143,6 +143,30 @@ def _two_scores(s, d):
 
 register("procrustes", "K8")(lambda s, d: _abs(_two_scores(s, d)))
 register("sparse_cca", "K9")(lambda s, d: RE.sparse_cca(X.log_ab(s, d), "revenue", "quantity", 1, 0.4, 0.4).loadings)
+
+
+def _by_customer(s, d, layer, feature, agg):
+    """A layer with a sample for each customer, which grows with the orders."""
+    c = X.table(s, d, "lineitem").join(X.table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(X.table(s, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return c.groupBy(F.lit(layer).alias("layer"), F.col(feature).cast("string").alias("feature"), F.col("o_custkey").cast("string").alias("sample")).agg(agg.cast("double").alias("value"))
+
+
+_brands = lambda s, d: _by_customer(s, d, "brands", "p_brand", F.sum("l_quantity"))
+_sizes = lambda s, d: _by_customer(s, d, "sizes", "p_size", F.count("*"))
+register("pca_wide", "K1")(lambda s, d: WI.wide_pca(_brands(s, d), 5, True, extra=35).var_exp)
+register("combined_pca_wide", "K2")(lambda s, d: WI.wide_pca(stack_layers([_brands(s, d), _sizes(s, d)]), 5, True, stacked=True, extra=35).var_exp)
+
+
+def _rebuilt(m):
+    """The centred cells as sums of scores times loadings over all factors."""
+    r = WI.wide_pca(m, 25, extra=5)
+    c = m.join(r.loadings.withColumnRenamed("value", "w"), ["layer", "feature"]).join(r.scores.withColumnRenamed("value", "z"), ["layer", "sample", "factor"])
+    return c.groupBy("layer", "feature", "sample").agg(F.sum(F.col("w") * F.col("z")).alias("value"))
+
+
+register("pca_wide_rebuilt", "K1", """WITH b AS (SELECT 'brands' AS layer, p_brand AS feature, cast(o_custkey as string) AS sample, cast(sum(l_quantity) as double) AS value
+  FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN part ON l_partkey=p_partkey GROUP BY 2,3)
+SELECT layer, feature, sample, value-avg(value) OVER (PARTITION BY feature) AS value FROM b""", "value")(lambda s, d: _rebuilt(_brands(s, d)))
 register("cca_penalty", "K10")(lambda s, d: RE.cca_penalty(X.log_ab(s, d), "revenue", "quantity", [0.3, 0.5]))
 register("multi_cca", "K11")(lambda s, d: RE.multi_cca(X.log_ab(s, d), 1, p1=0.4, p2=0.4).scores)
 for _how in ("concat", "joint"):
