@@ -190,6 +190,113 @@ def impute_lowrank(m: DataFrame, k: int = 5, iterations: int = 15, tol: float =
     return _unpack(vecs.mapInPandas(out, "layer string, feature string, vec array<double>"), order)
 
 
+def _posterior(x: np.ndarray, w: np.ndarray, s2: float):
+    """For each pattern of observed cells (rows of ``x``, centred): its mask, its rows, their factor means, the shared covariance, the log likelihood."""
+    seen = ~np.isnan(x)
+    masks, at = np.unique(seen, axis=0, return_inverse=True)
+    at = at.ravel()
+    for p, ok in enumerate(masks):
+        rows = np.flatnonzero(at == p)
+        d, wo = x[rows][:, ok], w[ok]
+        inner = wo.T @ wo + s2 * np.eye(w.shape[1])
+        inv = np.linalg.inv(inner)
+        z = d @ wo @ inv
+        quad = ((d ** 2).sum() - (z * (d @ wo)).sum()) / s2
+        logdet = (ok.sum() - w.shape[1]) * np.log(s2) + np.linalg.slogdet(inner)[1]
+        yield ok, rows, z, s2 * inv, -0.5 * (quad + len(rows) * (logdet + ok.sum() * np.log(2 * np.pi)))
+
+
+def impute_ppca(m: DataFrame, k: int = 5, rounds: int = 500, tol: float = 1e-6, floor: float = 1e-8) -> DataFrame:
+    """Probabilistic PCA of each layer by expectation maximisation: missing cells get their expected value.
+
+    A round is one pass: rows solve once for each pattern of missing cells and add to sums of shape N x (k+1) x (k+1).  It ends
+    when the log likelihood moves by less than ``tol`` of itself; ``converged`` tells whether it did within ``rounds``.  The noise stays
+    above ``floor`` of the layer's variance.  A feature without any value stays missing.
+    """
+    order = sample_ids(m)
+    vecs = checkpointed(vectors(m, order))
+    n = len(order)
+    k = max(1, min(k, n - 1))
+    matrix = lambda pdf: (lambda x: x[~np.isnan(x).all(axis=1)])(np.vstack(pdf["vec"].to_numpy()))
+
+    def by_layer(fn):
+        def run(pdf):
+            out = {}
+            for lay, g in pdf.groupby("layer", sort=False):
+                x = matrix(g)
+                if len(x):
+                    out |= {f"{name}:{lay}": v for name, v in fn(x, lay).items()}
+            return out
+        return fold_rows(vecs, run)
+
+    def margins(x, lay):
+        f = np.nan_to_num(x)
+        return {"n": (~np.isnan(x)).sum(0).astype(float), "s": f.sum(0), "q": (f ** 2).sum(0), "rows": np.array(float(len(x)))}
+
+    sums = by_layer(margins)
+    layers = sorted(key[2:] for key in sums if key.startswith("n:"))
+    means = {lay: sums[f"s:{lay}"] / np.maximum(sums[f"n:{lay}"], 1) for lay in layers}
+    start = by_layer(lambda x, lay: {"g": (lambda y: y.T @ y)(np.nan_to_num(x - means[lay]))})
+    state, least = {}, {}
+    for lay in layers:
+        mean = means[lay]
+        var = max(float(np.mean(sums[f"q:{lay}"] / np.maximum(sums[f"n:{lay}"], 1) - mean ** 2)), 1e-12)
+        e, u = np.linalg.eigh(start[f"g:{lay}"] / sums[f"rows:{lay}"])
+        state[lay] = (mean, u[:, ::-1][:, :k] * np.sqrt(np.maximum(e[::-1][:k], 1e-6 * var)), var)
+        least[lay] = floor * var
+    done, last = dict.fromkeys(layers, False), {}
+    for _ in range(rounds):
+        if all(done.values()):
+            break
+        cur = dict(state)
+
+        def expect(x, lay):
+            mean, w, s2 = cur[lay]
+            a, b, all_z = np.zeros((n, k + 1, k + 1)), np.zeros((n, k + 1)), np.zeros((k + 1, k + 1))
+            like = xx = cnt = 0.0
+            for ok, rows, z, cov, ll in _posterior(x - mean, w, s2):
+                z1 = np.column_stack([z, np.ones(len(z))])
+                zz = z1.T @ z1
+                zz[:k, :k] += len(z) * cov
+                all_z += zz
+                a[ok] += zz
+                b[ok] += x[rows][:, ok].T @ z1
+                like, xx, cnt = like + ll, xx + (x[rows][:, ok] ** 2).sum(), cnt + len(rows) * ok.sum()
+            return {"a": a, "b": b, "z": all_z, "t": np.array([like, xx, cnt])}
+
+        r = by_layer(expect)
+        for lay in layers:
+            if done[lay]:
+                continue
+            a, b, (like, xx, cnt) = r[f"a:{lay}"], r[f"b:{lay}"], r[f"t:{lay}"]
+            v = np.stack([np.linalg.lstsq(a[j], b[j], rcond=None)[0] for j in range(n)])
+            s2 = (xx - 2 * (v * b).sum() + np.einsum("ni,nij,nj->", v, a, v)) / cnt
+            z = r[f"z:{lay}"] / sums[f"rows:{lay}"]  # factors back to mean 0 and unit covariance: without it their scale drifts for hundreds of rounds
+            mid, turn = z[:k, k], np.linalg.cholesky(z[:k, :k] - np.outer(z[:k, k], z[:k, k]) + 1e-12 * np.eye(k))
+            state[lay] = (v[:, k] + v[:, :k] @ mid, v[:, :k] @ turn, max(float(s2), least[lay]))
+            done[lay] = lay in last and abs(like - last[lay]) <= tol * abs(like)
+            last[lay] = like
+    final = dict(state)
+
+    def out(it):
+        for pdf in it:
+            for lay, g in pdf.groupby("layer", sort=False):
+                x = np.vstack(g["vec"].to_numpy())
+                some = np.flatnonzero(~np.isnan(x).all(axis=1))
+                if len(some):
+                    mean, w, s2 = final[lay]
+                    y = x[some]
+                    fit = np.empty_like(y)
+                    for _, rows, z, _, _ in _posterior(y - mean, w, s2):
+                        fit[rows] = z @ w.T + mean
+                    x[some] = np.where(np.isnan(y), fit, y)
+                yield g.assign(vec=list(x))
+
+    ends = F.create_map(*[F.lit(v) for lay in layers for v in (lay, done[lay])]) if layers else F.create_map().cast("map<string,boolean>")
+    cells = _unpack(vecs.mapInPandas(out, "layer string, feature string, vec array<double>"), order)
+    return cells.withColumn("converged", ends[F.col("layer")])
+
+
 def impute_qrilc(m: DataFrame, seed: int = 123) -> DataFrame:
     """Left-censored draws per sample (log-scale input).
 

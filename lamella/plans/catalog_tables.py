@@ -248,6 +248,7 @@ register("impute_knn", "IM7", _KD, "value")(lambda s, d: IM.impute_knn(X.dirty(s
 register("impute_knn_samples", "IM7")(lambda s, d: IM.impute_knn(X.dirty(s, d), 10, "sample"))
 register("impute_lowrank", "IM8")(lambda s, d: IM.impute_lowrank(X.dirty(s, d), 5))
 _logd = lambda s, d: X.dirty(s, d).withColumn("value", F.when(F.col("value") > 0, F.log2("value")))
+register("impute_ppca", "IM8")(lambda s, d: IM.impute_ppca(_logd(s, d), 3))
 register("impute_qrilc", "IM9")(lambda s, d: IM.impute_qrilc(_logd(s, d)))
 register("log_qrilc", "IM10")(lambda s, d: IM.log_qrilc(X.dirty(s, d)))
 
