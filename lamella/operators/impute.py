@@ -138,8 +138,8 @@ def _unpack(vecs: DataFrame, order: list[str]) -> DataFrame:
     return d.join(F.broadcast(lookup), "_i").select(*CELL, "value")
 
 
-def impute_lowrank(m: DataFrame, k: int = 5, iterations: int = 15, tol: float = 1e-4) -> DataFrame:
-    """Rank-k completion by alternating least squares.
+def impute_lowrank(m: DataFrame, k: int = 5, iterations: int = 100, tol: float = 1e-4) -> DataFrame:
+    """Rank-k completion by alternating least squares, until the basis moves by less than ``tol``; ``converged`` tells whether it did.
 
     A row's fill depends only on its observed cells and the current N x k basis,
     so each round is one pass with a small broadcast: no state, no lineage.
@@ -162,7 +162,7 @@ def impute_lowrank(m: DataFrame, k: int = 5, iterations: int = 15, tol: float =
             out[r, ~ok] = basis[~ok] @ c
         return out, mu
 
-    basis, last = None, None
+    basis, last, done = None, None, False
     for _ in range(iterations):
         cur = basis
 
@@ -175,7 +175,8 @@ def impute_lowrank(m: DataFrame, k: int = 5, iterations: int = 15, tol: float =
         w, v = np.linalg.eigh(fold_rows(vecs, gram)["g"])
         basis = v[:, ::-1][:, :k]
         proj = basis @ basis.T
-        if last is not None and np.abs(proj - last).max() < tol:
+        done = last is not None and bool(np.abs(proj - last).max() < tol)
+        if done:
             break
         last = proj
     final = basis
@@ -187,7 +188,7 @@ def impute_lowrank(m: DataFrame, k: int = 5, iterations: int = 15, tol: float =
                 y, mu = fill(x, final)
                 yield pdf.assign(vec=list(np.where(np.isnan(x), y + mu, x)))
 
-    return _unpack(vecs.mapInPandas(out, "layer string, feature string, vec array<double>"), order)
+    return _unpack(vecs.mapInPandas(out, "layer string, feature string, vec array<double>"), order).withColumn("converged", F.lit(done))
 
 
 def _posterior(x: np.ndarray, w: np.ndarray, s2: float):
