@@ -46,7 +46,7 @@ def impute(m: DataFrame, how: str, **kw) -> DataFrame:
         return _fill(m, F.percentile(_v(), 0.5), F.coalesce(_v(), F.col("_s")))
     if how == "halfmin_pos":
         return _fill(m, F.min(_pos()), F.coalesce(_v(), F.col("_s") / 2, F.lit(0.0)))
-    return {"knn": impute_knn, "lowrank": impute_lowrank, "qrilc": impute_qrilc}[how](m, **kw)
+    return {"knn": impute_knn, "lowrank": impute_lowrank, "ppca": impute_ppca, "qrilc": impute_qrilc}[how](m, **kw)
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
