@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamella import core
-from lamella.operators import clustering as CL, correlation as CO, differential as DI, normalize as NO, reduction as RE
+from lamella.operators import correlation as CO, differential as DI, reduction as RE, wide as WI
 
 LONG = "layer string, feature string, sample string, value double"
 
@@ -36,8 +36,7 @@ def equal(a, b, keys, absolute=False):
     np.testing.assert_allclose(np.abs(va) if absolute else va, np.abs(vb) if absolute else vb, rtol=1e-6, atol=1e-8)
 
 
-@pytest.mark.parametrize("gaps", [0, 1])
-def test_correlations(data, few, gaps):
+def test_correlations(data, few, gaps=1):
     groups = {"one": [f"s{j:02d}" for j in range(0, 40, 2)], "two": [f"s{j:02d}" for j in range(1, 40, 2)]}
     a, b, c = CO.correlate(data[gaps]), CO.correlate(data[gaps], min_abs=0.3, cross_only=True), CO.correlate(data[gaps], groups=groups)
     a, b, c = (x.cache() for x in (a, b, c))
@@ -48,10 +47,9 @@ def test_correlations(data, few, gaps):
     equal(c, CO.correlate(data[gaps], groups=groups), [*CO.PAIR_KEYS, "group"])
 
 
-@pytest.mark.parametrize("gaps", [0, 1])
 @pytest.mark.parametrize("scale", [False, True])
-def test_pca(data, few, gaps, scale):
-    m = data[gaps]
+def test_pca(data, few, scale):
+    m = data[1]
     was = RE.pca(m, 3, scale), RE.combined_pca(m, 3, scale), RE.consensus_pca(m, 3, scale=scale)
     few()
     now = RE.pca(m, 3, scale), RE.combined_pca(m, 3, scale), RE.consensus_pca(m, 3, scale=scale)
@@ -63,6 +61,21 @@ def test_pca(data, few, gaps, scale):
         np.testing.assert_allclose(now[2].info["contribution"][lay], v, rtol=1e-6)
 
 
+def test_wide_pca_and_the_cells_of_a_grid(data, few):
+    from lamella.plans.catalog_models import _rebuilt
+    m = data[1]
+    a, g = WI.wide_pca(m, 3, True, stacked=True), core.densify(m.where("value IS NOT NULL"))
+    few()
+    b = WI.wide_pca(m, 3, True, stacked=True)
+    equal(a.var_exp, b.var_exp, ["layer", "factor"])
+    equal(g.fillna(-1.0), core.densify(m.where("value IS NOT NULL")).fillna(-1.0), core.CELL)
+    x = m.where("value IS NOT NULL")
+    p = x.toPandas()
+    p["value"] -= p.groupby(["layer", "feature"])["value"].transform("mean")
+    r = _rebuilt(x).toPandas().sort_values(core.CELL)
+    np.testing.assert_allclose(r["value"], p.sort_values(core.CELL)["value"], atol=1e-6)
+
+
 def test_rv(data, few):
     a = RE.rv(data[0])
     few()
@@ -82,9 +95,8 @@ def test_block_pls(data, few, var):
         assert min(np.ptp(x - y), np.ptp(x + y)) < 1e-6
 
 
-@pytest.mark.parametrize("gaps", [0, 1])
-@pytest.mark.parametrize("kw", [{"var": "g"}, {"var": "h", "covars": ["g", "x"]}, {"var": "x", "kind": "cont", "covars": ["h"]}, {"var": "g", "contrasts": {"kind": "pairs"}}])
-def test_linear_models(data, few, gaps, kw):
+@pytest.mark.parametrize("kw", [{"var": "h", "covars": ["g", "x"]}, {"var": "x", "kind": "cont", "covars": ["h"]}, {"var": "g", "contrasts": {"kind": "pairs"}}])
+def test_linear_models(data, few, kw, gaps=1):
     a = DI.lm_test(data[gaps], data[2], **kw).cache()
     a.count()
     few()
