@@ -17,10 +17,34 @@ def long(spark, x, layer="a", first=0):
 def test_forest_is_grown_in_parts(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(120, 3))
-    d = spark.createDataFrame([(f"s{i}", int(r[0] > 0), r.tolist()) for i, r in enumerate(x)], "sample string, label int, x array<double>")
+    d = spark.createDataFrame([(f"s{i}", float(r[0] > 0), r.tolist()) for i, r in enumerate(x)], "sample string, label double, x array<double>")
+    d = d.select("sample", "label", BI.array_to_vector("x").alias("features"))
     grown, real = [], BI.RandomForestClassifier
     monkeypatch.setattr(BI, "RandomForestClassifier", lambda numTrees, **kw: grown.append(numTrees) or real(numTrees=numTrees, **kw))
-    monkeypatch.setattr(BI, "FOREST_ROWS", 80 * 120)
-    out = BI.classify(d.limit(80), d, "rf").collect()
-    assert grown == [120, 120, 60] and len(out) == 120
-    assert all(0 <= r["prob"] <= 1 for r in out) and np.mean([(r["prob"] > 0.5) == (r["label"] == 1) for r in out]) > 0.9
+    monkeypatch.setattr(BI, "FOREST_ROWS", 80 * 2)
+    out = BI._forest(d.limit(80), d, 1, trees=5, depth=4).collect()
+    assert grown == [2, 2, 1] and len(out) == 120
+    assert all(0 <= r["prob"] <= 1 for r in out) and np.mean([(r["prob"] > 0.5) == (r["label"] == 1) for r in out]) > 0.8
+
+def test_layer_of_more_columns_than_a_frame_may_have(spark, tmp_path, monkeypatch):
+    from lamella.plans import catalog_models as CM
+    from lamella.sources import tables as TB
+    x = np.arange(24.0).reshape(4, 6)
+    x[1, 2] = x[3, 5] = np.nan
+    m = long(spark, x).unionByName(spark.createDataFrame([("a", 'odd, "one"', "s001", 2.5), ("a", "back\\slash", "s003", -1.0)], "layer string, feature string, sample string, value double"))
+    ids = m.select("sample").distinct()
+    meta = spark.createDataFrame([("x", "#CLASS_region", "s001", "east"), ("x", "#CLASS_region", "s004", "NA"), ("x", "Label", "s002", "l")], "layer string, feature string, sample string, value string")
+
+    def results(folder):
+        out = []
+        for turned in (False, True):
+            w = CM._wide(m, "sample", "feature") if turned else CM._wide(m)
+            p = f"{tmp_path}/{folder}{turned}"
+            TB.write_wide(w, p) if isinstance(w, TB.Wide) else w.write.csv(p, header=True)
+            out.append(TB.read_layer(spark, p, "a", ids))
+        out.append(TB.split_embedded_meta(CM._wide(m.withColumn("value", F.col("value").cast("string")).unionByName(meta)))[1])
+        return [sorted(map(tuple, r.collect()), key=str) for r in out]
+
+    narrow = results("n")
+    monkeypatch.setattr(TB, "MAX_COLUMNS", 3)
+    assert isinstance(CM._wide(m), TB.Wide) and results("w") == narrow
