@@ -77,3 +77,40 @@ def test_sums_over_parts_of_a_matrix():
     for fn, arg in ((logistic.batch_sums, beta), (logistic.batch_errors, beta), (logistic.batch_moments, 6)):
         one, parts = logistic.over_arrays(x, y, fold)(fn, arg), logistic.over_arrays(x, y, fold, rows=16)(fn, arg)
         assert all(np.allclose(one[k], parts[k]) for k in one)
+
+
+def three_groups(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4, 60)) + 8 * np.array([[1, 0, 0], [0, 1, 0], [0, 0, 1], [1, 1, 0]])[:, np.arange(60) % 3]
+    x[1, 4] = x[2, 9] = np.nan
+    return long(spark, x).unionByName(long(spark, x[:2] ** 2, "b"))
+
+
+def test_affinity_of_many_samples(spark, monkeypatch):
+    from lamella.operators import clustering as CL
+    m = three_groups(spark)
+    few = {tuple(r)[:3]: r["weight"] for r in CL.affinity(m, 5).collect()}
+    dist = {tuple(r)[:3]: r["dist"] for r in CL.distance_table(m).collect()}
+    monkeypatch.setattr(core, "MAX_SAMPLES", 20)
+    many = {tuple(r)[:3]: r["weight"] for r in CL.affinity(m, 5).collect()}
+    assert few.keys() == many.keys() and np.allclose([few[k] for k in few], [many[k] for k in few])
+    assert {tuple(r)[:3]: round(r["dist"], 6) for r in CL.distance_table(m).collect()} == {k: round(v, 6) for k, v in dist.items()}
+
+
+def test_clusters_of_many_samples(spark, monkeypatch):
+    from lamella.operators import clustering as CL
+    m = three_groups(spark)
+    scores = m.where("layer = 'a'").select("sample", F.substring("feature", 2, 1).cast("int").alias("factor"), "value")
+    meta = m.select("sample").distinct().select("sample", F.when(F.col("sample") < "s054", "g").when(F.col("sample") < "s058", "few").alias("grp"))
+    sets = lambda d: {frozenset(r["s"]) for r in d.groupBy("cluster").agg(F.collect_list("sample").alias("s")).collect()}
+    few, k = CL.auto_k(m)
+    few = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(core, "MAX_SAMPLES", 20)
+    many, k2 = CL.auto_k(m)
+    assert k == k2 == 3 and sorted(map(tuple, many.collect())) == few
+    gaps = {"s004", "s009"}
+    assert {s - gaps for s in sets(CL.bisecting(m, 3))} == {frozenset(f"s{j:03d}" for j in range(60) if j % 3 == g) - gaps for g in range(3)}
+    by = CL.cluster_by(scores, meta, "grp").collect()
+    assert len(by) == 58 and {r["cluster"] for r in by if r["group"] == "few"} == {None}
+    assert all(r["cluster"] == int(r["sample"][1:]) % 3 + 1 for r in by if r["group"] == "g")
+    assert CL.cluster_chosen(scores, meta.where("sample < 's030'")).count() == 30
