@@ -95,6 +95,24 @@ def test_block_pls(data, few, var):
         assert min(np.ptp(x - y), np.ptp(x + y)) < 1e-6
 
 
+@pytest.mark.parametrize("var", ["g", "h"])
+def test_block_pls_cv(data, few, spark, var):
+    m, meta = data[1], data[2].where("sample <> 's07'")
+    order = core.shared_samples(m, meta)
+    y, names = RE.outcome(meta, var, order)
+    classes = spark.createDataFrame([(s, int(c)) for s, c in zip(order, y.argmax(1))], "sample string, cls int")
+    dealt = {r["sample"]: r["fold"] for r in RE.dealt_folds(classes, 4, 3).collect()}
+    fold = np.array([dealt[s] for s in order])
+    for c in range(len(names)):
+        assert np.ptp(np.bincount(fold[y.argmax(1) == c], minlength=4)) <= 1
+    was = RE._cv_errors(RE.grams(core.vectors(m, order), lambda x, lay: RE.prepare(x, True, True)), y, fold, 4, 3, 0.1)
+    few()
+    now = RE.block_pls_cv(m, meta, var, 3, folds=4, seed=3).orderBy("ncomp").collect()
+    np.testing.assert_allclose([r["error"] for r in now], was, atol=1e-9)
+    assert [r["chosen"] for r in now].index(True) == int(np.argmin(was))
+    assert min(was) < 0.7
+
+
 @pytest.mark.parametrize("kw", [{"var": "h", "covars": ["g", "x"]}, {"var": "x", "kind": "cont", "covars": ["h"]}, {"var": "g", "contrasts": {"kind": "pairs"}}])
 def test_linear_models(data, few, kw, gaps=1):
     a = DI.lm_test(data[gaps], data[2], **kw).cache()
