@@ -113,6 +113,37 @@ def test_block_pls_cv(data, few, spark, var):
     assert min(was) < 0.7
 
 
+def test_permutations():
+    from lamella.operators import tall
+    for n in (1, 2, 5, 40, 1000):
+        seen = [tall.permuted(np.arange(n), n, tall.permutation_key(j, 1)) for j in range(1, 4)]
+        assert all(sorted(p.tolist()) == list(range(n)) for p in seen)
+    assert len({tuple(p.tolist()) for p in seen}) == 3
+    p = np.array([tall.permuted(np.arange(20), 20, tall.permutation_key(j, 1)) for j in range(4000)])
+    assert np.abs(np.array([np.bincount(c, minlength=20) for c in p.T]) - 200).max() < 80
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 100])
+def test_cca_penalty(data, few, cells):
+    from lamella.operators import tall
+    m = data[1]
+    was = RE.cca_penalty(m, "a", "b", [0.3, 0.7], nperm=5).collect()
+    order = core.sample_ids(m)
+    a, b = (core.checkpointed(core.vectors(m.where(F.col("layer") == l), order)) for l in "ab")
+    number = {r["sample"]: r["_n"] for r in tall.numbered(m).collect()}
+    assert sorted(number.values()) == list(range(40))
+    no = np.array([number[s] for s in order])
+    place = np.argsort(no)  # of each number, where it stands in the order
+    perms = np.column_stack([np.arange(40)] + [place[np.argsort(tall.permuted(np.arange(40), 40, tall.permutation_key(j, 1)))[no]] for j in range(1, 6)])
+    full, pen = np.tile(perms, (1, 2)), np.repeat([0.3, 0.7], 6)
+    t = np.tile(RE._first_direction(a, b), (1, 12))
+    corr = RE._cca_rounds(a, b, 5, 7, t, pen, pen, full, 3)[2].reshape(2, 6)
+    few()
+    np.testing.assert_allclose(RE._cca_tall(m, "a", "b", [0.3, 0.7], 5, 3, 1, cells), corr, rtol=1e-6, atol=1e-9)
+    now = RE.cca_penalty(m, "a", "b", [0.3, 0.7], nperm=5).collect()
+    np.testing.assert_allclose([r["correlation"] for r in now], [r["correlation"] for r in was], rtol=1e-6)
+
+
 @pytest.mark.parametrize("kw", [{"var": "h", "covars": ["g", "x"]}, {"var": "x", "kind": "cont", "covars": ["h"]}, {"var": "g", "contrasts": {"kind": "pairs"}}])
 def test_linear_models(data, few, kw, gaps=1):
     a = DI.lm_test(data[gaps], data[2], **kw).cache()
