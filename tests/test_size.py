@@ -116,3 +116,23 @@ def test_clusters_of_many_samples(spark, monkeypatch):
     assert len(by) == 58 and {r["cluster"] for r in by if r["group"] == "few"} == {None}
     assert all(r["cluster"] == int(r["sample"][1:]) % 3 + 1 for r in by if r["group"] == "g")
     assert CL.cluster_chosen(scores, meta.where("sample < 's030'")).count() == 30
+
+
+def test_rollup_tasks_get_a_bounded_number_of_cells(spark, monkeypatch, capsys):
+    import collections
+
+    from lamella.operators import mapping as MP
+    rows = [("p", f"f{i % 13}" if i % 29 else None, f"s{i % 7}", float(i)) for i in range(91)]  # cells may repeat
+    taxa = MP.parse_taxa(spark.createDataFrame([(f"f{i}", f"k__K{i % 2};p__P{i % 5};{'c__C' if i % 3 else ''}") for i in range(12)], "feature string, lineage string"))
+    want = collections.Counter()
+    for _, f, s, v in rows:
+        if f not in (None, "f12"):
+            i = int(f[1:])
+            for key in (("Kingdom", f"K{i % 2}", s), ("Phylum", f"P{i % 5}", s), ("Class", "C" if i % 3 else "Not_Assigned", s)):
+                want[key] += v
+    monkeypatch.setattr(MP, "CELLS_PER_TASK", 5)
+    out = MP.rollup_taxa(spark.createDataFrame(rows, "layer string, feature string, sample string, value double"), taxa)
+    assert {(r["rank"], r["feature"], r["sample"]): r["value"] for r in out.collect()} == dict(want)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "REPARTITION_BY_NUM" in plan and "SortMergeJoin [feature" in plan  # 91 cells, 19 tasks; no table of taxa for every task
