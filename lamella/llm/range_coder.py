@@ -21,7 +21,13 @@ BATCH = 128
 TABLES = 4
 WORD = U(32)
 LEAST = U(1 << 32)       # a range below it puts out 32 bits
+LOWER = U((1 << 32) - 1)
 CONFIDENCE = 1 << CONF_BITS
+# For what ``Model.see`` finds: whether the id gives way, and how the confidence changes. A missed prediction of confidence 2 or
+# more starts again at 1, others give way.
+REPLACED = np.zeros(2 * CONFIDENCE, np.int32)
+REPLACED[CONFIDENCE:CONFIDENCE + 2] = -1
+STEP = np.r_[np.ones(CONFIDENCE - 1), 0, 1, 1, 1 - np.arange(2, CONFIDENCE)].astype(np.int32)
 
 
 class Model:
@@ -32,61 +38,78 @@ class Model:
         self.base = (np.arange(2 * lanes, dtype=np.int64) << SLOT_BITS).reshape(2, lanes)
         # prediction and confidence in one number; confidence 0: nothing seen yet
         self.table = np.zeros(2 * lanes << SLOT_BITS, np.int32)
-        self.cell = (np.arange(2 * lanes, dtype=np.int64) * CONFIDENCE).reshape(2, lanes)
+        self.share = (np.arange(2 * lanes, dtype=np.int64) * CONFIDENCE).reshape(2, lanes)
+        self.cell = (np.arange(2 * lanes, dtype=np.int64) * 2 * CONFIDENCE).reshape(2, lanes)
         # the share, of 65536, of right predictions at each confidence; none at 0
         self.right = np.tile(np.r_[0, np.linspace(4096, 57344, CONFIDENCE - 1)].astype(np.int64), 2 * lanes)
         n = freq.shape[1]
         mixed = np.arange(n, dtype=np.int64) * 40503
         mixed ^= mixed >> 9
         mask = (1 << SLOT_BITS) - 1
-        # of no id: 0
-        self.last, self.pair, self.before = np.r_[mixed & mask, 0], np.r_[mixed * 5, 0], np.r_[mixed * 30011 >> 4, 0]
+        # of each id, SLOT_BITS each: its slot in order 1, and its parts of the slot in order 2 as last id and as the one before; of no id: 0
+        self.hashes = np.r_[mixed & mask | (mixed * 5 & mask) << SLOT_BITS | (mixed * 30011 >> 4 & mask) << 2 * SLOT_BITS, 0]
         # eighths of a bit that each table takes for an id: a batch adds up to less than 2^16
         bits = np.round(8 * (ORDER0_BITS - np.log2(freq))).astype(np.int64)
         self.bits = sum(b << 16 * k for k, b in enumerate(bits))
         self.tables, self.different = freq.shape
         self.cost = np.zeros((len(freq), lanes), np.int64)
         self.row = np.zeros(lanes, np.int64)  # where the lane's table begins in the flat tables
-        self.recent = np.full((2, lanes), n, np.int32)
-        self.weigh()
+        # an id's frequency in the lower bits, where its interval begins above them
+        self.interval = ((np.cumsum(freq, 1) - freq) << ORDER0_BITS + 1 | freq).reshape(-1)
+        self.hash = np.zeros((1, lanes), np.int64)  # of the last id
 
-    def weigh(self) -> None:
-        """For each pair of confidences: masses of order 2's and order 1's predictions, and the unit of order 0."""
-        right = self.right.reshape(2, self.lanes, CONFIDENCE)
-        two = np.repeat(right[1][:, :, None], CONFIDENCE, 2) << (TOTAL_BITS - 16)
-        left = (1 << TOTAL_BITS) - two
-        one = left * right[0][:, None, :] >> 16
-        self.two, self.one, self.unit = two.reshape(-1), one.reshape(-1), ((left - one) >> ORDER0_BITS).reshape(-1)
-        self.joint = np.arange(self.lanes, dtype=np.int64) * CONFIDENCE ** 2
-
-    def slots(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        """Places in the tables (steps, orders, lanes) for the hashes of ids, a row more than steps."""
         mask = (1 << SLOT_BITS) - 1
-        out = np.empty((*last.shape[:-1], 2, self.lanes), np.int64)
-        out[..., 0, :] = self.last.take(last)
-        out[..., 1, :] = self.pair.take(last) + self.before.take(before) & mask
+        last = hashes[1:]
+        out = np.empty((len(last), 2, self.lanes), np.int64)
+        np.bitwise_and(last, mask, out=out[:, 0])
+        two = last >> SLOT_BITS
+        two += hashes[:-1] >> 2 * SLOT_BITS
+        np.bitwise_and(two, mask, out=out[:, 1])
         out += self.base
         return out
 
-    def see(self, slot: np.ndarray, v: np.ndarray, coded: np.ndarray) -> None:
-        """One step of the tables; ``coded`` is the id, shifted."""
-        c = v & (CONFIDENCE - 1)
-        new = np.where(c < 2, coded, v - c)
-        new |= 1  # a missed prediction of confidence 2 or more starts again, others give way
-        self.table[slot] = np.where((v ^ coded) < CONFIDENCE, v + (c < CONFIDENCE - 1), new)
-
-    def masses(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``weigh``'s numbers for entries of the two tables."""
-        both = ((two & (CONFIDENCE - 1)) << CONF_BITS | one & (CONFIDENCE - 1)) + self.joint
-        return self.two.take(both), self.one.take(both), self.unit.take(both)
-
-    def learn(self, ids: np.ndarray, held: np.ndarray) -> None:
-        """After a batch: ``ids`` (steps by lanes) and the entries that predicted them (steps, orders, lanes)."""
-        hit = (held >> CONF_BITS) == ids[:, None]
-        n = np.bincount((((held & (CONFIDENCE - 1)) + self.cell) << 1 | hit).reshape(-1), minlength=2 * len(self.right)).reshape(-1, 2)
-        n, hits = n.sum(1), n[:, 1]
+    def see(self, slot: np.ndarray, v: np.ndarray, c: np.ndarray, coded: np.ndarray) -> np.ndarray:
+        """One step of the tables: entries ``v`` of confidence ``c``; ``coded`` is the id, shifted.  Returns what was found:
+        the confidence of a right prediction, and that of a wrong one plus ``CONFIDENCE``."""
+        changed = v ^ coded
+        found = np.minimum(changed, c + np.int32(CONFIDENCE))
+        changed &= REPLACED.take(found)
+        changed ^= v
+        changed += STEP.take(found)
+        self.table[slot] = changed
+        return found
+
+    def masses(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For entries of confidence ``c`` (orders, lanes): masses of both predictions and of order 2's, and the unit of order 0."""
+        right = self.right.take(c + self.share)
+        two = right[..., 1, :] << TOTAL_BITS - 16
+        left = (1 << TOTAL_BITS) - two
+        one = left * right[..., 0, :]
+        one >>= 16
+        left -= one
+        one += two
+        left >>= ORDER0_BITS
+        return one, two, left
+
+    def order0(self, at: np.ndarray, unit: np.ndarray, ahead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Mass of an id by its place in the tables and where it starts, behind the predictions' mass ``ahead``."""
+        start = self.interval.take(at)
+        mass = start & ((2 << ORDER0_BITS) - 1)
+        mass *= unit
+        start >>= ORDER0_BITS + 1
+        start *= unit
+        start += ahead
+        return mass, start
+
+    def learn(self, ids: np.ndarray, found: np.ndarray) -> None:
+        """After a batch: ``ids`` (steps by lanes) and what ``see`` returned for them (steps, orders, lanes), each in its lane's cell."""
+        n = np.bincount(found.reshape(-1), minlength=2 * len(self.right)).reshape(-1, 2, CONFIDENCE)
+        hits = n[:, 0].reshape(-1)
+        n = n.sum(1).reshape(-1)
         self.right += (60000 * hits + 600 * (n - hits) - self.right * n) // (n + 16)
         self.right[::CONFIDENCE] = 0
-        self.weigh()
         if self.tables > 1:
             own = self.bits.take(ids).sum(0)
             for k in range(self.tables):
@@ -116,7 +139,7 @@ def order0_tables(symbols: np.ndarray, sizes: np.ndarray, different: int, tables
     sizes = sizes[sizes > 0]
     start = np.cumsum(sizes) - sizes
     prior = all_counts / len(symbols)
-    cost = lambda p: np.add.reduceat((-np.log2(p)).astype(np.float32).take(symbols), start, dtype=np.float64)
+    cost = lambda p: np.add.reduceat((-np.log2(p)).astype(np.float32).take(symbols), start)
     smooth = lambda c: 0.98 * c / c.sum() + 0.02 * prior
     told = [cost(prior)]
     for _ in range(tables - 1):
@@ -142,29 +165,31 @@ def encode(symbols: np.ndarray, freq: np.ndarray, block: int) -> list[bytes]:
     lanes, steps = shape(len(symbols), block)
     padded = np.zeros(lanes * steps, np.int32)
     padded[:len(symbols)] = symbols
-    grid = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    flat, start0 = freq.reshape(-1), (np.cumsum(freq, 1) - freq).reshape(-1)
+    padded = padded.reshape(lanes, steps)
     model = Model(lanes, freq)
     low, rng = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
     width = steps + 4
     out = np.zeros(lanes * width, np.uint32)
     pos = np.arange(lanes) * width
+    before = np.zeros_like(model.hash)
     for t0 in range(0, steps, BATCH):
-        ids = grid[t0:t0 + BATCH]
-        seen = np.concatenate([model.recent, ids])
-        model.recent = seen[-2:]
-        slots = model.slots(seen[1:-1], seen[:-2])
-        held, coded = np.empty(slots.shape, np.int32), ids << CONF_BITS
+        ids = np.ascontiguousarray(padded[:, t0:t0 + BATCH].copy().T)
+        hashes = np.concatenate([model.hash, model.hashes.take(ids)])
+        # the last one is of the next batch
+        slots = model.slots(np.concatenate([before, hashes[:-1]]))
+        model.hash, before = hashes[-1:], hashes[-2:-1]
+        held, found, coded = np.empty(slots.shape, np.int32), np.empty(slots.shape, np.int64), ids << CONF_BITS
+        sure = np.empty(slots.shape, np.int32)
         for t in range(len(ids)):
             held[t] = v = model.table.take(slots[t])
-            model.see(slots[t], v, coded[t])
-        one, two = held[:, 0], held[:, 1]
-        m2, m1, unit = model.masses(one, two)
-        at = model.row + ids
-        mass, start = unit * flat.take(at), unit * start0.take(at) + m2 + m1
-        for v, m, s in ((one, m1, m2), (two, m2, 0)):
-            wide = ((v >> CONF_BITS) == ids) & (m > mass)
-            mass, start = np.where(wide, m, mass), np.where(wide, s, start)
+            c = np.bitwise_and(v, CONFIDENCE - 1, out=sure[t])
+            np.add(model.see(slots[t], v, c, coded[t]), model.cell, out=found[t])
+        both, m2, unit = model.masses(sure)
+        mass, start = model.order0(model.row + ids, unit, both)
+        for v, m, s in ((held[:, 0], both - m2, m2), (held[:, 1], m2, None)):
+            i = np.flatnonzero(((v >> CONF_BITS) == ids) & (m > mass))
+            mass.reshape(-1)[i] = m.reshape(-1).take(i)
+            start.reshape(-1)[i] = 0 if s is None else s.reshape(-1).take(i)
         mass, start = mass.view(U), start.view(U)
         for t in range(len(ids)):
             r = rng >> U(TOTAL_BITS)
@@ -172,14 +197,14 @@ def encode(symbols: np.ndarray, freq: np.ndarray, block: int) -> list[bytes]:
             rng = r * mass[t]
             i = np.flatnonzero(rng < LEAST)
             if len(i):
-                x = low[i]
-                w = _settled(x, rng[i])
-                k = pos[i]
+                x = low.take(i)
+                w = _settled(x, rng.take(i))
+                k = pos.take(i)
                 out[k] = x >> WORD
                 pos[i] = k + 1
                 low[i] = x << WORD
                 rng[i] = w << WORD
-        model.learn(ids, held)
+        model.learn(ids, found)
     for _ in range(2):
         out[pos] = low >> WORD
         pos += 1
@@ -189,8 +214,7 @@ def encode(symbols: np.ndarray, freq: np.ndarray, block: int) -> list[bytes]:
 
 def _settled(low: np.ndarray, rng: np.ndarray) -> np.ndarray:
     """Ranges below 2^32, cut where they cross a multiple of 2^32, so that the upper half of ``low`` is final."""
-    crosses = (low ^ (low + rng)) >= LEAST
-    return np.where(crosses, (U(0) - low) & (LEAST - U(1)), rng)
+    return np.minimum(rng, LEAST - (low & LOWER))
 
 
 def decode(blocks: list[bytes], n: int, freq: np.ndarray, block: int) -> np.ndarray:
@@ -199,46 +223,52 @@ def decode(blocks: list[bytes], n: int, freq: np.ndarray, block: int) -> np.ndar
     words = np.frombuffer(b"".join(blocks) + b"\0" * 16, "<u4").astype(U)
     count = np.array([len(b) // 4 for b in blocks])
     at = np.cumsum(count) - count
-    flat, start0 = freq.reshape(-1), (np.cumsum(freq, 1) - freq).reshape(-1)
     symbol = np.concatenate([np.repeat(np.arange(freq.shape[1], dtype=np.int32), f) for f in freq])  # of each unit of order 0
     model = Model(lanes, freq)
     low, rng, code = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U), np.zeros(lanes, U)
     for _ in range(2):
         code = (code << WORD) | words[at]
         at = at + 1
-    grid = np.zeros((steps, lanes), np.int32)
-    before, last = model.recent
+    out = np.empty((lanes, steps), np.int32)
+    hashes = np.zeros((2, lanes), np.int64)  # of the last two ids
     for t0 in range(0, steps, BATCH):
-        ids = grid[t0:t0 + BATCH]
-        held = np.empty((len(ids), 2, lanes), np.int32)
+        ids = np.empty((min(BATCH, steps - t0), lanes), np.int32)
+        found = np.empty((len(ids), 2, lanes), np.int64)
         units = model.row // freq.shape[1] << ORDER0_BITS
         for t in range(len(ids)):
-            slot = model.slots(last, before)
-            held[t] = entry = model.table.take(slot)
-            m2, m1, unit = model.masses(entry[0], entry[1])
+            slot = model.slots(hashes)[0]
+            entry = model.table.take(slot)
+            c = entry & (CONFIDENCE - 1)
+            both, m2, unit = model.masses(c)
             r = rng >> U(TOTAL_BITS)
             v = ((code - low) // r).view(np.int64)
-            both = m2 + m1
-            by2, by1 = v < m2, v < both
-            # below both the difference wraps to a large number, whose symbol is not used
-            x = symbol.take(((v - both).view(U) // unit.view(U)).view(np.int64) + units, mode="clip")
-            x = np.where(by2, entry[1] >> CONF_BITS, np.where(by1, entry[0] >> CONF_BITS, x))
-            k = model.row + x
-            mass = np.where(by2, m2, np.where(by1, m1, unit * flat.take(k)))
-            start = np.where(by2, 0, np.where(by1, m2, unit * start0.take(k) + both))
-            model.see(slot, entry, x << CONF_BITS)
+            # below both the difference wraps to a large number, whose symbol is replaced
+            rest = v - both
+            place = (rest.view(U) // unit.view(U)).view(np.int64)
+            place += units
+            x = symbol.take(place, mode="clip")
+            mass, start = model.order0(model.row + x, unit, both)
+            i = np.flatnonzero(rest < 0)
+            m = m2.take(i)
+            by2 = v.take(i) < m
+            x[i] = np.where(by2, entry[1].take(i), entry[0].take(i)) >> CONF_BITS
+            mass[i] = np.where(by2, m, both.take(i) - m)
+            start[i] = np.where(by2, 0, m)
+            np.add(model.see(slot, entry, c, x << CONF_BITS), model.cell, out=found[t])
             ids[t] = x
-            before, last = last, x
+            hashes[0] = hashes[1]
+            hashes[1] = model.hashes.take(x)
             low += r * start.view(U)
             rng = r * mass.view(U)
             i = np.flatnonzero(rng < LEAST)
             if len(i):
-                y = low[i]
-                w = _settled(y, rng[i])
-                k = at[i]
-                code[i] = (code[i] << WORD) | words.take(k, mode="clip")  # a damaged block may ask for more
+                y = low.take(i)
+                w = _settled(y, rng.take(i))
+                k = at.take(i)
+                code[i] = (code.take(i) << WORD) | words.take(k, mode="clip")  # a damaged block may ask for more
                 at[i] = k + 1
                 low[i] = y << WORD
                 rng[i] = w << WORD
-        model.learn(ids, held)
-    return np.ascontiguousarray(grid.T).reshape(-1)[:n]
+        model.learn(ids, found)
+        out[:, t0:t0 + len(ids)] = ids.T
+    return out.reshape(-1)[:n]

@@ -17,7 +17,7 @@ _WS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}\x{200b}\x{feff}\x{180e}]"
 WHOLE = rf"{_WS}[ \n]{_WS}|{_WS}[ \n]\z|\x00"
 #: A blank, then something without white space at its ends. Odd marks count as white space, as do all that any library takes for it.
 PLAIN = rf"^ [^{_WS[1:-1]}](?s:.*[^{_WS[1:-1]}])?$"
-#: Different pieces a worker remembers, about (some 200 bytes each); beyond it begins anew. Bounds memory, not results.
+#: Different pieces a worker remembers, about (some 200 bytes each); beyond it those met in one batch only go. Bounds memory, not results.
 CACHE = 250_000
 
 
@@ -56,8 +56,28 @@ class Encoder:
         self.known: dict[str, int] = {"": 0}
         self.pool, self.used = np.empty(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.uses = np.zeros(1 << 14, np.int32)  # batches that held a piece
         self.n = 1
 
+    def keep_common(self) -> None:
+        """Forgets the pieces met in the fewest batches, all but at most half of ``cache``; counts of the others are halved."""
+        uses = self.uses[:self.n]
+        uses[0] = uses.max() + 1  # the empty piece
+        most = max(1, self.cache // 2)
+        least = np.sort(uses)[-most - 1] + 1 if self.n > most else 0
+        kept = np.flatnonzero(uses >= max(2, least))
+        known, start, size, pool, uses = list(self.known), self.start[kept], self.size[kept], self.pool, uses[kept] // 2
+        self.forget()
+        self.known = {known[k]: i for i, k in enumerate(kept.tolist())}
+        self._room(len(kept))
+        self.uses[:len(kept)] = uses
+        self._keep(np.arange(len(kept)), size, pool[_runs(start, size)])
+        self.n = len(kept)
+
+    def _room(self, n: int) -> None:
+        while n > len(self.start):
+            self.start, self.size, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.uses))
+
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -69,8 +89,7 @@ class Encoder:
         """Numbers of new pieces. Words that begin with a blank are encoded in long strings, which the pre-tokeniser cuts at
         those blanks; token lengths in bytes tell where a piece ends."""
         first, words = self.n, new.to_numpy(zero_copy_only=False).tolist()
-        while first + len(words) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self._room(first + len(words))
         runs = self._runs(new)
         alone = np.ones(len(words), bool)
         alone[runs] = False
@@ -104,7 +123,7 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.n > self.cache:
-            self.forget()
+            self.keep_common()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         whole = pc.match_substring_regex(texts, WHOLE)
         odd = np.flatnonzero(np.asarray(whole))
@@ -119,11 +138,11 @@ class Encoder:
             number[miss] = k = self._learn(coded.dictionary.take(pa.array(miss)))
             self.known.update(zip([pieces[i] for i in miss.tolist()], k.tolist()))
             self.n += len(miss)
+        self.uses[number] += 1
         which = number[np.asarray(coded.indices)]
         size = self.size[which]
         ends = np.cumsum(size)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[which] - (ends - size), size)
-        ids = self.pool[at]
+        ids = self.pool[_runs(self.start[which], size)]
         edges = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(per)])]
         lens = np.diff(edges)
         if len(odd):
@@ -134,6 +153,12 @@ class Encoder:
         return ids, lens
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``size`` places from each ``start``, one run behind the other."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
 def chunks(batches, column: str, limit: int = 4 << 20):
     """Record batches joined until the texts of one hold about ``limit`` bytes."""
     held, size = [], 0

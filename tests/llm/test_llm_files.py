@@ -215,6 +215,19 @@ def test_cutting_changes_no_ids(texts):
     assert ids.tolist() == [i for x in whole for i in x]
 
 
+def test_common_pieces_outlast_a_full_cache(monkeypatch):
+    enc = Encoder(tokenizer_path(), cache=60)
+    common = [f" common{chr(97 + i)}" for i in range(20)]
+    seen = []
+    monkeypatch.setattr(enc, "whole", lambda texts, whole=enc.whole: seen.append("".join(texts)) or whole(texts))
+    for k in range(12):
+        texts = ["x" + "".join(common) + "".join(f" w{chr(97 + k)}{chr(97 + i)}" for i in range(15)), None]
+        ids, sizes = enc.encode(pa.array(texts, pa.string()))
+        assert ids.tolist() == enc.tok.encode(texts[0], add_special_tokens=False).ids and sizes.tolist() == [len(ids), 0]
+        assert enc.n <= 60 + 36
+    assert "".join(seen).count(" commona") == 1
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=300), st.sampled_from([1, 7, 64]))
 def test_range_coder_round_trip(ids, block):
@@ -224,6 +237,29 @@ def test_range_coder_round_trip(ids, block):
         assert (names[R.decode(blocks, len(ids), freq, block)] == ids).all()
 
 
+def test_what_a_step_finds_is_what_weights_learn_from():
+    """Entries of every confidence, right and wrong, against the rule written out."""
+    model = R.Model(16, np.array([[1 << R.ORDER0_BITS - 1] * 2]))
+    c = np.tile(np.arange(16) % 8, (2, 1)).astype(np.int32)
+    coded = np.full(16, 1 << R.CONF_BITS, np.int32)
+    right = np.arange(16) < 8
+    entry = np.where(right, coded, 0).astype(np.int32) + c
+    slot = model.base + 3
+    found = model.see(slot, entry, c, coded)
+    assert found.tolist() == [[k % 8 + (0 if k < 8 else 8) for k in range(16)]] * 2
+    want = [min(k + 1, 7) + 8 for k in range(8)] + [9, 9] + [1] * 6
+    assert model.table[slot].tolist() == [want, want] and (model.table > 0).sum() == 32
+    model.learn(np.ones((1, 16), np.int32), (found + model.cell)[None])
+    start = np.r_[0, np.linspace(4096, 57344, 7)].astype(np.int64)
+    for order in range(2):
+        own = model.right.reshape(2, 16, 8)[order]
+        for k in range(16):
+            moved = start.copy()
+            if k % 8:
+                moved[k % 8] += ((60000 if k < 8 else 600) - start[k % 8]) // 17
+            assert own[k].tolist() == moved.tolist()
+
+
 def test_blocks_are_decoded_alone():
     rng = np.random.default_rng(6)
     x = rng.integers(0, 50, 1000) * rng.integers(0, 2, 1000)
