@@ -41,3 +41,55 @@ def test_tau_by_sorting():
 def test_metadata_rank_correlations(data, few, method):
     a, b = both(few, lambda: ME.meta_corr(data[2], method, digits=9))
     equal(a, b, ["var1", "var2"])
+
+
+@pytest.fixture(scope="module")
+def scores(spark):
+    rng = np.random.default_rng(6)
+    at = np.repeat([[0.0, 0, 0], [6, 0, 3], [0, 7, -4]], 15, axis=0)[:42] + rng.normal(size=(42, 3))
+    return spark.createDataFrame([(f"s{i:02d}", j + 1, float(v)) for i, r in enumerate(at) for j, v in enumerate(r)], "sample string, factor int, value double").cache()
+
+
+def test_density(scores, few):
+    a, b = both(few, lambda: CL.density(scores, 1.5))
+    pa, pb = (x.toPandas().sort_values("sample", ignore_index=True) for x in (a, b))
+    assert pa[["sample", "rho", "denser"]].equals(pb[["sample", "rho", "denser"]])
+    np.testing.assert_allclose(pa["delta"], pb["delta"])
+
+
+@pytest.mark.parametrize("k", [1, 3, 5])
+def test_density_peaks(scores, few, k):
+    a, b = both(few, lambda: CL.density_peaks(scores, k, 1.5))
+    equal(a, b, ["sample"])
+    assert b.count() == 42 and b.select("cluster").distinct().count() == k
+
+
+def test_mean_shift(scores, few):
+    a, b = both(few, lambda: CL.mean_shift(scores, 1.2))
+    equal(a, b, ["sample"])
+    assert b.select("cluster").distinct().count() >= 3
+
+
+@pytest.mark.parametrize("init", ["random", "++"])
+def test_kmeans(scores, few, init):
+    m = scores.select(F.lit("l").alias("layer"), F.col("factor").cast("string").alias("feature"), "sample", "value")
+    a, share = CL.kmeans(m, 3, 12, init)
+    a = core.checkpointed(a)
+    few()
+    b, other = CL.kmeans(m, 3, 12, init)
+    equal(a, b, ["sample"])
+    assert other == pytest.approx(share)
+
+
+def test_spread_starts_differ(scores):
+    pts = CL._score_rows(scores)
+    c = CL._spread(pts, 3, 20, 1).reshape(20, 3, 3)
+    far = [min(((r[i] - r[j]) ** 2).sum() for i in range(3) for j in range(i)) for r in c]
+    assert min(far) > 0 and np.median(far) > 9 and len({r[0].tobytes() for r in c}) > 10
+
+
+def test_silhouette(data, few, spark):
+    lab = spark.createDataFrame([(f"s{j:02d}", "pqr"[j % 3] if j % 13 else None) for j in range(38)] + [("s01", "q"), ("s02", "p")], "sample string, cluster string")
+    a, b = both(few, lambda: CL.silhouette(data[1], lab))
+    pa, pb = (x.fillna("", ["cluster"]) for x in (a, b))
+    equal(pa, pb, ["layer", "sample", "cluster"])
