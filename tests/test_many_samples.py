@@ -93,3 +93,33 @@ def test_silhouette(data, few, spark):
     a, b = both(few, lambda: CL.silhouette(data[1], lab))
     pa, pb = (x.fillna("", ["cluster"]) for x in (a, b))
     equal(pa, pb, ["layer", "sample", "cluster"])
+
+
+@pytest.mark.parametrize("var, covars", [("h", []), ("x", []), ("h", ["g", "x"]), ("x", ["g"])])
+def test_interactions(data, few, var, covars):
+    a, b = both(few, lambda: MO.interaction_models(data[1], data[2], "a", "b", var, covars))
+    equal(a, b, CO.PAIR_KEYS)
+    assert b.count() == 35
+
+
+def test_interactions_without_a_fit(data, few, spark):
+    m = data[1].unionByName(spark.createDataFrame([("b", "flat", f"s{j:02d}", 2.0) for j in range(40)] + [("a", "short", f"s{j:02d}", float(j)) for j in range(4)]
+                                                  + [("a", "one", f"s{j:02d}", 1.0) for j in range(40)], data[1].schema))
+    a, b = both(few, lambda: MO.interaction_models(m.where("feature <> 'flat'"), data[2], "a", "b", "h"))
+    equal(a, b, CO.PAIR_KEYS)
+    assert b.where("feature1 IN ('short', 'one')").isEmpty() and b.count() == 35
+
+
+@pytest.mark.parametrize("x, outcome", [("h", "x"), ("x", "h")])
+def test_mediation(data, few, x, outcome):
+    m = data[1].where("feature IN ('a1', 'b2')")
+    a, b = both(few, lambda: MO.mediation(m, data[2], x, outcome, 50))
+    equal(a, b, ["layer", "feature", "effect"])
+
+
+@pytest.mark.parametrize("gaps", [0, 1])
+@pytest.mark.parametrize("kw", [{"var": "h", "block": "g"}, {"var": "x", "kind": "cont", "block": "g", "covars": ["h"]}])
+def test_linear_models_with_blocks(data, few, kw, gaps):
+    m = data[0].unionByName(data[1].withColumn("layer", F.lit("gaps"))) if gaps else data[0]
+    a, b = both(few, lambda: DI.lm_test(m, data[2], **kw))
+    equal(a, b, ["layer", "feature", "term"])
