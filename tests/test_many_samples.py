@@ -123,3 +123,55 @@ def test_linear_models_with_blocks(data, few, kw, gaps):
     m = data[0].unionByName(data[1].withColumn("layer", F.lit("gaps"))) if gaps else data[0]
     a, b = both(few, lambda: DI.lm_test(m, data[2], **kw))
     equal(a, b, ["layer", "feature", "term"])
+
+
+def holes(m):
+    """Null, NaN and absent cells, and a feature that has no value."""
+    k = F.abs(F.xxhash64("feature", "sample")) % 9
+    return m.withColumn("value", F.when(k == 0, None).when(k == 1, float("nan")).otherwise(F.col("value"))).where(k != 2)
+
+
+@pytest.mark.parametrize("by", ["feature", "sample"])
+def test_nearest_neighbours(data, few, by):
+    m = data[0] if by == "feature" else data[0].where("NOT (layer = 'a' AND sample = 's05')")
+    m = m.withColumn("value", F.when(F.abs(F.xxhash64("feature", "sample")) % 5 > 0, F.col("value")))
+    a, b = both(few, lambda: IM.impute_knn(m, 3, by))
+    equal(a, b, core.CELL)
+    assert b.where("value IS NULL OR isnan(value)").isEmpty()
+
+
+def test_low_rank(data, few):
+    m = holes(data[0])
+    a, b = both(few, lambda: IM.impute_lowrank(m, 2, 300, 1e-7))
+    pa, pb = (x.toPandas().sort_values(core.CELL, ignore_index=True) for x in (a, b))
+    assert pa["converged"].all() and pb["converged"].all() and pa[core.CELL].equals(pb[core.CELL])
+    np.testing.assert_allclose(pa["value"], pb["value"], rtol=1e-4)
+
+
+def test_probabilistic_pca(data, few, spark):
+    m = holes(data[0]).unionByName(spark.createDataFrame([("a", "none", "s03", None), ("c", "none", "s03", None)], data[0].schema))
+    a, b = both(few, lambda: IM.impute_ppca(m, 2))
+    pa, pb = (x.toPandas().sort_values(core.CELL, ignore_index=True) for x in (a, b))
+    assert pa[core.CELL].equals(pb[core.CELL]) and pa["converged"].equals(pb["converged"])
+    np.testing.assert_allclose(pa["value"], pb["value"], rtol=1e-5)
+    assert pb["value"].isna().sum() == 80
+
+
+@pytest.mark.parametrize("k", [2, 4])
+def test_co_inertia(data, few, k):
+    m = data[1].withColumn("value", F.col("value") - 9)
+    was = RE.mcia(m, k)
+    few()
+    now = RE.mcia(m, k)
+    equal(was.var_exp, now.var_exp, ["layer", "factor"])
+    equal(was.scores, now.scores, ["sample", "factor"])
+    equal(was.loadings, now.loadings, ["layer", "feature", "factor"])
+
+
+def test_factor_model(data, few):
+    was = RE.factor_model(data[1], 4, 6)
+    few()
+    now = RE.factor_model(data[1], 4, 6)
+    equal(was.var_exp, now.var_exp, ["layer", "factor"])
+    equal(was.scores, now.scores, ["sample", "factor"], True)
+    equal(was.loadings, now.loadings, ["layer", "feature", "factor"], True)
