@@ -175,3 +175,35 @@ def test_factor_model(data, few):
     equal(was.var_exp, now.var_exp, ["layer", "factor"])
     equal(was.scores, now.scores, ["sample", "factor"], True)
     equal(was.loadings, now.loadings, ["layer", "feature", "factor"], True)
+
+
+def test_a_forest_in_parts_is_the_same_forest(monkeypatch):
+    from lamella.operators import forest
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 4))
+    y = (x[:, 0] + 0.5 * rng.normal(size=120) > 0).astype(float)
+    a = forest.small_forest(x[:80], y[:80], x[80:], 30)
+    sizes, was = [], forest.start
+    monkeypatch.setattr(forest, "TREE_SAMPLES", 120 * 7)
+    monkeypatch.setattr(forest, "start", lambda run, train, y, trees, *rest: (sizes.append(trees), was(run, train, y, trees, *rest))[1])
+    b = forest.small_forest(x[:80], y[:80], x[80:], 30)
+    np.testing.assert_array_equal(a[0], b[0])
+    np.testing.assert_allclose(a[1], b[1])
+    assert sizes == [7, 7, 7, 7, 2]
+
+
+@pytest.mark.parametrize("p", [2, 5, 20])
+def test_a_machine_without_a_gram_matrix(monkeypatch, p):
+    from lamella.operators import biomarker as BI, margins
+    rng = np.random.default_rng(p)
+    x = rng.normal(size=(900, p))
+    y = (x[:, 0] + rng.normal(size=900) > 0.3).astype(float)
+    a = BI._svm(x[:600], y[:600], x[600:])
+    held = []
+    was = margins.machine
+    monkeypatch.setattr(margins, "MOST", 1 << 10)
+    monkeypatch.setattr(margins, "machine", lambda gram, *rest, **kw: (held.append(gram.shape), was(gram, *rest, **kw))[1])
+    b = BI._svm(x[:600], y[:600], x[600:])
+    assert held == [(p, 600)]
+    np.testing.assert_allclose(a[0], b[0], atol=1e-6)
+    np.testing.assert_allclose(a[1], b[1], atol=1e-6)
